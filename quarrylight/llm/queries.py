@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import near_duplicates, splitting
+from quarrylight.llm import leakage, near_duplicates, splitting
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,7 +30,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).where(F.col("piece_no") == 1).select("row_id", "boundary")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), table(spark, sf, "eval_item"))
+    return found.where("verbatim").select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+
+def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), table(spark, sf, "eval_item"), paraphrases=True)
+    return found.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if("verbatim").alias("n_verbatim"), F.count_if("answered").alias("n_with_answer"), F.max("common").alias("most_common")
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items}
 
 _FITS = "len(list_filter({}, lambda u: length(regexp_replace(u, '^\\s+|\\s+$', '', 'g')) > 2400)) = 0"
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"
@@ -45,4 +57,10 @@ SELECT row_id, CASE
   WHEN {_FITS.format("regexp_split_to_array(text, '\\s+')")} THEN 'word'
   ELSE 'char' END AS boundary
 FROM pipeline_row WHERE length(text) > 2400""",
+    "p6_found": """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_item),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS u(k)),
+ig AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM i, unnest(range(1, len(w) - 11)) AS u(k))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }
