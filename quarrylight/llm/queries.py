@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, near_duplicates, splitting
+from quarrylight.llm import leakage, near_duplicates, personal_data, splitting
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,7 +42,16 @@ def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data.find_personal(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+    return found.select(F.col("id").alias("doc_id"), "kind", "pii").distinct()
+
+
+def p8_sanitized(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.sanitize(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
 
 _FITS = "len(list_filter({}, lambda u: length(regexp_replace(u, '^\\s+|\\s+$', '', 'g')) > 2400)) = 0"
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"
