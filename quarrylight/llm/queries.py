@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, near_duplicates, personal_data, splitting
+from quarrylight.llm import leakage, mixing, near_duplicates, personal_data, splitting
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +42,20 @@ def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    counts = mixing.token_counts(table(spark, sf, "documents"), F.col("doc_id"), F.col("source"), F.col("text"))
+    plan = mixing.budgets(counts, table(spark, sf, "mix_target"))
+    return plan, mixing.mix(counts, plan)
+
+
+def p7_mix_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.report(*_mixture(spark, sf))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf)[1].withColumnRenamed("id", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     found = personal_data.find_personal(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
     return found.select(F.col("id").alias("doc_id"), "kind", "pii").distinct()
@@ -51,7 +65,7 @@ def p8_sanitized(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.sanitize(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mix_report": p7_mix_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
 
 _FITS = "len(list_filter({}, lambda u: length(regexp_replace(u, '^\\s+|\\s+$', '', 'g')) > 2400)) = 0"
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"
