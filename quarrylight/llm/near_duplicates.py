@@ -16,16 +16,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WordHash, grams, spread, word_hashes
+from quarrylight.llm.common import WordHash, grams, maybe_among, spread, word_hashes
 from quarrylight.scratch import write_out
 
 #: Positions of a segment, and how many similar pairs right at the threshold may be missed.
-WIDTH, MISS = 5, 0.004
+WIDTH, MISS = 5, 0.008
 #: A variant shared by more texts than this is joined in blocks, spread over tasks.
 RUN = 64
 #: Members of a group of equal sets are listed in all pairs up to this size; a larger group is listed by its first member.
 LISTED = 32
 _GRAM_BYTES = 5
+#: A sketch has so many positions of four bits; pairs whose sketches are SIGMAS deviations below the threshold are not compared.
+_SKETCH, SIGMAS = 64, 4.5
 
 
 def segments(threshold: float, width: int = WIDTH, miss: float = MISS) -> int:
@@ -34,11 +36,29 @@ def segments(threshold: float, width: int = WIDTH, miss: float = MISS) -> int:
     return 1 if hit >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - hit)))
 
 
+class _MinHash:
+    """The smallest hash of a set under each of ``n`` hash functions."""
+
+    def __init__(self, n: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.mul = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 2**63, n, dtype=np.uint64)
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        sig = np.full(len(self.mul), 2**64 - 1, np.uint64)
+        for lo in range(0, len(g), 512):
+            h = g[lo : lo + 512, None] * self.mul + self.add
+            h ^= h >> np.uint64(32)
+            sig = np.minimum(sig, (h * np.uint64(0xD6E8FEB86659FD93)).min(axis=0))
+        return sig
+
+
 def _sets(words: int, least: int):
     def run(batches):
-        known = WordHash()
+        known, minhash = WordHash(), _MinHash(_SKETCH, 1)
+        shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :]
         for b in batches:
-            keep, fps, sets = [], [], []
+            keep, fps, sets, sketches = [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 hashes = word_hashes(text, known)
                 if len(hashes) < max(least, words):
@@ -49,8 +69,12 @@ def _sets(words: int, least: int):
                 keep.append(i)
                 fps.append(xxhash.xxh3_128_digest(raw))
                 sets.append(raw)
+                with np.errstate(over="ignore"):
+                    nibble = (minhash(g) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).reshape(4, 16)
+                sketches.append((nibble << shifts).sum(axis=1, dtype=np.uint64).view(np.int64))
+            four = np.array(sketches, np.int64).reshape(-1, 4)
             t = b.select(["space", "id"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["space", "id", "fp", "grams"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary()), *[pa.array(four[:, k]) for k in range(4)]], ["space", "id", "fp", "grams", "s0", "s1", "s2", "s3"])
 
     return run
 
@@ -64,9 +88,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 def _variants(n_segments: int, width: int):
     def run(batches):
         rng = np.random.default_rng(20240229)
-        n = n_segments * width
-        mul = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = rng.integers(0, 2**63, n, dtype=np.uint64)
+        minhash = _MinHash(n_segments * width, 2)
         tag = rng.integers(1, 2**63, (n_segments, width), dtype=np.uint64)
         spot = rng.integers(1, 2**63, (n_segments, width), dtype=np.uint64) | np.uint64(1)
         shift = np.uint64(32)
@@ -75,14 +97,7 @@ def _variants(n_segments: int, width: int):
                 out = np.empty((b.num_rows, n_segments * width), np.uint64)
                 spaces = np.fromiter((xxhash.xxh3_64_intdigest(s or "") for s in b.column("space").to_pylist()), np.uint64, b.num_rows)
                 for i, raw in enumerate(b.column("grams").to_pylist()):
-                    g = _unpack(raw)
-                    sig = np.empty(n, np.uint64)
-                    for lo in range(0, len(g), 4096):
-                        h = g[lo : lo + 4096, None] * mul + add
-                        h ^= h >> shift
-                        low = (h * np.uint64(0xD6E8FEB86659FD93)).min(axis=0)
-                        sig = low if lo == 0 else np.minimum(sig, low)
-                    part = sig.reshape(n_segments, width) * spot
+                    part = minhash(_unpack(raw)).reshape(n_segments, width) * spot
                     part ^= part >> shift
                     part *= np.uint64(0xA0761D6478BD642F)
                     # a segment's sum without one position stands for the variant in which that position is open
@@ -189,12 +204,12 @@ def _blocked(hot: DataFrame, size: int) -> DataFrame:
 
 
 def text_sets(df: DataFrame, space: Column, id_col: Column, text: Column, words: int = 5, least: int = 5) -> DataFrame:
-    """Distinct word sequences of each text of ``least`` words or more, written: ref (own number), space, id, fp, grams.
+    """Distinct word sequences of each text of ``least`` words or more, written: ref (own number), space, id, fp, grams, sketch.
 
     Null texts and ids are left out; further columns of ``df`` are ignored.
     """
     rows = df.select(space.cast("string").alias("space"), id_col.cast("string").alias("id"), text.alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    sets = spread(rows).mapInArrow(_sets(words, least), "space string, id string, fp binary, grams binary")
+    sets = spread(rows).mapInArrow(_sets(words, least), "space string, id string, fp binary, grams binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     return write_out(sets.withColumn("ref", F.monotonically_increasing_id()))
 
 
@@ -203,9 +218,26 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("space", "fp").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("n"))
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose sketches agree in about as many positions as sets at ``threshold`` do, or more."""
+    agree = threshold + (1 - threshold) / 16
+    least = math.floor(_SKETCH * (agree - SIGMAS * math.sqrt(agree * (1 - agree) / _SKETCH)))
+    names = ["s0", "s1", "s2", "s3"]
+    left = sets.select(F.col("ref").alias("a"), *[F.col(c).alias(f"x{c}") for c in names])
+    right = sets.select(F.col("ref").alias("b"), *[F.col(c).alias(f"y{c}") for c in names])
+    differ = F.lit(0)
+    for c in names:
+        x = F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
+    return pairs.join(left, "a").join(right, "b").where(differ <= _SKETCH - least).select("a", "b")
+
+
 def similar_classes(sets: DataFrame, reps: DataFrame, threshold: float = 0.8, width: int = WIDTH, miss: float = MISS) -> DataFrame:
     """Pairs (a < b, refs of class representatives) whose sets have at least ``threshold`` of their union in common."""
-    first = sets.select("ref", "space", "grams").join(reps.select("ref"), "ref", "left_semi")
+    copies = write_out(sets.select("space", "fp", "ref").join(reps.where(F.col("n") > 1).select("space", "fp", F.col("ref").alias("lead")), ["space", "fp"]).where(F.col("ref") != F.col("lead")).select("ref"))
+    first = sets.select("ref", "space", "grams").join(copies, "ref", "left_anti")
     keys = first.mapInArrow(_variants(segments(threshold, width, miss), width), "ref bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "ref")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = write_out(keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(RUN), "hot bigint, a bigint, b bigint"))
@@ -213,8 +245,9 @@ def similar_classes(sets: DataFrame, reps: DataFrame, threshold: float = 0.8, wi
     hot = met.where(F.col("hot").isNotNull()).select("hot", "a").distinct()
     if hot.limit(1).count():
         pairs = pairs.unionByName(_blocked(hot, RUN)).distinct()
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("ref"))
-    with_sets = ends.join(sets.select("ref", "grams"), "ref")
+    near = write_out(_plausible(pairs, sets, threshold))
+    ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("ref"))
+    with_sets = ends.join(maybe_among(sets.select("ref", "grams"), "ref", ends), "ref")
     both = with_sets.groupBy("a", "b").agg(F.max(F.when(F.col("ref") == F.col("a"), F.col("grams"))).alias("x"), F.max(F.when(F.col("ref") == F.col("b"), F.col("grams"))).alias("y"))
     return both.mapInArrow(_similar(threshold), "a bigint, b bigint")
 
