@@ -24,7 +24,7 @@ TERMS, RANK, PASSAGE = 8192, 64, 64
 #: A run of so many words leaks an item. Blocks and item windows have the same length, so a run lies in one passage of two blocks.
 RUN = 13
 #: Item windows start every STEP words; COSINE makes a candidate; a paraphrase needs so much of the item's windows and words.
-STEP, COSINE, COVERED, COMMON = 5, 0.45, 0.5, 0.7
+STEP, COSINE, COVERED, COMMON = 6, 0.45, 0.5, 0.7
 #: Items are searched in blocks of so many.
 ITEMS = 4000
 _CHUNKS = 64
@@ -66,6 +66,31 @@ def _starts(lengths: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(lengths) - lengths)[doc] + within * step, doc
 
 
+def segment_sums(table: np.ndarray, index: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Sum of table[index] over each segment of ``index``; the table's last row is zero.
+
+    Segments are cut into parts of ``width`` that are added up a column of parts at a time, a piece that fits the cache.
+    """
+    ends = np.r_[starts[1:], len(index)]
+    n = -(-(ends - starts) // width)
+    first = np.cumsum(n) - n
+    low = np.repeat(starts, n) + (np.arange(n.sum()) - np.repeat(first, n)) * width
+    high = np.minimum(low + width, np.repeat(ends, n))
+    out = np.empty((len(low), table.shape[1]), np.float32)
+    padded = np.r_[index, np.full(width, len(table) - 1, index.dtype)]
+    for lo in range(0, len(low), 4096):
+        at, end = low[lo : lo + 4096], high[lo : lo + 4096]
+        total = table[padded[at]]
+        for k in range(1, width):
+            total += table[np.where(at + k < end, padded[at + k], len(table) - 1)]
+        out[lo : lo + 4096] = total
+    return out if len(out) == len(starts) else np.add.reduceat(out, first, axis=0)
+
+
+def _with_zero(table: np.ndarray) -> np.ndarray:
+    return np.r_[table, np.zeros((1, table.shape[1]), np.float32)].astype(np.float32)
+
+
 def inverse_frequency(tokens: DataFrame, terms: int = TERMS) -> np.ndarray:
     """Inverse document frequency of each bucket, counted over all documents."""
 
@@ -94,20 +119,19 @@ def latent_basis(tokens: DataFrame, idf: np.ndarray, rank: int = RANK, passage:
     terms = len(idf)
 
     def run(batches):
-        omega = np.random.default_rng(seed).standard_normal((terms, rank)).astype(np.float32) * idf[:, None]
+        omega = _with_zero(np.random.default_rng(seed).standard_normal((terms, rank)).astype(np.float32) * idf[:, None])
         total = np.zeros((terms, rank), np.float32)
         for b in batches:
             for _, words, lengths in _joined(b):
                 if not len(words):
                     continue
-                term = (words % terms).astype(np.int64)
-                lengths = lengths[lengths > 0]
-                starts, _ = _starts(lengths, passage)
-                y = np.add.reduceat(omega[term], starts, axis=0)
-                of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
+                term = (words % terms).astype(np.uint16)
+                starts, _ = _starts(lengths[lengths > 0], passage)
+                y = _with_zero(segment_sums(omega, term.astype(np.int32), starts, 16))
+                of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(term)]))
                 order = np.argsort(term, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
-                total[term[order][first]] += np.add.reduceat(y[of[order]], first, axis=0)
+                first = np.flatnonzero(np.r_[True, np.diff(term[order].astype(np.int32)) != 0])
+                total[term[order][first]] += segment_sums(y, of[order], first, 8)
         total *= idf[:, None]
         for k, part in enumerate(np.array_split(total, _CHUNKS)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([TaskContext.get().partitionId() % 32], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["slice", "half", "part"])
@@ -149,7 +173,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine: float, paraphrases: bool):
-    terms = len(projection)
+    terms, padded = len(projection), _with_zero(projection)
     known = WordHash()
     words = [(word_hashes(t or "", known) >> np.uint64(32)).astype(np.uint32) for _, t, _ in items]
     answers = [(word_hashes(a or "", known) >> np.uint64(32)).astype(np.uint32).tobytes() for *_, a in items]
@@ -187,7 +211,7 @@ def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine:
                     continue
                 filled = np.flatnonzero(lengths)
                 starts, block_doc = _starts(lengths[filled], run_length)
-                blocks = np.add.reduceat(projection[(w % terms).astype(np.int64)], starts, axis=0)
+                blocks = segment_sums(padded, (w % terms).astype(np.int32), starts, run_length)
                 passages = blocks.copy()
                 same = block_doc[1:] == block_doc[:-1]
                 passages[:-1][same] += blocks[1:][same]
@@ -195,12 +219,13 @@ def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine:
                 grams = _run_keys(w, run_length) if len(w) >= run_length else np.zeros(1, np.uint64)
                 doc_end = np.cumsum(lengths[filled])
                 ends = doc_end[block_doc] - run_length + 1
-                for lo in range(0, len(passages), 4096):
-                    sim = passages[lo : lo + 4096] @ query
-                    p, q = np.nonzero(sim >= cosine)
-                    if not len(p):
+                for lo in range(0, len(passages), 512):
+                    sim = passages[lo : lo + 512] @ query
+                    hit = np.flatnonzero((sim >= cosine).ravel())
+                    if not len(hit):
                         continue
-                    pair, at = np.unique((p + lo) * len(items) + owner[q], return_index=True)
+                    p, q = hit // len(owner), hit % len(owner)
+                    pair = np.unique((p + lo) * len(items) + owner[q])
                     near_p, near_i = pair // len(items), pair % len(items)
                     hit = confirmed(near_p, near_i, starts, grams, ends)
                     for x, y in set(zip(block_doc[near_p[hit]].tolist(), near_i[hit].tolist(), strict=True)):
