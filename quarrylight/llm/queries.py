@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, mixing, near_duplicates, personal_data, splitting
+from quarrylight.llm import leakage, main_content, mixing, near_duplicates, personal_data, splitting
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).where(F.col("piece_no") == 1).select("row_id", "boundary")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = main_content.main_content(table(spark, sf, "page_export"), F.col("id"), F.col("link"), F.col("title"), F.col("content"))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     found = leakage.leaks(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), table(spark, sf, "eval_item"))
     return found.where("verbatim").select(F.col("id").alias("doc_id"), "item_id").distinct()
@@ -65,7 +70,7 @@ def p8_sanitized(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.sanitize(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mix_report": p7_mix_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mix_report": p7_mix_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
 
 _FITS = "len(list_filter({}, lambda u: length(regexp_replace(u, '^\\s+|\\s+$', '', 'g')) > 2400)) = 0"
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"
