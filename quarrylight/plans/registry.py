@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import relations
+from quarrylight.plans import entities, relations, retrieval, texts
 
-_MODULES = (relations,)
+_MODULES = (relations, texts, retrieval, entities)
 
 
 def queries() -> dict:
