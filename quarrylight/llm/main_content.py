@@ -22,6 +22,8 @@ from quarrylight.scratch import write_out
 
 #: Pages a page is aligned with, and the share of them in which a node must recur to belong to the template.
 PARTNERS, RECURS = 12, 0.3
+#: Pages of a host are worked on in groups of about so many.
+GROUP = 64
 #: A text is a phrase of templates if it stands on this share of the pages of its hosts; hosts of fewer pages don't vote.
 PHRASE, PHRASE_PAGES, HOST_PAGES = 0.085, 8, 8
 
@@ -40,6 +42,7 @@ class Line:
     tag: str
     linked: bool
     outside: bool
+    own: int = 0
     key: int = 0
 
 
@@ -128,7 +131,7 @@ def parse(content: str, host: str = "") -> tuple[Node, list[Line], str]:
             brand = m[1].strip()
             break
     for line in lines:
-        line.key = _h(masked(line.text, host, brand))
+        line.own, line.key = _h(line.text), _h(masked(line.text, host, brand))
     return root, lines, title
 
 
@@ -156,8 +159,7 @@ def keys_of(lines: list[Line]) -> set[int]:
 def _pruned(node: Node, texts: set[int]) -> Node | None:
     """The tree without what has no counterpart: leaves whose text is not among ``texts``, and emptied branches."""
     if node.line is not None:
-        label = _h(node.line.text)
-        return Node(label, node.line) if label in texts else None
+        return Node(node.line.own, node.line) if node.line.own in texts else None
     kept = [k for c in node.children if (k := _pruned(c, texts))]
     return Node(node.label, None, kept) if kept else None
 
@@ -196,9 +198,9 @@ def match(a: Node, b: Node) -> tuple[int, list[int]]:
 def recurring(root: Node, lines: list[Line], partners: list[tuple[Node, list[Line]]]) -> set[int]:
     """Lines whose node recurs, aligned and with the same text, in enough partners."""
     seen: dict[int, int] = {}
-    own = {_h(x.text) for x in lines}
+    own = {x.own for x in lines}
     for other, their in partners:
-        both = own & {_h(x.text) for x in their}
+        both = own & {x.own for x in their}
         a, b = _pruned(root, both), _pruned(other, both)
         if a and b:
             for no in match(a, b)[1]:
@@ -227,13 +229,11 @@ def _title_at(lines: list[Line], title: str | None, head: str, template: set[int
     return 0
 
 
-def article_lines(content: str, link: str | None, title: str | None, phrases: set[int], partners: list[str]) -> list[int]:
-    """Numbers of the lines of a page's article; ``phrases`` are keys of template phrases on it."""
-    host = host_of(link)
+def article_lines(content: str, host: str, title: str | None, phrases: set[int], others: list[tuple[Node, list[Line]]]) -> list[int]:
+    """Numbers of the lines of a page's article; ``phrases`` are keys of template phrases on it, ``others`` parsed pages of its host."""
     root, lines, head = parse(content, host)
     if not lines:
         return []
-    others = [parse(p, host)[:2] for p in partners if p != content]
     template = recurring(root, lines, others)
     for x in lines:
         if x.key in phrases or (k := frame_key(x.text)) is not None and k in phrases:
@@ -291,7 +291,7 @@ def main_content(df: DataFrame, id_col: Column, link: Column, title: Column, con
     """id and line_no (from 1, content split at line feeds) of each line of the article that holds visible text.
 
     A host's pages are aligned with up to PARTNERS of its pages of different titles; a host of a third of all pages has no
-    more of them than another, so they are sent to its pages by broadcast while the pages stay where they are. Ids must be
+    more of them than another, so they are sent to each group of its pages, and groups are spread over all tasks. Ids must be
     unique. Null and empty contents give no rows; pages without a link are judged by the phrases of all hosts alone.
     """
     pages = spread(_pages(df, id_col, link, title, content))
@@ -304,18 +304,24 @@ def main_content(df: DataFrame, id_col: Column, link: Column, title: Column, con
     picked = keyed.where(F.col("host") != "").groupBy("host", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("page", F.lit(1)).alias("at"), "id", "page")).alias("x")).select("host", "x.id", "x.page")
     partners = write_out(picked.join(pages.select("id", "content"), "id").groupBy("host").agg(F.collect_list(F.struct("id", "page", "content")).alias("partners")))
 
-    every = pages.join(keyed.select("id", "host", "page"), "id").join(marked, "id", "left")
-    work = split_join(every, partners, "host")
+    # pages go in groups of some GROUP pages of a host, so that partners are sent and parsed once per group
+    sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    placed = split_join(keyed.select("id", "host", "page"), sizes, "host").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)))
+    every = pages.join(placed.drop("n"), "id").join(marked, "id", "left")
+    groups = every.groupBy("host", "part").agg(F.collect_list(F.struct("id", "link", "title", "content", "page", "phrases")).alias("pages"))
+    tasks = max(3 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    work = split_join(groups, partners, "host", least=1).repartition(tasks, "host", "part")
 
     def run(batches):
         for b in batches:
             ids, nos = [], []
-            cols = [b.column(c).to_pylist() for c in ("id", "link", "title", "content", "page", "phrases", "partners")]
-            for key, link_, title_, text, page, known, near in zip(*cols, strict=True):
-                others = [p["content"] for p in near or [] if p["page"] != page and p["id"] != key]
-                found = article_lines(text, link_, title_, set(known or ()), others)
-                ids += [key] * len(found)
-                nos += found
+            for host, own, near in zip(*(b.column(c).to_pylist() for c in ("host", "pages", "partners")), strict=True):
+                others = [(p["page"], p["id"], parse(p["content"], host)[:2]) for p in near or []]
+                for x in own:
+                    known = [tree for page, key, tree in others if page != x["page"] and key != x["id"]]
+                    found = article_lines(x["content"], host, x["title"], set(x["phrases"] or ()), known)
+                    ids += [x["id"]] * len(found)
+                    nos += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64())], ["id", "line_no"])
 
-    return work.select("id", "link", "title", "content", "page", "phrases", "partners").mapInArrow(run, "id bigint, line_no bigint")
+    return work.select("host", "pages", "partners").mapInArrow(run, "id bigint, line_no bigint")
