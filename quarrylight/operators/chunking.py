@@ -1,6 +1,6 @@
 """Cutting texts into chunks. Each function keeps the columns of its input and adds chunk_index (from 0) and the chunk.
 
-Rows whose text is null, empty or white space give no chunks; repeated rows are cut again.
+A column of the input that is called like a new one gives way to it. Rows whose text is null, empty or white space give no chunks; repeated rows are cut again.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from quarrylight.functions import text as T
 SIZE, OVERLAP = 800, 100
 
 
+def _others(df: DataFrame, *new: str) -> list[str]:
+    return [c for c in df.columns if c not in new]
+
+
 def _windows(df: DataFrame, items: Column, size: int, overlap: int) -> DataFrame:
     if not 0 <= overlap < size:
         raise ValueError(f"the overlap must be at least 0 and below the size, not {overlap} and {size}")
@@ -23,18 +27,18 @@ def _windows(df: DataFrame, items: Column, size: int, overlap: int) -> DataFrame
 
 def word_chunks(df: DataFrame, column: str = "text", size: int = SIZE, overlap: int = OVERLAP, out: str = "chunk") -> DataFrame:
     """Sliding windows of words, the last one kept even if the one before holds it: chunk, token_count, start_word_idx, end_word_idx (exclusive)."""
-    rows = _windows(df, T.words(F.col(column)), size, overlap)
+    rows = _windows(df.drop("chunk_index"), T.words(F.col(column)), size, overlap)
     part = F.slice("_items", F.col("_start") + 1, size)
-    return rows.select(*df.columns, "chunk_index", F.array_join(part, " ").alias(out), F.size(part).alias("token_count"), F.col("_start").alias("start_word_idx"), (F.col("_start") + F.size(part)).alias("end_word_idx"))
+    return rows.select(*_others(df, "chunk_index", out, "token_count", "start_word_idx", "end_word_idx"), "chunk_index", F.array_join(part, " ").alias(out), F.size(part).alias("token_count"), F.col("_start").alias("start_word_idx"), (F.col("_start") + F.size(part)).alias("end_word_idx"))
 
 
 def token_windows(df: DataFrame, column: str = "text", size: int = SIZE, overlap: int = OVERLAP, out: str = "chunk") -> DataFrame:
     """Windows of word and punctuation tokens joined by blanks, ending with the window that reaches the end; a short text stays as it is, trimmed."""
-    rows = _windows(df, T.tokens(F.col(column)), size, overlap)
+    rows = _windows(df.drop("chunk_index"), T.tokens(F.col(column)), size, overlap)
     last = F.greatest(F.ceil((F.size("_items") - size) / (size - overlap)), F.lit(0))
     part = F.array_join(F.slice("_items", F.col("_start") + 1, size), " ")
     whole = F.size("_items") <= size
-    return rows.where(F.col("chunk_index") <= last).select(*df.columns, "chunk_index", F.when(whole, T.strip(F.col(column))).otherwise(part).alias(out))
+    return rows.where(F.col("chunk_index") <= last).select(*_others(df, "chunk_index", out), "chunk_index", F.when(whole, T.strip(F.col(column))).otherwise(part).alias(out))
 
 
 def header_chunks(df: DataFrame, column: str = "text", size: int = SIZE, overlap: int = OVERLAP, out: str = "chunk") -> DataFrame:
@@ -42,8 +46,8 @@ def header_chunks(df: DataFrame, column: str = "text", size: int = SIZE, overlap
     has = F.col(column).rlike(r"(?dm)^# .+$")
     marked = F.regexp_replace(F.col(column), r"(?dm)^(# .+)$", "\u0001$1\u0001")
     parts = F.filter(F.transform(F.split(marked, "\u0001"), T.strip), lambda p: p != "")
-    headed = df.where(has).select(*df.columns, F.posexplode(parts).alias("chunk_index", out))
-    plain = word_chunks(df.where(~has), column, size, overlap, out).select(*df.columns, "chunk_index", out)
+    headed = df.where(has).select(*_others(df, "chunk_index", out), F.posexplode(parts).alias("chunk_index", out))
+    plain = word_chunks(df.where(~has), column, size, overlap, out).select(*_others(df, "chunk_index", out), "chunk_index", out)
     return headed.unionByName(plain)
 
 

@@ -58,13 +58,16 @@ def _shrunk(marked: DataFrame) -> DataFrame:
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """Root, depth and path of each node.
 
-    ``nodes`` has ``node`` (unique, not null), ``parent`` (null for a root; a parent that names no node counts as null),
-    ``label`` (string, what the node is called in paths) and ``rank`` (orders the nodes of a loop). Further columns are
-    ignored; an empty table gives an empty result. Result: ``node``, ``kind`` (tree, loop, below_loop), ``root`` (in and
+    ``nodes`` has ``node``, ``parent`` (null for a root; a parent that names no node counts as null), ``label`` (what the
+    node is called in paths; itself if null) and ``rank`` (orders the nodes of a loop). Rows without a node are left out; of
+    rows that repeat a node the one with the smallest parent counts. Further columns are ignored; an empty table gives an
+    empty result. Result: ``node``, ``kind`` (tree, loop, below_loop), ``root`` (in and
     below a loop its node of lowest rank), ``depth`` (root 0; -1 in and below loops) and ``path`` (labels from the root;
     null in and below loops).
     """
-    base = write_out(_linked(nodes.select("node", "parent", "label", "rank")))
+    label = F.coalesce(F.col("label").cast("string"), F.col("node").cast("string"))
+    one = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("parent", label.alias("label"), "rank")).alias("x"))
+    base = write_out(_linked(one.select("node", "x.parent", "x.label", "x.rank")))
     path_type = "array<string>"
     active = base.where(F.col("parent").isNotNull()).select("node", "parent", F.array("label").alias("seg"), F.struct("rank", "node").alias("low"))
     roots = base.where(F.col("parent").isNull()).select("node", F.lit(TREE).alias("kind"), F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.array("label").cast(path_type).alias("path"))
