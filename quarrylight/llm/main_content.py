@@ -27,6 +27,9 @@ GROUP = 64
 #: A text is a phrase of templates if it stands on this share of the pages of its hosts; hosts of fewer pages don't vote.
 PHRASE, PHRASE_PAGES, HOST_PAGES = 0.085, 8, 8
 
+#: Elements nested deeper than this count as children of the one at this depth.
+DEEPEST = 100
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<!--.*?(?:-->|$)|<![^>]*>")
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
 _OUTSIDE = {"head", "header", "nav", "footer", "aside", "script", "style", "noscript", "template", "form"}
@@ -102,7 +105,7 @@ def parse(content: str, host: str = "") -> tuple[Node, list[Line], str]:
             elif not m[4]:
                 if name in _BLOCK and not tag:
                     tag = name
-                if not (name in {"li", "p"} and stack[-1][0] == name):
+                if len(stack) < DEEPEST and not (name in {"li", "p"} and stack[-1][0] == name):
                     node = Node(name)
                     stack[-1][1].children.append(node)
                     stack.append((name, node))
@@ -291,8 +294,8 @@ def main_content(df: DataFrame, id_col: Column, link: Column, title: Column, con
     """id and line_no (from 1, content split at line feeds) of each line of the article that holds visible text.
 
     A host's pages are aligned with up to PARTNERS of its pages of different titles; a host of a third of all pages has no
-    more of them than another, so they are sent to each group of its pages, and groups are spread over all tasks. Ids must be
-    unique. Null and empty contents give no rows; pages without a link are judged by the phrases of all hosts alone.
+    more of them than another, so they are sent to each group of its pages, and groups are spread over all tasks. Rows that
+    repeat count once. Null and empty contents give no rows; pages without a link are judged by the phrases of all hosts alone.
     """
     pages = spread(_pages(df, id_col, link, title, content))
     keyed = write_out(pages.mapInArrow(_keyed, "id bigint, host string, page bigint, keys array<bigint>, own bigint"))
@@ -324,4 +327,4 @@ def main_content(df: DataFrame, id_col: Column, link: Column, title: Column, con
                     nos += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64())], ["id", "line_no"])
 
-    return work.select("host", "pages", "partners").mapInArrow(run, "id bigint, line_no bigint")
+    return work.select("host", "pages", "partners").mapInArrow(run, "id bigint, line_no bigint").distinct()

@@ -280,3 +280,42 @@ def near_duplicate_pairs(df: DataFrame, space: Column, id_col: Column, text: Col
     )
     pairs = inner.unionByName(star).unionByName(across)
     return pairs.select("space", F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
+
+
+def near_duplicate_groups(df: DataFrame, space: Column, id_col: Column, text: Column, words: int = 5, threshold: float = 0.8, least: int = 5) -> DataFrame:
+    """One row per text of ``least`` words or more: space, id, class_id (of all texts that links connect), n_links.
+
+    ``n_links`` counts the other texts that are similar, copies included. Groups grow along links, so two of a group need not
+    be similar themselves. Of an id that repeats each row comes out.
+    """
+    sets = text_sets(df, space, id_col, text, words, least)
+    reps = write_out(classes(sets))
+    links = write_out(similar_classes(sets, reps, threshold))
+    label = connected(reps.select("ref"), links)
+    sizes = reps.select("ref", "n")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sizes.select(F.col("ref").alias("b"), "n"), "b").groupBy(F.col("a").alias("ref")).agg(F.sum("n").alias("others"))
+    of_class = reps.join(label, "ref").join(linked, "ref", "left").select("space", "fp", "label", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return sets.select("space", "fp", "id").join(of_class, ["space", "fp"]).select("space", "id", F.col("label").alias("class_id"), "n_links")
+
+
+def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """ref and label, the smallest ref that links (a, b) connect it with, by large-star and small-star steps until nothing moves.
+
+    Each step rewires links towards smaller refs; a hub's links are combined before the shuffle, and no component is gathered.
+    """
+    edges = write_out(links.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = write_out(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("low").alias("a"), "b").distinct())
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = down.groupBy("a").agg(F.min("b").alias("low"))
+        met = down.join(low, "a")
+        small = met.where(F.col("b") != F.col("low")).select(F.col("low").alias("a"), "b").unionByName(low.select(F.col("low").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b"))
+        new = write_out(small.distinct())
+        if new.exceptAll(edges).limit(1).count() == 0 and new.count() == edges.count():
+            break
+        edges = new
+    found = edges.groupBy(F.col("b").alias("ref")).agg(F.min("a").alias("label"))
+    return nodes.join(found, "ref", "left").select("ref", F.coalesce("label", "ref").alias("label"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,18 +82,22 @@ def _names(line: str, at: int, mails: list[tuple[int, str]]):
             given, surname = fold(m["given"]), fold(m["surname"])
             if given in _TITLES or surname in _TITLES:
                 continue
-            sure = len(surname) > 2 and any(abs(pos - at - m.start()) < 160 and (surname in local or len(given) > 2 and local.startswith(given + "|")) for pos, local in mails)
+            near = mails[bisect_left(mails, (at + m.start() - 160, "")) : bisect_left(mails, (at + m.start() + 160, ""))]
+            sure = len(surname) > 2 and any(surname in local or len(given) > 2 and local.startswith(given + "|") for _, local in near)
             yield m.start(), m.end(), given, surname, sure
 
 
 def candidates(text: str) -> list[tuple]:
     """(kind, start, written form, given, surname, certain, terms) of all shapes in a text."""
     out: list[tuple] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     mails = []
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+        return taken.find(1, a, b) < 0
+
+    def take(a: int, b: int) -> None:
+        taken[a:b] = b"\x01" * (b - a)
 
     for m in EMAIL.finditer(text):
         spaced = re.search(r"\bat\b|\bdot\b", m[0], re.I)
@@ -100,7 +105,7 @@ def candidates(text: str) -> list[tuple]:
             continue
         local = re.split(r"@|\s?[(\[]?\bat\b[)\]]?", m[0], maxsplit=1, flags=re.I)[0]
         mails.append((m.start(), fold(re.sub(r"[+_].*$", "", local)) + ("|" if "+" in local else "")))
-        taken.append((m.start(), m.end()))
+        take(m.start(), m.end())
         out.append(("email", m.start(), m[0], None, None, True, []))
     at = 0
     for line in re.split(r"(?<=[\r\n])", text):
@@ -116,7 +121,7 @@ def candidates(text: str) -> list[tuple]:
                 certain = {"phone": m[0].startswith("+"), "national_id": bool(_SURE_ID.fullmatch(m[0])), "address": not _UNSURE_ADDRESS.search(m[0])}[kind]
                 out.append((kind, at + a, line[a:b], None, None, certain, _around(line, a, b)))
                 if certain or kind == "national_id":
-                    taken.append((at + a, at + b))
+                    take(at + a, at + b)
         for a, b, given, surname, sure in _names(line, at, mails):
             if free(at + a, at + b):
                 out.append(("person", at + a, line[a:b], given, surname, sure, _around(line, a, b)))

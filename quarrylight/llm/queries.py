@@ -22,6 +22,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumnRenamed("space", "table_name")
 
 
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    groups = near_duplicates.near_duplicate_groups(p1_texts(spark, sf), F.col("space"), F.col("id"), F.col("text"))
+    return groups.withColumnRenamed("space", "table_name")
+
+
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "pipeline_row"), F.col("row_id"), F.col("text")).withColumnRenamed("id", "row_id")
 
@@ -70,7 +75,7 @@ def p8_sanitized(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.sanitize(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mix_report": p7_mix_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mix_report": p7_mix_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
 
 _FITS = "len(list_filter({}, lambda u: length(regexp_replace(u, '^\\s+|\\s+$', '', 'g')) > 2400)) = 0"
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"
@@ -79,7 +84,7 @@ _SENTENCES = f"flatten(list_transform({_LINES}, lambda l: string_split(regexp_re
 SQL = {
     "p4_found": f"""
 SELECT row_id, CASE
-  WHEN {_FITS.format("regexp_split_to_array(text, '(?:\\r\\n|\\n|\\r)(?:[ \\t]*(?:\\r\\n|\\n|\\r))+')")} THEN 'paragraph'
+  WHEN {_FITS.format("list_transform(regexp_split_to_array(replace(text, chr(13) || chr(10), chr(2) || chr(10)), '(?:\\x02?\\n|\\r)(?:[ \\t]*(?:\\x02?\\n|\\r))+'), lambda u: replace(u, chr(2), ' '))")} THEN 'paragraph'
   WHEN {_FITS.format(_LINES)} THEN 'line'
   WHEN {_FITS.format(_SENTENCES)} THEN 'sentence'
   WHEN {_FITS.format("regexp_split_to_array(text, '\\s+')")} THEN 'word'

@@ -17,7 +17,7 @@ from quarrylight.llm.common import spread
 
 LIMIT, OVERLAP = 2400, 200
 UNITS = ("paragraph", "line", "sentence", "word", "char")
-_BREAK = r"(?:\r\n|\n|\r)"
+_BREAK = r"(?:\r\n|\n|\r(?!\n))"
 #: Where a unit ends. A paragraph ends at lines without visible text, a sentence after its mark.
 _ENDS = {
     "paragraph": re.compile(rf"{_BREAK}(?:[^\S\r\n]*{_BREAK})+"),
