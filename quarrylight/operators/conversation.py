@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import count_tokens
+from quarrylight.operators.skew import split_join
 
 BUDGET = 1024
 
@@ -14,19 +15,22 @@ def trim_history(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """Messages that fit the budget, with their tokens: everything if it fits, else all system messages and the longest run of
     the newest others; only the last system message if the system messages alone reach the budget.
 
-    Turns must be unique within a conversation; null texts have no tokens, null roles are no system messages.
+    Turns must be unique within a conversation; null texts have no tokens, null roles are no system messages, rows without a
+    conversation are left out. A conversation of a third of all rows is split: its totals are combined before the shuffle.
     """
     system = F.coalesce(F.col("role") == "system", F.lit(False))
-    rows = messages.withColumn("tokens", count_tokens(F.col("text"), mode))
-    all_of = Window.partitionBy(conv)
-    newest = all_of.orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({
-        "_all": F.sum("tokens").over(all_of), "_sys": F.sum(F.when(system, F.col("tokens")).otherwise(0)).over(all_of),
-        "_cum": F.sum(F.when(system, 0).otherwise(F.col("tokens"))).over(newest), "_last": F.max(F.when(system, F.col(turn))).over(all_of),
-    })
+    rows = messages.withColumn("tokens", count_tokens(F.col("text"), mode)).where(F.col(conv).isNotNull())
+    totals = rows.groupBy(conv).agg(F.sum("tokens").alias("_all"), F.sum(F.when(system, F.col("tokens")).otherwise(0)).alias("_sys"), F.max(F.when(system, F.col(turn))).alias("_last"))
+    # no more than ``budget`` messages with tokens can be kept: the newest of them are picked before the shuffle
+    newest = Window.partitionBy(conv).orderBy(F.desc(turn))
+    few = rows.where(~system & (F.col("tokens") > 0)).select(conv, turn, "tokens").withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= budget + 1)
+    few = few.withColumn("_cum", F.sum("tokens").over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = few.join(totals.select(conv, "_sys"), conv).where(F.col("_cum") > budget - F.col("_sys")).groupBy(conv).agg(F.max(turn).alias("_over"))
+    met = split_join(rows, totals.join(over, conv, "left"), conv, "inner")
     left = F.lit(budget) - F.col("_sys")
-    keep = (F.col("_all") <= budget) | ((left > 0) & (system | (F.col("_cum") <= left))) | ((left <= 0) & (F.col(turn) == F.col("_last")))
-    return rows.where(keep).drop("_all", "_sys", "_cum", "_last")
+    fits = F.col("_over").isNull() | (F.col(turn) > F.col("_over"))
+    keep = (F.col("_all") <= budget) | ((left > 0) & (system | fits)) | ((left <= 0) & (F.col(turn) == F.col("_last")))
+    return met.where(keep).select(*messages.columns, "tokens")
 
 
 def headers(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
