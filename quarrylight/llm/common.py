@@ -26,7 +26,10 @@ class WordHash(dict):
 
 
 def word_hashes(text: str, known: WordHash) -> np.ndarray:
-    words = WORD.findall(text.lower())
+    if "İ" in text:  # its lower form has a mark that would part the word
+        words = [w.lower() for w in WORD.findall(text)]
+    else:
+        words = WORD.findall(text.lower())
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

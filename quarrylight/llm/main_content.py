@@ -34,6 +34,8 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
 _OUTSIDE = {"head", "header", "nav", "footer", "aside", "script", "style", "noscript", "template", "form"}
 _BLOCK = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "pre", "td", "th", "tr", "dt", "dd", "blockquote"}
+_LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "a", "b", "i", "em", "strong", "span"}
+_WHOLE = {"root", "html", "body", "main"}
 _MD_LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _SENTENCE = re.compile(r"[.!?:;。！？…][\"'”»)\]]*$")
 
@@ -47,6 +49,7 @@ class Line:
     outside: bool
     own: int = 0
     key: int = 0
+    within: int = 0
 
 
 @dataclass
@@ -125,6 +128,10 @@ def parse(content: str, host: str = "") -> tuple[Node, list[Line], str]:
             continue
         names = {t for t, _ in stack} | {t for t in opened if t in _OUTSIDE} | ({owner[0]} if owner else set())
         line = Line(no, plain, tag or (owner[0] if owner and owner[0] in _BLOCK else ""), anchors >= 0.9 * max(1, shown), bool(names & _OUTSIDE))
+        holder = (owner or stack[-1])[1]
+        if holder.label in _LEAVES and len(stack) > 1:  # an element of the line's own lies in its parent
+            holder = next((node for name, node in reversed(stack) if name not in _LEAVES), root)
+        line.within = 0 if holder.label in _WHOLE else id(holder)
         lines.append(line)
         (owner or stack[-1])[1].children.append(Node(None, line))
     brand = re.split(r"\s[|–—-]\s", title)[-1] if re.search(r"\s[|–—-]\s", title) else ""
@@ -212,24 +219,24 @@ def recurring(root: Node, lines: list[Line], partners: list[tuple[Node, list[Lin
     return {no for no, n in seen.items() if n >= need}
 
 
-def _title_at(lines: list[Line], title: str | None, head: str, template: set[int]) -> int:
-    """Index of the line that holds the page's title, or of the first one after the template that leads in."""
-    wanted = [_fold(t) for t in (title, re.split(r"\s[|–—]\s", head)[0]) if t and t.strip()]
+def _title_at(lines: list[Line], title: str | None, head: str, template: set[int]) -> tuple[int, bool]:
+    """Index of the line that holds the page's title, and that it does; else of the first line that may be content."""
+    wanted = [w for t in (title, re.split(r"\s[|–—]\s", head)[0]) if t and (w := _fold(t))]
     for w in wanted:
         for i, x in enumerate(lines):
-            if w and not x.outside and _fold(x.text) == w:
-                return i
+            if not x.outside and _fold(x.text) == w:
+                return i, True
     for i, x in enumerate(lines):
         if x.tag == "h1" and not x.outside:
-            return i
-    for i, x in enumerate(lines[:20]):
-        last = re.split(r" [/>»›] ", x.text)[-1]
-        if last != x.text and i + 1 < len(lines) and _fold(last) == _fold(lines[i + 1].text):
-            return i + 1
+            return i, True
+    for i, x in enumerate(lines[:25]):  # a trail of links that ends in the title
+        last = _fold(re.split(r" [/>»›] ", x.text)[-1])
+        if last != _fold(x.text) and (last in wanted or i + 1 < len(lines) and last == _fold(lines[i + 1].text)):
+            return min(i + 1, len(lines) - 1), i + 1 < len(lines) and last == _fold(lines[i + 1].text)
     for i, x in enumerate(lines):
         if not x.outside and x.no not in template and not x.linked and " | " not in x.text and " · " not in x.text:
-            return i
-    return 0
+            return i, False
+    return 0, False
 
 
 def article_lines(content: str, host: str, title: str | None, phrases: set[int], others: list[tuple[Node, list[Line]]]) -> list[int]:
@@ -238,20 +245,21 @@ def article_lines(content: str, host: str, title: str | None, phrases: set[int],
     if not lines:
         return []
     template = recurring(root, lines, others)
-    for x in lines:
-        if x.key in phrases or (k := frame_key(x.text)) is not None and k in phrases:
-            template.add(x.no)
-    first = _title_at(lines, title, head, template)
+    told = {x.no for x in lines if x.key in phrases or (k := frame_key(x.text)) is not None and k in phrases}
+    template |= told
+    first, sure = _title_at(lines, title, head, template)
     body = [x for x in lines[first:] if not x.outside]
-    keep = [x for x in body if x.no not in template or x is lines[first]]
+    keep = [x for x in body if x.no not in template or sure and x is lines[first]]
     # a list of links at the very end: template lines and titles after the last line that can only be content
     end = len(body)
-    while end and body[end - 1] is not lines[first] and (body[end - 1].no in template or _like_a_title(body[end - 1])):
+    while end and not (sure and body[end - 1] is lines[first]) and (body[end - 1].no in template or _like_a_title(body[end - 1])):
         end -= 1
-    tail = body[end:]
-    lead = next((i for i, x in enumerate(tail) if x.no in template and i + 1 < len(tail) and not _SENTENCE.search(x.text) and any(y.no not in template for y in tail[i + 1 :])), None)
-    if lead is not None:
-        gone = {x.no for x in tail[lead:]}
+    within = lines[first].within if sure else 0
+    tail = [x for x in body[end:] if not within or x.within != within]  # what lies in the title's own element is no such list
+    heads = [i for i, x in enumerate(tail) if x.no in told and not _SENTENCE.search(x.text) and i + 1 < len(tail) and tail[i + 1].no not in told]
+    long = [i for i in heads if i + 2 < len(tail) and tail[i + 2].no not in told]
+    if heads:
+        gone = {x.no for x in tail[(long or heads)[-1] :]}
     else:
         gone = {x.no for x in tail} if len(others) < 4 else set()
     return [x.no for x in keep if x.no not in gone]
