@@ -36,9 +36,10 @@ _ES_STREET = r"(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino|Ronda|Carrera)"
 _DE_STREET = r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|hof)"
 _UNIT = r"(?:,? (?:Apt|Apartment|Flat|Unit|Suite|Floor|App|Etage|Whg)\.? ?\w+)?"
 
-_AT = r"(?:@| @ | ?\(at\) ?| ?\[at\] ?| at )"
 _DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )"
-EMAIL = re.compile(rf"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}([^\W\d_]{{2,}})(?![\w-])", re.I)
+_SIGN = re.compile(r"@|[(\[](?:at|AT)[)\]]| (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
+_LOCAL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*$")
+_DOMAIN = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)*{_DOT}([^\W\d_]{{2,}})(?![\w-])", re.I)
 PHONE = re.compile(r"(?<![\w.+/=\-])(?:\+\d{1,3}|\(\d{2,5}\)|\d{1,7})(?:(?:[ .\-]| ?/ ?)?\(\d{1,5}\))?(?:(?:[ .\-]| ?/ ?)?\d{2,8}|[ .\-]\d){0,7}(?:,? ?(?:ext\.?|x|poste|Durchw(?:ahl|\.)) ?\d{1,5})?(?![\w@])")
 NATIONAL_ID = re.compile(r"(?<![\w\-.])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{7,8}|\d{8}-?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|\d{6}-\d{4})(?![\w\-]|\.\d)")
 _SURE_ID = re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-Z]")
@@ -54,8 +55,10 @@ _INITIAL = r"[A-ZÀ-ÞŁŚŻŠČŽİĞŞ]\."
 _SURNAME = rf"(?:{_PARTICLES} )?{_CAP}"
 _FORWARD = re.compile(rf"(?P<given>{_CAP}|{_INITIAL})(?: (?P<middle>{_INITIAL}))?[  ](?P<surname>{_SURNAME})(?!\w)")
 _BACKWARD = re.compile(rf"(?P<surname>{_SURNAME}), (?P<given>{_CAP}|{_INITIAL})(?: (?P<middle>{_INITIAL}))?(?!\w)")
-_START = re.compile(rf"(?<![\w.'’-])(?={_SURNAME}|{_INITIAL})")
+_START = re.compile(rf"(?<![\w.'’-])(?=(?:{_CAP}|{_INITIAL}),?[  ](?:[A-ZÀ-ÞŁŚŻŠČŽİĞŞ]|d['’]|{_PARTICLES} )|{_PARTICLES} {_CAP}, )")
 _WORD = re.compile(r"\w+|[^\w\s]")
+_DIGIT, _SIX_DIGITS, _NINE_DIGITS = re.compile(r"\d"), re.compile(r"\d(?:[ -]?\d){5}"), re.compile(r"\d(?:[ ()./\-]{0,3}\d){8}")
+_LINE_END = re.compile(r"[\r\n]")
 
 
 def fold(text: str) -> str:
@@ -64,25 +67,38 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", out) if c.isalnum())
 
 
-def _around(line: str, start: int, end: int) -> list[str]:
-    """Terms beside a candidate: two words before it; and the word before with the word after."""
-    left = [re.sub(r"\d+", "9", w.lower()) for w in _WORD.findall(line[max(0, start - 40) : start])[-2:]]
-    right = [re.sub(r"\d+", "9", w.lower()) for w in _WORD.findall(line[end : end + 30])[:1]]
+def _around(text: str, start: int, end: int) -> list[str]:
+    """Terms beside a candidate within its line: the word before with the word after; and two words before it."""
+    before_it = text[max(0, start - 40) : start]
+    before_it = before_it[max(before_it.rfind("\n"), before_it.rfind("\r")) + 1 :]
+    after_it = _LINE_END.split(text[end : end + 30], maxsplit=1)[0]
+    left = [re.sub(r"\d+", "9", w.lower()) for w in _WORD.findall(before_it)[-2:]]
+    right = [re.sub(r"\d+", "9", w.lower()) for w in _WORD.findall(after_it)[:1]]
     before = ["^"] * (2 - len(left)) + left
     return [f"B {before[1]} {right[0] if right else '$'}", *([f"L {before[0]} {before[1]}"] if left else [])]
 
 
-def _names(line: str, at: int, mails: list[tuple[int, str]]):
-    """Name-shaped candidates of a line, overlapping ones included, each with its words and whether a mail near it is built from it."""
-    for s in _START.finditer(line):
+def _mails(text: str):
+    """Mail addresses: start, end, and the local part."""
+    for at in _SIGN.finditer(text):
+        a, b = at.start() - (text[at.start() - 1 : at.start()] == " "), at.end() + (text[at.end() : at.end() + 1] == " ")
+        local = _LOCAL.search(text, max(0, a - 90), a)
+        domain = _DOMAIN.match(text, b) if local else None
+        if domain and domain[1].lower() not in _TLD_NOT:
+            yield local.start(), domain.end(), local[0]
+
+
+def _names(text: str, mails: list[tuple[int, str]]):
+    """Name-shaped candidates, overlapping ones included, each with its words and whether a mail near it is built from it."""
+    for s in _START.finditer(text):
         for shape in (_FORWARD, _BACKWARD):
-            m = shape.match(line, s.start())
+            m = shape.match(text, s.start())
             if not m:
                 continue
             given, surname = fold(m["given"]), fold(m["surname"])
             if given in _TITLES or surname in _TITLES:
                 continue
-            near = mails[bisect_left(mails, (at + m.start() - 160, "")) : bisect_left(mails, (at + m.start() + 160, ""))]
+            near = mails[bisect_left(mails, (m.start() - 160, "")) : bisect_left(mails, (m.start() + 160, ""))]
             sure = len(surname) > 2 and any(surname in local or len(given) > 2 and local.startswith(given + "|") for _, local in near)
             yield m.start(), m.end(), given, surname, sure
 
@@ -92,46 +108,32 @@ def candidates(text: str) -> list[tuple]:
     out: list[tuple] = []
     taken = bytearray(len(text))
     mails = []
-
-    def free(a: int, b: int) -> bool:
-        return taken.find(1, a, b) < 0
-
-    def take(a: int, b: int) -> None:
+    for a, b, local in _mails(text):
+        mails.append((a, fold(re.sub(r"[+_].*$", "", local)) + ("|" if "+" in local else "")))
         taken[a:b] = b"\x01" * (b - a)
-
-    for m in EMAIL.finditer(text):
-        spaced = re.search(r"\bat\b|\bdot\b", m[0], re.I)
-        if m[1].lower() in _TLD_NOT or (spaced and not re.search(r"@|[(\[]at|\bdot\b|\.", m[0], re.I)) or (" at " in m[0] and " dot " not in m[0]):
-            continue
-        local = re.split(r"@|\s?[(\[]?\bat\b[)\]]?", m[0], maxsplit=1, flags=re.I)[0]
-        mails.append((m.start(), fold(re.sub(r"[+_].*$", "", local)) + ("|" if "+" in local else "")))
-        take(m.start(), m.end())
-        out.append(("email", m.start(), m[0], None, None, True, []))
-    at = 0
-    for line in re.split(r"(?<=[\r\n])", text):
-        for kind, shape in (("national_id", NATIONAL_ID), ("address", ADDRESS), ("phone", PHONE)):
-            for m in shape.finditer(line):
-                a, b = m.start(), m.end()
-                if kind == "phone" and not 9 <= sum(c.isdigit() for c in re.split(r"ext|x|poste|Durchw", m[0])[0]) <= 15:
-                    continue
-                if not free(at + a, at + b):
-                    continue
-                if kind == "address" and m[0].endswith(".") and _ends_sentence(line, a, b):
-                    b -= 1
-                certain = {"phone": m[0].startswith("+"), "national_id": bool(_SURE_ID.fullmatch(m[0])), "address": not _UNSURE_ADDRESS.search(m[0])}[kind]
-                out.append((kind, at + a, line[a:b], None, None, certain, _around(line, a, b)))
-                if certain or kind == "national_id":
-                    take(at + a, at + b)
-        for a, b, given, surname, sure in _names(line, at, mails):
-            if free(at + a, at + b):
-                out.append(("person", at + a, line[a:b], given, surname, sure, _around(line, a, b)))
-        at += len(line)
+        out.append(("email", a, text[a:b], None, None, True, []))
+    for kind, needs, shape in (("national_id", _SIX_DIGITS, NATIONAL_ID), ("address", _DIGIT, ADDRESS), ("phone", _NINE_DIGITS, PHONE)):
+        for m in shape.finditer(text) if needs.search(text) else ():
+            a, b = m.span()
+            if kind == "phone" and (b - a < 9 or not 9 <= sum(c.isdigit() for c in re.split(r"ext|x|poste|Durchw", m[0])[0]) <= 15):
+                continue
+            if taken.find(1, a, b) >= 0:
+                continue
+            if kind == "address" and text[b - 1] == "." and _ends_sentence(text, a, b):
+                b -= 1
+            certain = {"phone": m[0].startswith("+"), "national_id": bool(_SURE_ID.fullmatch(m[0])), "address": not _UNSURE_ADDRESS.search(m[0])}[kind]
+            out.append((kind, a, text[a:b], None, None, certain, _around(text, a, b)))
+            if certain or kind == "national_id":
+                taken[a:b] = b"\x01" * (b - a)
+    for a, b, given, surname, sure in _names(text, mails):
+        if taken.find(1, a, b) < 0:
+            out.append(("person", a, text[a:b], given, surname, sure, _around(text, a, b)))
     return out
 
 
-def _ends_sentence(line: str, start: int, end: int) -> bool:
+def _ends_sentence(text: str, start: int, end: int) -> bool:
     """Whether the point before ``end`` closes a sentence rather than an abbreviation: a new one or nothing follows, and no colon led in."""
-    return bool(re.match(r"\s*$|\s+[A-ZÀ-Þ]", line[end:])) and not re.search(r":\s*$", line[:start])
+    return bool(re.match(r"[^\S\r\n]*(?:[\r\n]|$)|[^\S\r\n]+[A-ZÀ-Þ]", text[end : end + 80])) and not re.search(r":[^\S\r\n]*$", text[max(0, start - 40) : start])
 
 
 _SCHEMA = "kind string, start bigint, pii string, given string, surname string, certain boolean, terms array<string>"
