@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators.skew import split_join
-from quarrylight.scratch import write_out
+from quarrylight.scratch import Growing, write_out
 
 TREE, LOOP, BELOW_LOOP = "tree", "loop", "below_loop"
 _RAKED, _SPLICED, _STAYS, _CORE = 0, 1, 2, 3
@@ -81,16 +81,16 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
         active = _shrunk(marked)
     cores = rounds[-1].where(F.col("fate") == _CORE)
     loops = cores.select("node", F.lit(LOOP).alias("kind"), F.col("low.node").alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast(path_type).alias("path"))
-    known = write_out(roots.unionByName(loops))
+    known = Growing(roots.unionByName(loops))
     has_loop = _CORE in left
     for marked in reversed(rounds):
         for fate in (_SPLICED, _RAKED):
-            known = _put_back(marked.where(F.col("fate") == fate), known, has_loop and fate == _SPLICED)
-        known = _grown(known)
-    return known
+            known.add(_put_back(marked.where(F.col("fate") == fate), known.df, has_loop and fate == _SPLICED))
+    return known.df
 
 
 def _put_back(gone: DataFrame, known: DataFrame, may_loop: bool) -> DataFrame:
+    """What is known of nodes that a round removed, from what is known of their parents then."""
     up = known.select(F.col("node").alias("parent"), "kind", "root", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
     found = split_join(gone.select("node", "parent", "child", "seg"), up, "parent", "inner")
     kind = F.when(F.col("kind") == TREE, TREE)
@@ -99,12 +99,7 @@ def _put_back(gone: DataFrame, known: DataFrame, may_loop: bool) -> DataFrame:
         found = found.join(on, "child", "left")
         kind = kind.when(F.col("on"), LOOP)
     depth = F.when(F.col("kind") == TREE, F.col("up_depth") + F.size("seg")).otherwise(F.lit(-1)).cast("bigint")
-    back = found.select("node", kind.otherwise(BELOW_LOOP).alias("kind"), "root", depth.alias("depth"), F.concat("up_path", "seg").alias("path"))
-    return known.unionByName(back)
-
-
-def _grown(known: DataFrame) -> DataFrame:
-    return write_out(known)
+    return found.select("node", kind.otherwise(BELOW_LOOP).alias("kind"), "root", depth.alias("depth"), F.concat("up_path", "seg").alias("path"))
 
 
 def descendants(tree: DataFrame, key: str = "node") -> DataFrame:

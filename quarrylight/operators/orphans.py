@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.operators.skew import HEAVY_ROWS, HEAVY_SHARE, split_join
+from quarrylight.operators.skew import HEAVY_KEYS, HEAVY_ROWS, split_join
 
 
 def file_key(name: Column) -> Column:
@@ -36,15 +36,15 @@ def _reason() -> Column:
     return F.when(F.col("deleted").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("first_loaded") > F.col("at"), "late")
 
 
-def orphan_keys(refs: DataFrame, targets: DataFrame, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> DataFrame:
+def orphan_keys(refs: DataFrame, targets: DataFrame, most: int = HEAVY_KEYS, least: int = HEAVY_ROWS) -> DataFrame:
     """How many references to each key fail, by child table, column, reason and load time.
 
     References are counted per key and load time first, with a partial count before the shuffle (children come in
-    batches, so load times repeat). Keys that hold a share of all references are looked up by broadcast, at most 1 / share
-    of them; the others by shuffle. Both sides are united.
+    batches, so load times repeat). The most frequent keys, at most ``most``, are looked up by broadcast, the others
+    by shuffle. Both sides are united.
     """
     counted = refs.groupBy("child_table", "ref_column", "key", "at").agg(F.count(F.lit(1)).alias("n"))
-    seen = split_join(counted, targets, "key", "left", weight="n", share=share, least=least)
+    seen = split_join(counted, targets, "key", "left", weight="n", most=most, least=least)
     return seen.withColumn("reason", _reason()).where(F.col("reason").isNotNull()).select("child_table", "ref_column", "key", "at", "reason", "n")
 
 
@@ -55,12 +55,12 @@ def orphan_counts(failed: DataFrame) -> DataFrame:
     return per_key.groupBy("child_table", "ref_column", "reason", "period").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))
 
 
-def orphan_rows(refs: DataFrame, targets: DataFrame, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> DataFrame:
+def orphan_rows(refs: DataFrame, targets: DataFrame, most: int = HEAVY_KEYS, least: int = HEAVY_ROWS) -> DataFrame:
     """Each failing reference: child table and key, column, reason and the month its child was loaded.
 
     The same split as in ``orphan_keys``, by the number of references to a key. Null keys are no references; a child
     without load time gets a null period and is never late.
     """
-    seen = split_join(refs, targets, "key", "left", share=share, least=least)
+    seen = split_join(refs, targets, "key", "left", most=most, least=least)
     bad = seen.withColumn("reason", _reason()).where(F.col("reason").isNotNull())
     return bad.select("child_table", "child_key", "ref_column", "reason", F.date_format("at", "yyyy-MM").alias("period"))

@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is heavy from this share of all rows on, so there are at most 1 / HEAVY_SHARE heavy keys: they may be broadcast at any scale.
-HEAVY_SHARE = 1e-3
+#: At most so many keys count as heavy, the most frequent ones: they may be broadcast at any scale.
+HEAVY_KEYS = 1000
 #: Keys below so many rows never count as heavy.
 HEAVY_ROWS = 20_000
 
 
-def heavy_keys(df: DataFrame, key: str, weight: str | None = None, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> DataFrame | None:
-    """Keys that hold at least ``share`` of the rows (or of ``weight``) and ``least`` rows; None if there are none.
+def heavy_keys(df: DataFrame, key: str, weight: str | None = None, most: int = HEAVY_KEYS, least: int = HEAVY_ROWS) -> DataFrame | None:
+    """The up to ``most`` keys with the most rows (or ``weight``), none with fewer than ``least``; None if there are none.
 
-    Counts are combined before the shuffle; the driver sees at most 1 / share keys. Null keys are not counted.
+    Counts are combined before the shuffle; the driver sees at most ``most`` keys. Null keys are not counted.
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    total = df.agg(n.alias("n")).first()["n"] or 0
-    if total < least:
-        return None
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("n"))
-    rows = counts.where(F.col("n") >= F.lit(max(least, share * total))).select(key).collect()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("n")).where(F.col("n") >= least)
+    rows = [(r[0],) for r in counts.orderBy(F.desc("n"), key).limit(most).collect()]
     return df.sparkSession.createDataFrame(rows, df.select(key).schema) if rows else None
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", weight: str | None = None, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", weight: str | None = None, most: int = HEAVY_KEYS, least: int = HEAVY_ROWS) -> DataFrame:
     """``left`` joined with ``right`` (one row per key) on ``key``: heavy keys of ``left`` by broadcast, the rest by shuffle.
 
-    The right rows of heavy keys are at most 1 / share, whatever the input. ``how`` is "left" or "inner"; rows of a null
+    The right rows of heavy keys are at most ``most``, whatever the input. ``how`` is "left" or "inner"; rows of a null
     key stay in a left join without a partner. The result has the key once, then the other columns of both sides.
     """
-    hot = heavy_keys(left, key, weight, share, least)
+    hot = heavy_keys(left, key, weight, most, least)
     if hot is None:
         return left.join(right, key, how)
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))

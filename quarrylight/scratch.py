@@ -22,3 +22,18 @@ def write_out(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table in the shared folder that grows by appending; ``df`` reads what is there by now."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema, self.path = first.sparkSession, first.schema, scratch_dir(first.sparkSession)
+        self.add(first)
+
+    def add(self, more: DataFrame) -> None:
+        more.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

@@ -60,10 +60,10 @@ def test_descendants(spark):
 def test_split_join_is_a_join(spark):
     left = spark.createDataFrame([("hot", i) for i in range(90)] + [("k%d" % (i % 7), i) for i in range(20)] + [(None, 5)], "k string, v long")
     right = spark.createDataFrame([("hot", "h"), ("k1", "a"), ("k2", "b")], "k string, w string")
-    hot = heavy_keys(left, "k", share=0.5, least=10)
+    hot = heavy_keys(left, "k", most=5, least=10)
     assert [r["k"] for r in hot.collect()] == ["hot"]
     for how in ("left", "inner"):
-        a = split_join(left, right, "k", how, share=0.5, least=10).select("k", "v", "w")
+        a = split_join(left, right, "k", how, most=5, least=10).select("k", "v", "w")
         assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()), key=str)
     assert heavy_keys(left.limit(0), "k") is None
 
