@@ -1,8 +1,9 @@
-"""Evaluation texts inside training documents, by latent semantic retrieval.
+"""Evaluation texts inside training documents: common runs, and paraphrases by latent semantic retrieval.
 
-Documents are cut into passages of two blocks of words, weighted by TF-IDF over the whole corpus and projected on a basis
-found by a distributed randomised SVD. Windows of the evaluation items are projected too; a passage whose cosine with a
-window reaches a threshold is a candidate, and longest common runs, common subsequences and answers decide.
+Runs of words that a document and an item have in common are looked up exactly. For paraphrases documents are cut into
+passages of two blocks of words, weighted by TF-IDF over the whole corpus and projected on a basis found by a distributed
+randomised SVD. Windows of the evaluation items are projected too; a passage whose cosine with a window reaches a threshold
+is a candidate, and common subsequences and answers decide.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from quarrylight.scratch import write_out
 
 #: Hash buckets of words, rank of the basis, words of a passage in the SVD. These and no data set the size of what the driver sees.
 TERMS, RANK, PASSAGE = 8192, 64, 64
-#: A run of so many words leaks an item. Blocks and item windows have the same length, so a run lies in one passage of two blocks.
+#: A run of so many words leaks an item. Blocks and item windows have the same length, so a window's words lie in one passage of two blocks.
 RUN = 13
-#: Item windows start every STEP words; COSINE makes a candidate; a paraphrase needs so much of the item's windows and words.
-STEP, COSINE, COVERED, COMMON = 6, 0.45, 0.5, 0.7
+#: Item windows start every STEP words; COSINE makes a candidate for a paraphrase, which needs so much of the item's windows and words.
+STEP, COSINE, COVERED, COMMON = 5, 0.45, 0.5, 0.7
 #: Items are searched in blocks of so many.
 ITEMS = 4000
 _CHUNKS = 64
@@ -172,80 +173,93 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine: float, paraphrases: bool):
-    terms, padded = len(projection), _with_zero(projection)
+def _bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(words, return_counts=True)
+
+
+def _in_both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Words that two bags have in common; no common subsequence is longer."""
+    if not len(a[0]) or not len(b[0]):
+        return 0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    return int(np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum())
+
+
+def _search(items: list[tuple], projection: np.ndarray | None, run_length: int, cosine: float):
+    """Without a projection only common runs are looked up."""
     known = WordHash()
     words = [(word_hashes(t or "", known) >> np.uint64(32)).astype(np.uint32) for _, t, _ in items]
+    bags = [_bag(w) for w in words]
     answers = [(word_hashes(a or "", known) >> np.uint64(32)).astype(np.uint32).tobytes() for *_, a in items]
-    windows = [(i, w[k : k + run_length]) for i, w in enumerate(words) if len(w) >= run_length for k in sorted({*range(0, len(w) - run_length, STEP), len(w) - run_length})]
-    owner = np.array([i for i, _ in windows], np.int64)
-    per_item = np.bincount(owner, minlength=len(items)) if len(owner) else np.zeros(len(items), int)
-    query = _unit(np.array([projection[(w % terms).astype(np.int64)].sum(0) for _, w in windows], np.float32).reshape(len(windows), projection.shape[1])).T.copy()
     keys = [np.unique(_run_keys(w, run_length)) for w in words]
     key_item = np.repeat(np.arange(len(items)), [len(k) for k in keys]).astype(np.int64)
     key_all = np.concatenate(keys) if keys else np.empty(0, np.uint64)
     order = np.argsort(key_all, kind="stable")
     key_all, key_item = key_all[order], key_item[order]
-    # an item of few words shares a key with another: all items of a key are looked at one after the other
-    most = int(np.max(np.unique(key_all, return_counts=True)[1])) if len(key_all) else 0
-
-    def confirmed(near_p, near_i, run_at, grams, ends):
-        """Of pairs of passage and item, those that have a run in common."""
-        hit = np.zeros(len(near_p), bool)
-        for lo in range(0, len(near_p), 50_000):
-            p, i = near_p[lo : lo + 50_000], near_i[lo : lo + 50_000]
-            pos = run_at[p][:, None] + np.arange(run_length + 1)
-            ok = pos < ends[p][:, None]
-            g = grams[np.minimum(pos, len(grams) - 1)]
-            at = np.searchsorted(key_all, g)
-            for k in range(most):
-                j = np.minimum(at + k, len(key_all) - 1)
-                hit[lo : lo + 50_000] |= (ok & (key_all[j] == g) & (key_item[j] == i[:, None])).any(1)
-        return hit
+    paraphrases = projection is not None
+    if paraphrases:
+        terms, padded = len(projection), _with_zero(projection)
+        windows = [(i, w[k : k + run_length]) for i, w in enumerate(words) if len(w) >= run_length for k in sorted({*range(0, len(w) - run_length, STEP), len(w) - run_length})]
+        owner = np.array([i for i, _ in windows], np.int64)
+        per_item = np.bincount(owner, minlength=len(items)) if len(owner) else np.zeros(len(items), int)
+        query = _unit(np.array([projection[(w % terms).astype(np.int64)].sum(0) for _, w in windows], np.float32).reshape(len(windows), projection.shape[1])).T.copy()
+
+    def common_runs(w, doc_end):
+        """Pairs of document and item that have a run in common; every run of every document is looked up."""
+        grams = _run_keys(w, run_length)
+        if not len(grams) or not len(key_all):
+            return set()
+        at = np.searchsorted(key_all, grams)
+        doc = np.searchsorted(doc_end, np.arange(len(grams)), side="right")
+        here = np.flatnonzero((key_all[np.minimum(at, len(key_all) - 1)] == grams) & (np.arange(len(grams)) + run_length <= doc_end[doc]))
+        pairs = set()
+        at = at[here]
+        while len(here):  # items that share a key are taken one after the other
+            pairs.update(zip(doc[here].tolist(), key_item[at].tolist(), strict=True))
+            at = at + 1
+            more = (at < len(key_all)) & (key_all[np.minimum(at, len(key_all) - 1)] == grams[here])
+            here, at = here[more], at[more]
+        return pairs
+
+    def alike(w, lengths):
+        """Pairs of document and item of whose windows enough resemble some passage of the document."""
+        starts, block_doc = _starts(lengths, run_length)
+        blocks = segment_sums(padded, (w % terms).astype(np.int32), starts, run_length)
+        passages = blocks.copy()
+        same = block_doc[1:] == block_doc[:-1]
+        passages[:-1][same] += blocks[1:][same]
+        passages = _unit(passages)
+        near = [np.empty(0, np.int64)]
+        for lo in range(0, len(passages), 512):
+            hit = np.flatnonzero((passages[lo : lo + 512] @ query >= cosine).ravel())
+            near.append(np.unique(block_doc[hit // len(owner) + lo] * len(owner) + hit % len(owner)))
+        each = np.unique(np.concatenate(near))  # a document's passages may lie in two parts
+        both, n = np.unique(each // len(owner) * len(items) + owner[each % len(owner)], return_counts=True)
+        both = both[n >= COVERED * per_item[both % len(items)]]
+        return zip((both // len(items)).tolist(), (both % len(items)).tolist(), strict=True)
 
     def run(batches):
         for b in batches:
             out: list[tuple] = []
             for first, w, lengths in _joined(b):
-                if not len(w) or not len(owner):
+                if not len(w):
                     continue
                 filled = np.flatnonzero(lengths)
-                starts, block_doc = _starts(lengths[filled], run_length)
-                blocks = segment_sums(padded, (w % terms).astype(np.int32), starts, run_length)
-                passages = blocks.copy()
-                same = block_doc[1:] == block_doc[:-1]
-                passages[:-1][same] += blocks[1:][same]
-                passages = _unit(passages)
-                grams = _run_keys(w, run_length) if len(w) >= run_length else np.zeros(1, np.uint64)
-                doc_end = np.cumsum(lengths[filled])
-                ends = doc_end[block_doc] - run_length + 1
-                for lo in range(0, len(passages), 512):
-                    sim = passages[lo : lo + 512] @ query
-                    hit = np.flatnonzero((sim >= cosine).ravel())
-                    if not len(hit):
-                        continue
-                    p, q = hit // len(owner), hit % len(owner)
-                    pair = np.unique((p + lo) * len(items) + owner[q])
-                    near_p, near_i = pair // len(items), pair % len(items)
-                    hit = confirmed(near_p, near_i, starts, grams, ends)
-                    for x, y in set(zip(block_doc[near_p[hit]].tolist(), near_i[hit].tolist(), strict=True)):
-                        out.append((first + int(filled[x]), y, 1))
-                    if paraphrases:
-                        strong = sim[p, q] >= 0.8
-                        trio = np.unique(np.stack([block_doc[p[strong] + lo], q[strong]], 1), axis=0)
-                        if len(trio):
-                            both, n = np.unique(trio[:, 0] * len(items) + owner[trio[:, 1]], return_counts=True)
-                            for x, y in zip((both // len(items)).tolist(), (both % len(items)).tolist(), strict=True):
-                                if n[np.searchsorted(both, x * len(items) + y)] >= COVERED * per_item[y]:
-                                    out.append((first + int(filled[x]), y, 0))
+                out += [(first + int(filled[x]), y, 1) for x, y in common_runs(w, np.cumsum(lengths[filled]))]
+                if paraphrases and len(owner):
+                    out += [(first + int(filled[x]), y, 0) for x, y in alike(w, lengths[filled])]
             found = {(d, i): exact for d, i, exact in sorted(out)}  # the verbatim one comes last and stays
             ids, raw = b.column("id"), b.column("words")
-            rows = []
+            rows, last, doc, bag = [], None, None, None
             for (d, i), exact in found.items():
                 if not paraphrases:
                     rows.append((d, items[i][0], bool(exact), None, None))
                     continue
-                doc = np.frombuffer(raw[d].as_py(), np.uint32)
+                if d != last:
+                    last, doc = d, np.frombuffer(raw[d].as_py(), np.uint32)
+                    bag = _bag(doc)
+                if not exact and _in_both(bags[i], bag) < COMMON * len(words[i]):
+                    continue
                 share = common_subsequence(words[i], doc) / max(1, len(words[i]))
                 answered = bool(answers[i]) and any(doc.tobytes().find(answers[i], 4 * k) == 4 * k for k in np.flatnonzero(doc == np.frombuffer(answers[i][:4], np.uint32)[0]))
                 if exact or share >= COMMON:
@@ -262,18 +276,20 @@ def leaks(df: DataFrame, id_col: Column, text: Column, items: DataFrame, run: in
     """Documents that hold evaluation items: id, item_id, verbatim (``run`` consecutive words), common, answered.
 
     ``items`` (item_id bigint, item_text, answer_text) is the query set, read in blocks of a fixed number of items. With
-    ``paraphrases`` also documents whose passages resemble half of an item's windows strongly and hold COMMON of its words
-    in order; ``common`` is that share and ``answered`` whether the answer stands in the document word for word. Items
+    ``paraphrases`` also documents whose passages resemble half of an item's windows (``cosine``) and that hold COMMON of its
+    words in order; ``common`` is that share and ``answered`` whether the answer stands in the document word for word. Items
     shorter than ``run`` words and null texts give no rows; each pair comes once per row of the document.
     """
     tokens = tokenized(df, id_col, text)
-    idf = inverse_frequency(tokens)
-    projection = latent_basis(tokens, idf, rank) * idf[:, None]
+    projection = None
+    if paraphrases:
+        idf = inverse_frequency(tokens)
+        projection = latent_basis(tokens, idf, rank) * idf[:, None]
     rows = [(r["item_id"], r["item_text"], r["answer_text"]) for r in items.select("item_id", "item_text", "answer_text").distinct().toLocalIterator()]
     kind = tokens.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id bigint, verbatim boolean, common double, answered boolean"
     found = None
     for lo in range(0, max(1, len(rows)), ITEMS):
-        part = tokens.mapInArrow(_search(rows[lo : lo + ITEMS], projection, run, cosine, paraphrases), schema)
+        part = tokens.mapInArrow(_search(rows[lo : lo + ITEMS], projection, run, cosine), schema)
         found = part if found is None else found.unionByName(part)
     return found

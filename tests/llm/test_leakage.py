@@ -62,3 +62,28 @@ def test_segment_sums_and_subsequence():
         assert np.allclose(L.segment_sums(table, index, starts, width), want, atol=1e-4)
     a, b = np.array([1, 2, 3, 4, 5]), np.array([2, 9, 4, 5, 1])
     assert L.common_subsequence(a, b) == 3 and L.common_subsequence(a, b[:0]) == 0
+
+
+def test_runs_are_found_whatever_their_cosine(spark):
+    docs, items, truth = rows_and_truth()
+    df = spark.createDataFrame(docs, "id long, text string")
+    ev = spark.createDataFrame(items, "item_id long, item_text string, answer_text string")
+    for paraphrases in (False, True):
+        got = L.leaks(df, F.col("id"), F.col("text"), ev, cosine=2.0, paraphrases=paraphrases)
+        assert {(r["id"], r["item_id"]) for r in got.collect()} == truth
+
+
+def test_paraphrases_with_a_quarter_of_the_words_replaced(spark):
+    rng = random.Random(4)
+    vocab = [f"word{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(40)), "") for i in range(20)]
+    docs = [(100 + d, " ".join(rng.choice(vocab) for _ in range(150))) for d in range(100)]
+    for i, text, _ in items:
+        w = text.split()
+        for k in range(1, 40, 4):
+            w[k] = rng.choice(vocab)
+        rest = [rng.choice(vocab) for _ in range(120)]
+        docs.append((i, " ".join(rest[:50] + w + rest[50:])))
+    df = spark.createDataFrame(docs, "id long, text string")
+    got = L.leaks(df, F.col("id"), F.col("text"), spark.createDataFrame(items, "item_id long, item_text string, answer_text string"), paraphrases=True)
+    assert {(r["id"], r["item_id"], r["verbatim"]) for r in got.collect()} == {(i, i, False) for i in range(20)}
