@@ -37,7 +37,7 @@ _DE_STREET = r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|hof
 _UNIT = r"(?:,? (?:Apt|Apartment|Flat|Unit|Suite|Floor|App|Etage|Whg)\.? ?\w+)?"
 
 _DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )"
-_SIGN = re.compile(r"@|[(\[](?:at|AT)[)\]]| (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
+_SIGN = re.compile(r"@|[(\[]at[)\]]| at (?=[\w-]+(?:\.[\w-]+)*(?: ?\(dot\)| ?\[dot\]| dot ))", re.I)
 _LOCAL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*$")
 _DOMAIN = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)*{_DOT}([^\W\d_]{{2,}})(?![\w-])", re.I)
 PHONE = re.compile(r"(?<![\w.+/=\-])(?:\+\d{1,3}|\(\d{2,5}\)|\d{1,7})(?:(?:[ .\-]| ?/ ?)?\(\d{1,5}\))?(?:(?:[ .\-]| ?/ ?)?\d{2,8}|[ .\-]\d){0,7}(?:,? ?(?:ext\.?|x|poste|Durchw(?:ahl|\.)) ?\d{1,5})?(?![\w@])")
@@ -57,7 +57,7 @@ _FORWARD = re.compile(rf"(?P<given>{_CAP}|{_INITIAL})(?: (?P<middle>{_INITIAL}))
 _BACKWARD = re.compile(rf"(?P<surname>{_SURNAME}), (?P<given>{_CAP}|{_INITIAL})(?: (?P<middle>{_INITIAL}))?(?!\w)")
 _START = re.compile(rf"(?<![\w.'’-])(?=(?:{_CAP}|{_INITIAL}),?[  ](?:[A-ZÀ-ÞŁŚŻŠČŽİĞŞ]|d['’]|{_PARTICLES} )|{_PARTICLES} {_CAP}, )")
 _WORD = re.compile(r"\w+|[^\w\s]")
-_DIGIT, _SIX_DIGITS, _NINE_DIGITS = re.compile(r"\d"), re.compile(r"\d(?:[ -]?\d){5}"), re.compile(r"\d(?:[ ()./\-]{0,3}\d){8}")
+_DIGIT, _SIX_DIGITS, _NINE_DIGITS = re.compile(r"\d"), re.compile(r"\d(?:[ -]?\d){5}"), re.compile(r"\d(?:[ ()./\-]{0,5}\d){8}")
 _LINE_END = re.compile(r"[\r\n]")
 
 
@@ -89,7 +89,7 @@ def _mails(text: str):
 
 
 def _names(text: str, mails: list[tuple[int, str]]):
-    """Name-shaped candidates, overlapping ones included, each with its words and whether a mail near it is built from it."""
+    """Name-shaped candidates, overlapping ones included, each with its words and how a mail near it is built from it: 2 from both words, 1 from one, 0 not."""
     for s in _START.finditer(text):
         for shape in (_FORWARD, _BACKWARD):
             m = shape.match(text, s.start())
@@ -100,18 +100,33 @@ def _names(text: str, mails: list[tuple[int, str]]):
                 continue
             near = mails[bisect_left(mails, (m.start() - 160, "")) : bisect_left(mails, (m.start() + 160, ""))]
             sure = len(surname) > 2 and any(surname in local or len(given) > 2 and local.startswith(given + "|") for _, local in near)
-            yield m.start(), m.end(), given, surname, sure
+            both = sure and any(surname in local and (rest := local.replace(surname, "", 1).rstrip("|0123456789")) and (given in rest or given.startswith(rest)) for _, local in near)
+            yield m.start(), m.end(), given, surname, sure + both
+
+
+def _undisputed(names: list[tuple]) -> set[tuple[int, int]]:
+    """Spans of names built into a mail that overlap no other name that is built into one as well or better."""
+    built = [(a, b, grade) for a, b, _, _, grade in names if grade]
+    out, end, group = set(), -1, []
+    for x in [*built, None]:
+        if x is None or x[0] >= end:
+            out.update((a, b) for a, b, grade in group if not any(c < b and a < d and (c, d) != (a, b) and other >= grade for c, d, other in group))
+            group = []
+        if x:
+            group.append(x)
+            end = max(end, x[1])
+    return out
 
 
 def candidates(text: str) -> list[tuple]:
-    """(kind, start, written form, given, surname, certain, terms) of all shapes in a text."""
+    """(kind, start, written form, given, surname, certain, terms, kept) of all shapes in a text; what is kept needs no term beside it."""
     out: list[tuple] = []
     taken = bytearray(len(text))
     mails = []
     for a, b, local in _mails(text):
         mails.append((a, fold(re.sub(r"[+_].*$", "", local)) + ("|" if "+" in local else "")))
         taken[a:b] = b"\x01" * (b - a)
-        out.append(("email", a, text[a:b], None, None, True, []))
+        out.append(("email", a, text[a:b], None, None, True, [], True))
     for kind, needs, shape in (("national_id", _SIX_DIGITS, NATIONAL_ID), ("address", _DIGIT, ADDRESS), ("phone", _NINE_DIGITS, PHONE)):
         for m in shape.finditer(text) if needs.search(text) else ():
             a, b = m.span()
@@ -122,12 +137,13 @@ def candidates(text: str) -> list[tuple]:
             if kind == "address" and text[b - 1] == "." and _ends_sentence(text, a, b):
                 b -= 1
             certain = {"phone": m[0].startswith("+"), "national_id": bool(_SURE_ID.fullmatch(m[0])), "address": not _UNSURE_ADDRESS.search(m[0])}[kind]
-            out.append((kind, a, text[a:b], None, None, certain, _around(text, a, b)))
+            out.append((kind, a, text[a:b], None, None, certain, _around(text, a, b), certain))
             if certain or kind == "national_id":
                 taken[a:b] = b"\x01" * (b - a)
-    for a, b, given, surname, sure in _names(text, mails):
-        if taken.find(1, a, b) < 0:
-            out.append(("person", a, text[a:b], given, surname, sure, _around(text, a, b)))
+    names = [x for x in _names(text, mails) if taken.find(1, x[0], x[1]) < 0]
+    kept = _undisputed(names)
+    for a, b, given, surname, grade in names:
+        out.append(("person", a, text[a:b], given, surname, grade > 0, _around(text, a, b), (a, b) in kept))
     return out
 
 
@@ -136,19 +152,19 @@ def _ends_sentence(text: str, start: int, end: int) -> bool:
     return bool(re.match(r"[^\S\r\n]*(?:[\r\n]|$)|[^\S\r\n]+[A-ZÀ-Þ]", text[end : end + 80])) and not re.search(r":[^\S\r\n]*$", text[max(0, start - 40) : start])
 
 
-_SCHEMA = "kind string, start bigint, pii string, given string, surname string, certain boolean, terms array<string>"
+_SCHEMA = "kind string, start bigint, pii string, given string, surname string, certain boolean, terms array<string>, kept boolean"
 
 
 def _scan(batches):
     for b in batches:
-        keys, cols = [], [[] for _ in range(7)]
+        keys, cols = [], [[] for _ in range(8)]
         for i, text in enumerate(b.column("text").to_pylist()):
             for row in candidates(text):
                 keys.append(i)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keys, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "kind", "start", "pii", "given", "surname", "certain", "terms"])
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keys, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "kind", "start", "pii", "given", "surname", "certain", "terms", "kept"])
 
 
 def disclosing(seen: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -167,7 +183,8 @@ def disclosing(seen: DataFrame, keys: list[str], share: float) -> DataFrame:
 def find_personal(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
     """Personal information in each text: id, kind, start (from 0), pii as written.
 
-    Kinds are person, email, phone, national_id and address. A certain candidate needs no more; another number or address
+    Kinds are person, email, phone, national_id and address. A certain candidate needs no more (of names built into one mail
+    that overlap, the one with both words in it, if there is one alone); another number or address
     needs a term beside it that discloses its kind; a name needs words that disclose names, in their places, or one such
     word (or an initial) and a disclosing term beside it, or a term that hardly ever stands beside anything else. Null and
     empty texts give no rows.
@@ -187,7 +204,7 @@ def find_personal(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
     one = F.col("surname_bits").isNotNull() | F.col("given_bits").isNotNull() | initial
     forms = forms.where(one).select(F.concat_ws("|", "given", "surname").alias("key"), both.alias("both"))
 
-    rows = seen.select("id", "kind", "start", "pii", "certain", "terms", F.when(F.col("kind") == "person", F.concat_ws("|", "given", "surname")).alias("key"))
+    rows = seen.select("id", "kind", "start", "pii", "certain", "terms", "kept", F.when(F.col("kind") == "person", F.concat_ws("|", "given", "surname")).alias("key"))
     persons = write_out(split_join(rows.where("kind = 'person'"), forms, "key", "left").drop("key"))
     numbers = rows.where("kind NOT IN ('person', 'email')").drop("key")
 
@@ -199,7 +216,7 @@ def find_personal(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
     unsure = unsure.unionByName(numbers.where("NOT certain").select("id", "kind", "start", "pii", "terms", F.lit(True).alias("known")))
     beside = unsure.select("id", "kind", "start", "pii", "known", F.explode("terms").alias("term")).withColumn("key", F.concat_ws("|", "kind", "term"))
     led = split_join(beside, contexts, "key", "inner").where(F.col("known") | (F.col("share") >= SHARE_ALONE))
-    sure = rows.where("kind <> 'person' AND certain").select("id", "kind", "start", "pii").unionByName(persons.where("both").select("id", "kind", "start", "pii"))
+    sure = rows.where("kind <> 'person' AND kept").select("id", "kind", "start", "pii").unionByName(persons.where("both OR kept").select("id", "kind", "start", "pii"))
     return _without_overlap(sure.unionByName(led.select("id", "kind", "start", "pii").distinct()))
 
 

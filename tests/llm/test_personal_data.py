@@ -58,3 +58,22 @@ def test_very_long_texts():
     for text in ("a" * 300_000, "1" * 300_000, "A " * 100_000, "a.b-" * 50_000, "Anna Marwen, a.marwen@mail.example " * 2000):
         P.candidates(text)
     assert time.time() - began < 60
+
+
+def test_certain_names_that_occur_once(spark):
+    rows, want = corpus()
+    rows += [(700, "Notes by Ximena Vurlquist, ximena.vurlquist@mail.example, are here."), (701, "Then Dear Ottilie Brandwen (obrandwen@mail.example) left."), (702, "Seen Ulla Zarnow, zarnow@mail.example, twice.")]
+    names = {(700, "person", "Ximena Vurlquist"), (701, "person", "Ottilie Brandwen"), (702, "person", "Ulla Zarnow")}
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r["id"], r["kind"], r["pii"]) for r in P.find_personal(df, F.col("id"), F.col("text")).collect()}
+    assert {x for x in got if x[1] == "person" and x[0] >= 700} == names and {x for x in got if x[0] < 700} == want
+
+
+def test_written_forms_behind_the_gates():
+    def of(text):
+        return {(k, p) for k, _, p, *_ in P.candidates(text) if k != "person"}
+
+    assert of("Ring (01632) / (22) 9601 now") == {("phone", "(01632) / (22) 9601")}
+    for mail in ("eva At mail dot example", "eva at mail.site dot example", "eva at mail (dot) example", "eva at mail [dot] example", "eva(At)mail.example"):
+        assert of(f"Write to {mail}, please") == {("email", mail)}
+    assert not of("We met at noon. Look at this.example")
