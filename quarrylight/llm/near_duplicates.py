@@ -20,10 +20,10 @@ from quarrylight.llm.common import WordHash, grams, maybe_among, spread, word_ha
 from quarrylight.scratch import write_out
 
 #: Positions of a segment, and how many similar pairs right at the threshold may be missed.
-WIDTH, MISS = 5, 0.008
+WIDTH, MISS = 5, 0.001
 #: A variant shared by more texts than this is joined in blocks, spread over tasks.
 RUN = 64
-#: Members of a group of equal sets are listed in all pairs up to this size; a larger group is listed by its first member.
+#: Copies of one text, letter by letter, are listed in all pairs up to this number; more of them by their first one.
 LISTED = 32
 _GRAM_BYTES = 5
 #: A sketch has so many positions of four bits; pairs whose sketches are SIGMAS deviations below the threshold are not compared.
@@ -58,7 +58,7 @@ def _sets(words: int, least: int):
         known, minhash = WordHash(), _MinHash(_SKETCH, 1)
         shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :]
         for b in batches:
-            keep, fps, sets, sketches = [], [], [], []
+            keep, fps, texts, sets, sketches = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 hashes = word_hashes(text, known)
                 if len(hashes) < max(least, words):
@@ -68,13 +68,14 @@ def _sets(words: int, least: int):
                 raw = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :_GRAM_BYTES]).tobytes()
                 keep.append(i)
                 fps.append(xxhash.xxh3_128_digest(raw))
+                texts.append(xxhash.xxh3_64_intdigest(text) - 2**63)
                 sets.append(raw)
                 with np.errstate(over="ignore"):
                     nibble = (minhash(g) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).reshape(4, 16)
                 sketches.append((nibble << shifts).sum(axis=1, dtype=np.uint64).view(np.int64))
             four = np.array(sketches, np.int64).reshape(-1, 4)
             t = b.select(["space", "id"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary()), *[pa.array(four[:, k]) for k in range(4)]], ["space", "id", "fp", "grams", "s0", "s1", "s2", "s3"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(fps, pa.binary()), pa.array(texts, pa.int64()), pa.array(sets, pa.binary()), *[pa.array(four[:, k]) for k in range(4)]], ["space", "id", "fp", "txt", "grams", "s0", "s1", "s2", "s3"])
 
     return run
 
@@ -204,12 +205,12 @@ def _blocked(hot: DataFrame, size: int) -> DataFrame:
 
 
 def text_sets(df: DataFrame, space: Column, id_col: Column, text: Column, words: int = 5, least: int = 5) -> DataFrame:
-    """Distinct word sequences of each text of ``least`` words or more, written: ref (own number), space, id, fp, grams, sketch.
+    """Distinct word sequences of each text of ``least`` words or more, written: ref (own number), space, id, fp (of the set), txt (of the text), grams, sketch.
 
     Null texts and ids are left out; further columns of ``df`` are ignored.
     """
     rows = df.select(space.cast("string").alias("space"), id_col.cast("string").alias("id"), text.alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    sets = spread(rows).mapInArrow(_sets(words, least), "space string, id string, fp binary, grams binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    sets = spread(rows).mapInArrow(_sets(words, least), "space string, id string, fp binary, txt bigint, grams binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     return write_out(sets.withColumn("ref", F.monotonically_increasing_id()))
 
 
@@ -255,21 +256,22 @@ def similar_classes(sets: DataFrame, reps: DataFrame, threshold: float = 0.8, wi
 def near_duplicate_pairs(df: DataFrame, space: Column, id_col: Column, text: Column, words: int = 5, threshold: float = 0.8, least: int = 5, listed: int = LISTED) -> DataFrame:
     """Pairs of ids (id_a < id_b) of one space whose texts are at least ``threshold`` alike: space, id_a, id_b.
 
-    Texts with equal sets are compared once, through their class. A class of up to ``listed`` members is expanded into all
-    its pairs; of a larger class each member is paired with the representative, and the representative alone with the
-    similar classes, so no link between different texts is lost and a class of a third of all rows stays linear. Texts of
+    Texts with equal sets are compared once, through their class, and expanded into all pairs of its members. Of more than
+    ``listed`` copies of one text, letter by letter, each is paired with the first and the first alone with other texts, so
+    no link between different texts is lost and a text of a third of all rows stays linear. Texts of
     fewer than ``least`` words and nulls give no pair; repeated ids give none with themselves.
     """
     sets = text_sets(df, space, id_col, text, words, least)
     reps = classes(sets)
     links = write_out(similar_classes(sets, reps, threshold))
-    several = sets.select("space", "fp", "id", F.col("ref").alias("own")).join(reps.where(F.col("n") > 1), ["space", "fp"]).select("space", "id", "own", "ref", "n")
+    several = sets.select("space", "fp", "id", "txt", F.col("ref").alias("own")).join(reps.where(F.col("n") > 1), ["space", "fp"]).select("space", "id", "txt", "own", "ref")
     several = write_out(several)
-    short = several.where(F.col("n") <= listed)
+    many = several.groupBy("ref", "txt").agg(F.count(F.lit(1)).alias("copies"), F.min("own").alias("head")).where(F.col("copies") > listed)
+    several = write_out(several.join(many.select("ref", "txt", "head"), ["ref", "txt"], "left"))
+    short = several.where("head IS NULL OR own = head")
     inner = short.alias("x").join(short.alias("y"), "ref").where(F.col("x.id") < F.col("y.id")).select("x.space", F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-    long = several.where(F.col("n") > listed)
-    lead = long.where(F.col("own") == F.col("ref")).select("ref", F.col("id").alias("lead"))
-    star = long.join(lead, "ref").where(F.col("id") != F.col("lead")).select("space", F.col("id").alias("p"), F.col("lead").alias("q"))
+    lead = several.where("own = head").select("ref", "txt", F.col("id").alias("lead"))
+    star = several.where("own <> head").join(lead, ["ref", "txt"]).where(F.col("id") != F.col("lead")).select("space", F.col("id").alias("p"), F.col("lead").alias("q"))
     linked = links.select(F.explode(F.array("a", "b")).alias("ref")).distinct()
     named = sets.select("ref", "space", "id").join(linked, "ref")
     more = short.where(F.col("own") != F.col("ref")).select("ref", "space", "id")

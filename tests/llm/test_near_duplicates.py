@@ -92,3 +92,19 @@ def test_filter_keeps_all_members(spark):
     keys = spark.range(0, 5000, 50)
     kept = {r["id"] for r in maybe_among(df, "id", keys).collect()}
     assert kept >= set(range(0, 5000, 50)) and len(kept) < 200
+
+
+def test_pairs_at_the_threshold_are_seldom_missed():
+    for threshold in (0.6, 0.8):
+        hit = threshold**N.WIDTH + N.WIDTH * (1 - threshold) * threshold ** (N.WIDTH - 1)
+        assert (1 - hit) ** N.segments(threshold) <= 0.004
+
+
+def test_different_texts_with_equal_sets_keep_all_links(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [("a", f"c{i:03d}", " ".join(w.upper() if k == i else w for k, w in enumerate(words)), "") for i in range(40)]
+    rows += [("a", f"copy{i:03d}", " ".join(words), "") for i in range(40)] + [("a", "near", " ".join(words) + " more", "")]
+    got = found(spark.createDataFrame(rows, SCHEMA))
+    different = {r[1] for r in rows if r[1][0] == "c" and not r[1].startswith("copy")} | {"near"}
+    assert {("a", x, y) for x in different for y in different if x < y} <= got
+    assert {x for _, *p in got for x in p} == {r[1] for r in rows} and len(got) == 41 * 40 // 2 + 41 + 39
