@@ -51,6 +51,12 @@ def entity_texts(spark, sf):
     return s.select("id", "loaded_at", R.entity_text(F.concat(F.lit("Section "), F.col("id").cast("string")), F.when(F.col("content").rlike(r'^\{"text": "[^"\\]*"\}$'), F.col("content")), ["stepid", "parentsectionid"]).alias("text"), R.entity_text(F.lit("S"), F.lit(None).cast("string"), ["stepid", "parentsectionid"], False).alias("sorted"), R.row_id("section", "workbook", F.col("id")).alias("row_id")).distinct()
 
 
+def entity_texts_whole(spark, sf):
+    """Texts of all sections whatever their content; ``entity_texts`` is the part that its SQL can express."""
+    s = table(spark, sf, "guidestepsection").where("id IS NOT NULL")
+    return s.select("id", "loaded_at", R.entity_text(F.concat(F.lit("Section "), F.col("id").cast("string")), F.col("content"), ["stepid", "parentsectionid"]).alias("text"), R.row_id("section", "workbook", F.col("id")).alias("row_id")).distinct()
+
+
 def template_texts(spark, sf):
     c = table(spark, sf, "documents").select("doc_id", "title", "lang", "source")
     return c.select("doc_id", R.template_text("{title|untitled} [{lang|und}] from {source}{gone|!}", c.columns).alias("text"))
@@ -70,6 +76,12 @@ def section_assets(spark, sf):
     return s.select("id", R.json_asset(F.col("content"), "image.name").alias("asset"), F.coalesce(R.json_asset(F.get_json_object("content", "$.image.name")), F.lit("")).alias("direct")).distinct()
 
 
+def section_assets_whole(spark, sf):
+    """Images of all sections whose content is JSON with an image; ``section_assets`` is the part that its SQL can express."""
+    s = table(spark, sf, "guidestepsection").where(F.expr("try_parse_json(content)").isNotNull())
+    return s.select("id", R.json_asset(F.col("content"), "image.name").alias("asset")).where(F.col("asset").isNotNull()).distinct()
+
+
 def event_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), M.relevance(F.col("value") / 100).alias("relevance"), M.combine("/", F.col("event_type"), F.col("user_id")).alias("combined"))
 
@@ -123,7 +135,7 @@ def streamed_windows(spark, sf):
     return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (orders_nested, first_owner, bridge_categories, root_rows, step_guides, row_texts, entity_texts, template_texts, guide_document, section_assets, event_json, metadata_merge, validation, file_names, page_documents, union_sources, workbook_cells, answers, streamed_windows)}
+QUERIES = {f.__name__: f for f in (orders_nested, first_owner, bridge_categories, root_rows, step_guides, row_texts, entity_texts, entity_texts_whole, template_texts, guide_document, section_assets, section_assets_whole, event_json, metadata_merge, validation, file_names, page_documents, union_sources, workbook_cells, answers, streamed_windows)}
 
 _LABELS = {k: " ".join(f"WHEN {k} = '{a}' THEN '{b}'" for a, b in v.items()) for k, v in (("kind", M.TYPE_LABELS), ("goal", M.PURPOSE_LABELS))}
 

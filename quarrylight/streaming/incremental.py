@@ -26,10 +26,18 @@ def event_windows(stream: DataFrame, late: str = "10 minutes", width: str = "1 h
 
 
 def run_windows(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``event_windows`` over a file stream, completed, as a table."""
+    """``event_windows`` over a file stream, completed, as a table; windows still open at the end of the stream are in it.
+
+    Each batch writes the windows that it changed, and the last state of each window counts.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     out = scratch_dir(spark)
-    q = event_windows(stream).writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/data/batch={batch}")
+
+    q = event_windows(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("w struct<start:timestamp,end:timestamp>, event_type string, n bigint, total double").parquet(f"{out}/data")
+    states = spark.read.schema("w struct<start:timestamp,end:timestamp>, event_type string, n bigint, total double, batch bigint").parquet(f"{out}/data")
+    return states.groupBy("w", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("w", "event_type", "x.n", "x.total")

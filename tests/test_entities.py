@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import metadata as M
 from quarrylight.operators import relational as R
+from quarrylight.plans import entities
 from quarrylight.sources import readers, writers
 from quarrylight.streaming import incremental
 
@@ -97,3 +98,23 @@ def test_index_stream(spark, tmp_path):
         incremental.index_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 2, 0).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["chunk"] for r in got.collect()) == ["a b", "c", "d e"]
+
+
+def test_windows_open_at_the_end_come_out(spark, tmp_path):
+    rows = [(D(2024, 1, 1, h, m), kind, 1.5) for h in (9, 10, 11) for m in (0, 50) for kind in ("a", "b")]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
+    part = next((tmp_path / "e.parquet").glob("part-*.parquet"))
+    (tmp_path / "in").mkdir()
+    part.rename(tmp_path / "in" / "events.parquet")
+    got = sorted((r["start"], r["event_type"], r["n"], r["total"]) for r in entities.QUERIES["streamed_windows"](spark, str(tmp_path / "in")).collect())
+    assert [(t.hour, kind, n, total) for t, kind, n, total in got] == [(h, kind, 2, 3.0) for h in (9, 10, 11) for kind in ("a", "b")]
+
+
+def test_sections_of_any_content(spark, tmp_path):
+    contents = ['{"text": "a \\"b\\""}', '{"text": "c", "more": 1}', '{"image": {"name": "x.png"}, "alt": "y"}', '{"image": {"name": "q\\"r.png"}}', '{"image": ', "plain", None]
+    rows = [(i, 1, None, c, D(2024, 1, 1)) for i, c in enumerate(contents)]
+    spark.createDataFrame(rows, "id long, stepid long, parentsectionid long, content string, loaded_at timestamp").write.parquet(str(tmp_path / "guidestepsection.parquet"))
+    assets = {tuple(r) for r in entities.QUERIES["section_assets_whole"](spark, str(tmp_path)).collect()}
+    assert assets == {(2, "x.png"), (3, 'q"r.png')}
+    texts = {r["id"]: r["text"].split("\n\n")[1] for r in entities.QUERIES["entity_texts_whole"](spark, str(tmp_path)).collect()}
+    assert texts == {0: 'a "b"', 1: "c", 2: contents[2], 3: contents[3], 4: '{"image": ', 5: "plain", 6: "## Details"}
