@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    groups = near_duplicates.near_duplicate_groups(p1_texts(spark, sf), F.col("space"), F.col("id"), F.col("text"))
+    groups = near_duplicates.near_duplicate_groups(p1_texts(spark, sf), F.col("space"), F.col("id"), F.col("text"), words=3, threshold=0.6, least=50)
     return groups.withColumnRenamed("space", "table_name")
 
 
@@ -75,7 +75,7 @@ def p8_sanitized(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.sanitize(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mix_report": p7_mix_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_leaked_items": p6_leaked_items, "p7_mix": p7_mix, "p7_mix_report": p7_mix_report, "p8_found": p8_found, "p8_sanitized": p8_sanitized}
 
 _FITS = "len(list_filter({}, lambda u: length(regexp_replace(u, '^\\s+|\\s+$', '', 'g')) > 2400)) = 0"
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"

@@ -30,8 +30,12 @@ def test_large_budgets_fit_closely():
         assert int((M.fit(lengths, counts, budget, 3) * lengths).sum()) == budget
 
 
+def counted(spark, rows):
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "id long, source string, n_tokens long, row long")
+
+
 def mixture(spark, rows, targets, **options):
-    counts = spark.createDataFrame(rows, "id long, source string, n_tokens long")
+    counts = counted(spark, rows)
     plan = M.budgets(counts, spark.createDataFrame(targets, "source string, target_share double, max_repeats long"), **options)
     return plan, M.mix(counts, plan)
 
@@ -44,7 +48,7 @@ def test_shares_and_repeats(spark):
     assert got["small"]["most_copies"] == 3 and got["small"]["mixed_tokens"] == 360 and got["none"]["mixed_tokens"] == 0
     assert abs(got["big"]["actual_share"] - 0.625) < 1e-3 and got["big"]["most_copies"] == 1
     copies = mixed.groupBy("id").count().where("count > 1").count()
-    assert copies == 0 and {r["id"] for r in mixed.collect()} == {r["id"] for r in M.mix(spark.createDataFrame(rows, "id long, source string, n_tokens long"), plan).collect()}
+    assert copies == 0 and {r["id"] for r in mixed.collect()} == {r["id"] for r in M.mix(counted(spark, rows), plan).collect()}
 
 
 def test_part_of_a_repeat(spark):
@@ -61,3 +65,20 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, " A-b ", "hello world", 5), (2, None, None, 6)], "id long, source string, text string, n_tokens long")
     got = {r["id"]: (r["source"], r["n_tokens"]) for r in M.token_counts(df, F.col("id"), F.col("source"), F.col("text")).collect()}
     assert got == {1: ("a_b", 2), 2: (None, 0)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_copies_meet_a_budget_that_can_be_met(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(50, 900, 6)
+    sums = {int((sizes * t).sum()) for t in itertools.product(range(4), repeat=6)}
+    for total in sorted(sums)[len(sums) // 3 :: len(sums) // 3]:
+        plan, mixed = mixture(spark, [(i, "s", int(n)) for i, n in enumerate(sizes)], [("s", 1.0, 3)], total=total)
+        rows = mixed.collect()
+        assert sum(r["copies"] * r["n_tokens"] for r in rows) == total and max(r["copies"] for r in rows) <= 3
+
+
+def test_copies_of_a_length_differ_by_one(spark):
+    _, mixed = mixture(spark, [(i % 40, "s", 7) for i in range(50)], [("s", 1.0, 4)], total=7 * 123)
+    copies = sorted(r["copies"] for r in mixed.collect())
+    assert copies == [2] * 27 + [3] * 23
