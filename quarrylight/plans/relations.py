@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators import hierarchy as H
 from quarrylight.operators import orphans as O
 from quarrylight.operators.skew import valid_version
+from quarrylight.scratch import write_out
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -81,7 +82,7 @@ def workbook_references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
         for f in frames[1:]:
             out = out.unionByName(f)
         both.append(out)
-    return both[0], both[1]
+    return write_out(both[0]), write_out(both[1])
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +90,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_orphan_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return O.orphan_counts(O.orphan_keys(*workbook_references(spark, sf)))
+    return O.orphan_counts(*workbook_references(spark, sf))
 
 
 QUERIES = {"p2_found": p2_found, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_orphan_counts": p3_orphan_counts}
