@@ -5,11 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: A word is a run of letters or digits of any script.
 WORD = re.compile(r"[^\W_]+")
@@ -50,50 +47,3 @@ def spread(df: DataFrame) -> DataFrame:
     """More partitions where a small file came in fewer than there are cores; large inputs stay as they were read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-#: Bits of a filter: its size is fixed, so it may be sent to every task. With very many keys it lets more rows pass.
-FILTER_BITS, _SLICES = 1 << 23, 64
-
-
-def _spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        h = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        g = h * np.uint64(0xD6E8FEB86659FD93)
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), (g >> np.uint64(41)).astype(np.int64)
-
-
-def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose bigint ``key`` may be among ``keys``: all that are, and few others, without a shuffle of ``df``.
-
-    A Bloom filter of fixed size is put together by Spark in slices; a join still has to decide.
-    """
-
-    def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            for spot in _spots(np.asarray(b.column(0))):
-                bits[spot] = True
-        for k, part in enumerate(np.packbits(bits).reshape(_SLICES, -1)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["slice", "part"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.bitwise_or.reduce(np.stack([np.frombuffer(p, np.uint8) for p in pdf["part"]]))
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [total.tobytes()]})
-
-    rows = keys.select(F.col(key).cast("bigint")).mapInArrow(mark, "slice bigint, part binary").groupBy("slice").applyInPandas(merge, "slice bigint, part binary").collect()
-    packed = np.zeros((_SLICES, FILTER_BITS // 8 // _SLICES), np.uint8)
-    for r in rows:
-        packed[r["slice"]] = np.frombuffer(bytes(r["part"]), np.uint8)
-    packed = packed.ravel()
-
-    def keep(batches):
-        for b in batches:
-            ok = np.ones(b.num_rows, bool)
-            for spot in _spots(np.asarray(b.column(key))):
-                ok &= (packed[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
-            yield b.filter(pa.array(ok))
-
-    return df.mapInArrow(keep, df.schema)

@@ -16,13 +16,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WordHash, grams, maybe_among, spread, word_hashes
+from quarrylight.llm.common import WordHash, grams, spread, word_hashes
+from quarrylight.operators.skew import split_join
 from quarrylight.scratch import write_out
 
 #: Positions of a segment, and how many similar pairs right at the threshold may be missed.
 WIDTH, MISS = 5, 0.001
-#: A variant shared by more texts than this is joined in blocks, spread over tasks.
+#: A variant shared by more texts than this is no candidate yet: its texts are indexed again with longer segments.
 RUN = 64
+#: Positions of a segment at each turn. What still shares all but one of the last ones is compared pair by pair, in blocks.
+WIDTHS = (WIDTH, 8, 12)
 #: Copies of one text, letter by letter, are listed in all pairs up to this number; more of them by their first one.
 LISTED = 32
 _GRAM_BYTES = 5
@@ -59,7 +62,7 @@ def _sets(words: int, least: int):
         shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :]
         for b in batches:
             keep, fps, texts, sets, sketches = [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
+            for i, (space, text) in enumerate(zip(b.column("space").to_pylist(), b.column("text").to_pylist(), strict=True)):
                 hashes = word_hashes(text, known)
                 if len(hashes) < max(least, words):
                     continue
@@ -67,7 +70,7 @@ def _sets(words: int, least: int):
                 g = np.unique(g)
                 raw = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :_GRAM_BYTES]).tobytes()
                 keep.append(i)
-                fps.append(xxhash.xxh3_128_digest(raw))
+                fps.append(xxhash.xxh3_128_digest(raw, xxhash.xxh3_64_intdigest(space or "")))
                 texts.append(xxhash.xxh3_64_intdigest(text) - 2**63)
                 sets.append(raw)
                 with np.errstate(over="ignore"):
@@ -88,8 +91,8 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 def _variants(n_segments: int, width: int):
     def run(batches):
-        rng = np.random.default_rng(20240229)
-        minhash = _MinHash(n_segments * width, 2)
+        rng = np.random.default_rng(20240229 + width)
+        minhash = _MinHash(n_segments * width, 1 + width)
         tag = rng.integers(1, 2**63, (n_segments, width), dtype=np.uint64)
         spot = rng.integers(1, 2**63, (n_segments, width), dtype=np.uint64) | np.uint64(1)
         shift = np.uint64(32)
@@ -194,9 +197,9 @@ def _similar(threshold: float):
 
 
 def _blocked(hot: DataFrame, size: int) -> DataFrame:
-    """All pairs of a long run, in blocks: block i meets block j in a task of its own, so no task holds a whole run."""
+    """All pairs of the members (``a``) of each run (``hot``), in blocks: block i meets block j in a task of its own."""
     counts = hot.groupBy("hot").agg(F.count(F.lit(1)).alias("n"))
-    rows = hot.join(counts, "hot").withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    rows = split_join(hot, counts, "hot", "inner").withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
     own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = rows.select("hot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("a").alias("x"))
@@ -204,6 +207,12 @@ def _blocked(hot: DataFrame, size: int) -> DataFrame:
     return left.join(right, ["hot", "i", "j"]).where(F.col("x") < F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _met(sets: DataFrame, threshold: float, width: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of refs that share a variant of segments of ``width``; of long runs single rows (hot, a)."""
+    keys = sets.mapInArrow(_variants(segments(threshold, width, miss), width), "ref bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "ref")
+    return write_out(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(RUN), "hot bigint, a bigint, b bigint"))
+
+
 def text_sets(df: DataFrame, space: Column, id_col: Column, text: Column, words: int = 5, least: int = 5) -> DataFrame:
     """Distinct word sequences of each text of ``least`` words or more, written: ref (own number), space, id, fp (of the set), txt (of the text), grams, sketch.
 
@@ -215,8 +224,8 @@ def text_sets(df: DataFrame, space: Column, id_col: Column, text: Column, words:
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """Texts with equal sets in one space form a class, stood for by the one with the smallest ref: space, fp, ref, n."""
-    return sets.groupBy("space", "fp").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("n"))
+    """Texts with equal sets in one space (``fp`` stands for both) form a class, stood for by the one with the smallest ref: fp, ref, n."""
+    return sets.groupBy("fp").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("n"))
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -232,23 +241,34 @@ def _plausible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         differ = differ + F.bit_count(x)
-    return pairs.join(left, "a").join(right, "b").where(differ <= _SKETCH - least).select("a", "b")
+    return split_join(split_join(pairs, left, "a", "inner"), right, "b", "inner").where(differ <= _SKETCH - least).select("a", "b")
+
 
+def similar_classes(sets: DataFrame, reps: DataFrame, threshold: float = 0.8, widths: tuple[int, ...] = WIDTHS, miss: float = MISS) -> DataFrame:
+    """Pairs (a < b, refs of class representatives) whose sets have at least ``threshold`` of their union in common.
 
-def similar_classes(sets: DataFrame, reps: DataFrame, threshold: float = 0.8, width: int = WIDTH, miss: float = MISS) -> DataFrame:
-    """Pairs (a < b, refs of class representatives) whose sets have at least ``threshold`` of their union in common."""
-    copies = write_out(sets.select("space", "fp", "ref").join(reps.where(F.col("n") > 1).select("space", "fp", F.col("ref").alias("lead")), ["space", "fp"]).where(F.col("ref") != F.col("lead")).select("ref"))
+    Texts of a variant that more than RUN texts share (a template, say) are indexed again with segments of the next width,
+    which unlike texts seldom share; so a run of n texts costs some rows a text, not n * n pairs. Only texts that share all
+    but one of the last width's positions, nearly all of which are similar, are then compared within their run, in blocks.
+    """
+    copies = write_out(split_join(sets.select("fp", "ref"), reps.where(F.col("n") > 1).select("fp", F.col("ref").alias("lead")), "fp", "inner").where(F.col("ref") != F.col("lead")).select("ref"))
     first = sets.select("ref", "space", "grams").join(copies, "ref", "left_anti")
-    keys = first.mapInArrow(_variants(segments(threshold, width, miss), width), "ref bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "ref")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = write_out(keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(RUN), "hot bigint, a bigint, b bigint"))
-    pairs = met.where(F.col("hot").isNull()).select("a", "b").distinct()
-    hot = met.where(F.col("hot").isNotNull()).select("hot", "a").distinct()
-    if hot.limit(1).count():
-        pairs = pairs.unionByName(_blocked(hot, RUN)).distinct()
-    near = write_out(_plausible(pairs, sets, threshold))
+    pairs = None
+    for turn, width in enumerate(widths):
+        met = _met(first, threshold, width, miss)
+        found = met.where(F.col("hot").isNull()).select("a", "b")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        hot = met.where(F.col("hot").isNotNull()).select("hot", "a").distinct()
+        if not hot.limit(1).count():
+            break
+        if turn == len(widths) - 1:
+            pairs = pairs.unionByName(_blocked(write_out(hot), RUN))
+        else:
+            first = write_out(first.join(hot.select(F.col("a").alias("ref")).distinct(), "ref", "left_semi"))
+    near = write_out(_plausible(write_out(pairs.distinct()), sets, threshold))
     ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("ref"))
-    with_sets = ends.join(maybe_among(sets.select("ref", "grams"), "ref", ends), "ref")
+    wanted = sets.select("ref", "grams").join(near.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "ref", "left_semi")
+    with_sets = split_join(ends, wanted, "ref", "inner")
     both = with_sets.groupBy("a", "b").agg(F.max(F.when(F.col("ref") == F.col("a"), F.col("grams"))).alias("x"), F.max(F.when(F.col("ref") == F.col("b"), F.col("grams"))).alias("y"))
     return both.mapInArrow(_similar(threshold), "a bigint, b bigint")
 
@@ -262,25 +282,27 @@ def near_duplicate_pairs(df: DataFrame, space: Column, id_col: Column, text: Col
     fewer than ``least`` words and nulls give no pair; repeated ids give none with themselves.
     """
     sets = text_sets(df, space, id_col, text, words, least)
-    reps = classes(sets)
+    reps = write_out(classes(sets))
     links = write_out(similar_classes(sets, reps, threshold))
-    several = sets.select("space", "fp", "id", "txt", F.col("ref").alias("own")).join(reps.where(F.col("n") > 1), ["space", "fp"]).select("space", "id", "txt", "own", "ref")
-    several = write_out(several)
+    lead = reps.where(F.col("n") > 1).select("fp", "ref")
+    several = write_out(split_join(sets.select("space", "fp", "id", "txt", F.col("ref").alias("own")), lead, "fp", "inner").select("space", "id", "txt", "own", "ref"))
     many = several.groupBy("ref", "txt").agg(F.count(F.lit(1)).alias("copies"), F.min("own").alias("head")).where(F.col("copies") > listed)
-    several = write_out(several.join(many.select("ref", "txt", "head"), ["ref", "txt"], "left"))
+    several = write_out(split_join(several.withColumn("copy", F.struct("ref", "txt")), many.select(F.struct("ref", "txt").alias("copy"), "head"), "copy").drop("copy"))
     short = several.where("head IS NULL OR own = head")
-    inner = short.alias("x").join(short.alias("y"), "ref").where(F.col("x.id") < F.col("y.id")).select("x.space", F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-    lead = several.where("own = head").select("ref", "txt", F.col("id").alias("lead"))
-    star = several.where("own <> head").join(lead, ["ref", "txt"]).where(F.col("id") != F.col("lead")).select("space", F.col("id").alias("p"), F.col("lead").alias("q"))
+    name = short.select("own", "space", "id")
+    inner = _blocked(short.select(F.col("ref").alias("hot"), F.col("own").alias("a")), RUN)
+    inner = inner.join(name.select(F.col("own").alias("a"), "space", F.col("id").alias("p")), "a").join(name.select(F.col("own").alias("b"), F.col("id").alias("q")), "b").select("space", "p", "q")
+    heads = several.where("own = head").select("head", F.col("id").alias("lead"))
+    star = split_join(several.where("own <> head").select("space", "id", "head"), heads, "head", "inner").select("space", F.col("id").alias("p"), F.col("lead").alias("q"))
     linked = links.select(F.explode(F.array("a", "b")).alias("ref")).distinct()
-    named = sets.select("ref", "space", "id").join(linked, "ref")
+    named = sets.select("ref", "space", "id").join(linked, "ref", "left_semi")
     more = short.where(F.col("own") != F.col("ref")).select("ref", "space", "id")
-    names = named.unionByName(more.join(linked, "ref", "left_semi"))
+    names = write_out(named.unionByName(more.join(linked, "ref", "left_semi")))
     across = (
         links.join(names.select(F.col("ref").alias("a"), "space", F.col("id").alias("p")), "a")
-        .join(names.select(F.col("ref").alias("b"), F.col("id").alias("q")), "b").where(F.col("p") != F.col("q")).select("space", "p", "q")
+        .join(names.select(F.col("ref").alias("b"), F.col("id").alias("q")), "b").select("space", "p", "q")
     )
-    pairs = inner.unionByName(star).unionByName(across)
+    pairs = inner.unionByName(star).unionByName(across).where(F.col("p") != F.col("q"))
     return pairs.select("space", F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 
 
@@ -297,8 +319,8 @@ def near_duplicate_groups(df: DataFrame, space: Column, id_col: Column, text: Co
     sizes = reps.select("ref", "n")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(sizes.select(F.col("ref").alias("b"), "n"), "b").groupBy(F.col("a").alias("ref")).agg(F.sum("n").alias("others"))
-    of_class = reps.join(label, "ref").join(linked, "ref", "left").select("space", "fp", "label", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    return sets.select("space", "fp", "id").join(of_class, ["space", "fp"]).select("space", "id", F.col("label").alias("class_id"), "n_links")
+    of_class = reps.join(label, "ref").join(linked, "ref", "left").select("fp", "label", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return split_join(sets.select("space", "fp", "id"), write_out(of_class), "fp", "inner").select("space", "id", F.col("label").alias("class_id"), "n_links")
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
