@@ -1,9 +1,10 @@
-"""Evaluation texts inside training documents: common runs, and paraphrases by latent semantic retrieval.
+"""Evaluation texts inside training documents, by latent semantic retrieval.
 
-Runs of words that a document and an item have in common are looked up exactly. For paraphrases documents are cut into
-passages of two blocks of words, weighted by TF-IDF over the whole corpus and projected on a basis found by a distributed
-randomised SVD. Windows of the evaluation items are projected too; a passage whose cosine with a window reaches a threshold
-is a candidate, and common subsequences and answers decide.
+Words are weighted by TF-IDF over the whole corpus and projected on a basis that a distributed randomised SVD of all
+passages finds. Every window of RUN words, of documents and of evaluation items, has a latent vector; the signs of its
+coordinates are its code, in which two vectors differ the more the wider their angle. Windows with the same code are
+candidates, and their words decide on verbatim leaks. For paraphrases longer passages are candidates by their cosine with
+passages of items; common subsequences and answers decide.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import WordHash, spread, word_hashes
-from quarrylight.scratch import write_out
+from quarrylight.scratch import Growing, write_out
 
 #: Hash buckets of words, rank of the basis, words of a passage in the SVD. These and no data set the size of what the driver sees.
 TERMS, RANK, PASSAGE = 8192, 64, 64
-#: A run of so many words leaks an item. Blocks and item windows have the same length, so a window's words lie in one passage of two blocks.
+#: A run of so many words leaks an item.
 RUN = 13
-#: Item windows start every STEP words; COSINE makes a candidate for a paraphrase, which needs so much of the item's windows and words.
-STEP, COSINE, COVERED, COMMON = 5, 0.45, 0.5, 0.7
-#: Items are searched in blocks of so many.
+#: Passages for paraphrases have so many blocks of RUN words and start at every block; COSINE makes a candidate, which needs COMMON of the item's words in order.
+BLOCKS, COSINE, COMMON = 3, 0.45, 0.7
+#: Items are searched in blocks of about so many, one block at a time; so much and no more is ever on the driver.
 ITEMS = 4000
 _CHUNKS = 64
 
@@ -154,16 +155,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
 
 
-def _run_keys(words: np.ndarray, run: int) -> np.ndarray:
+def _codes(table: np.ndarray, words: np.ndarray, run: int) -> np.ndarray:
+    """The code of the latent vector of every window of ``run`` words: the signs of its (up to 64) coordinates.
+
+    ``table`` is of whole numbers, so equal windows have equal sums wherever they stand.
+    """
     n = max(0, len(words) - run + 1)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(run):
-            out = (out ^ words[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(31)
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, 8192):
+        part = table[words[lo : lo + 8192 + run - 1] % len(table)]
+        part = np.cumsum(part, axis=0, dtype=np.int32, out=part)
+        sums = part[run - 1 :].copy()
+        sums[1:] -= part[: len(sums) - 1]
+        bits = np.packbits(sums > 0, axis=1)
+        eight = np.zeros((len(bits), 8), np.uint8)
+        eight[:, : bits.shape[1]] = bits
+        out[lo : lo + len(bits)] = eight.view(np.uint64).ravel()
     return out
 
 
+def whole_numbers(projection: np.ndarray, run: int) -> np.ndarray:
+    """A projection in whole numbers of 32 bits, so small that sums of ``run`` of them fit."""
+    top = float(np.abs(projection).max()) or 1.0
+    return np.rint(projection[:, :64] / top * (2**30 / run)).astype(np.int32)
+
+
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, a row of the table at a time."""
     row = np.zeros(len(b) + 1, np.int32)
@@ -185,85 +201,100 @@ def _in_both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return int(np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum())
 
 
-def _search(items: list[tuple], projection: np.ndarray | None, run_length: int, cosine: float):
-    """Without a projection only common runs are looked up."""
+def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine: float, paraphrases: bool):
+    """Documents that leak one of ``items`` (item_id, text, answer)."""
     known = WordHash()
     words = [(word_hashes(t or "", known) >> np.uint64(32)).astype(np.uint32) for _, t, _ in items]
-    bags = [_bag(w) for w in words]
-    answers = [(word_hashes(a or "", known) >> np.uint64(32)).astype(np.uint32).tobytes() for *_, a in items]
-    keys = [np.unique(_run_keys(w, run_length)) for w in words]
-    key_item = np.repeat(np.arange(len(items)), [len(k) for k in keys]).astype(np.int64)
-    key_all = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-    order = np.argsort(key_all, kind="stable")
-    key_all, key_item = key_all[order], key_item[order]
-    paraphrases = projection is not None
+    table = whole_numbers(projection, run_length)
+    terms = len(projection)
+    # every window of every item, by the code of its latent vector
+    runs = [np.lib.stride_tricks.sliding_window_view(w, run_length) for w in words if len(w) >= run_length]
+    run_item = np.repeat([i for i, w in enumerate(words) if len(w) >= run_length], [len(r) for r in runs]).astype(np.int64)
+    run_words = np.concatenate(runs) if runs else np.empty((0, run_length), np.uint32)
+    run_code = np.concatenate([_codes(table, w, run_length) for w in words if len(w) >= run_length]) if runs else np.empty(0, np.uint64)
+    order = np.argsort(run_code, kind="stable")
+    run_code, run_item, run_words = run_code[order], run_item[order], run_words[order]
+    codes, code_first, code_n = np.unique(run_code, return_index=True, return_counts=True)
+    bags, answers = [], []
     if paraphrases:
-        terms, padded = len(projection), _with_zero(projection)
-        windows = [(i, w[k : k + run_length]) for i, w in enumerate(words) if len(w) >= run_length for k in sorted({*range(0, len(w) - run_length, STEP), len(w) - run_length})]
-        owner = np.array([i for i, _ in windows], np.int64)
-        per_item = np.bincount(owner, minlength=len(items)) if len(owner) else np.zeros(len(items), int)
-        query = _unit(np.array([projection[(w % terms).astype(np.int64)].sum(0) for _, w in windows], np.float32).reshape(len(windows), projection.shape[1])).T.copy()
+        padded = _with_zero(projection)
+        bags = [_bag(w) for w in words]
+        answers = [(word_hashes(a or "", known) >> np.uint64(32)).astype(np.uint32).tobytes() for *_, a in items]
+        width = BLOCKS * run_length
+        passages = [(i, w[k : k + width]) for i, w in enumerate(words) if len(w) >= run_length for k in sorted({*range(0, max(1, len(w) - width), run_length), max(0, len(w) - width)})]
+        owner = np.array([i for i, _ in passages], np.int64)
+        query = _unit(np.array([projection[(w % terms).astype(np.int64)].sum(0) for _, w in passages], np.float32).reshape(len(passages), projection.shape[1])).T.copy()
 
     def common_runs(w, doc_end):
-        """Pairs of document and item that have a run in common; every run of every document is looked up."""
-        grams = _run_keys(w, run_length)
-        if not len(grams) or not len(key_all):
+        """Pairs of document and item with a window in common: those of equal codes whose words are equal."""
+        if not len(codes):
             return set()
-        at = np.searchsorted(key_all, grams)
-        doc = np.searchsorted(doc_end, np.arange(len(grams)), side="right")
-        here = np.flatnonzero((key_all[np.minimum(at, len(key_all) - 1)] == grams) & (np.arange(len(grams)) + run_length <= doc_end[doc]))
-        pairs = set()
-        at = at[here]
-        while len(here):  # items that share a key are taken one after the other
-            pairs.update(zip(doc[here].tolist(), key_item[at].tolist(), strict=True))
-            at = at + 1
-            more = (at < len(key_all)) & (key_all[np.minimum(at, len(key_all) - 1)] == grams[here])
+        code = _codes(table, w, run_length)
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        doc = np.searchsorted(doc_end, np.arange(len(code)), side="right")
+        here = np.flatnonzero((codes[at] == code) & (np.arange(len(code)) + run_length <= doc_end[doc]))
+        at, pairs = at[here], set()
+        k = 0
+        while len(here):  # windows of items that share a code are taken one after the other
+            mine = code_first[at] + k
+            same = (w[here[:, None] + np.arange(run_length)] == run_words[mine]).all(axis=1)
+            pairs.update(zip(doc[here[same]].tolist(), run_item[mine[same]].tolist(), strict=True))
+            k += 1
+            more = code_n[at] > k
             here, at = here[more], at[more]
         return pairs
 
     def alike(w, lengths):
-        """Pairs of document and item of whose windows enough resemble some passage of the document."""
+        """Document, item and first word of each passage of a document that is near a passage of an item."""
         starts, block_doc = _starts(lengths, run_length)
+        first = (np.cumsum(lengths) - lengths)[block_doc]
         blocks = segment_sums(padded, (w % terms).astype(np.int32), starts, run_length)
-        passages = blocks.copy()
-        same = block_doc[1:] == block_doc[:-1]
-        passages[:-1][same] += blocks[1:][same]
-        passages = _unit(passages)
-        near = [np.empty(0, np.int64)]
-        for lo in range(0, len(passages), 512):
-            hit = np.flatnonzero((passages[lo : lo + 512] @ query >= cosine).ravel())
-            near.append(np.unique(block_doc[hit // len(owner) + lo] * len(owner) + hit % len(owner)))
-        each = np.unique(np.concatenate(near))  # a document's passages may lie in two parts
-        both, n = np.unique(each // len(owner) * len(items) + owner[each % len(owner)], return_counts=True)
-        both = both[n >= COVERED * per_item[both % len(items)]]
-        return zip((both // len(items)).tolist(), (both % len(items)).tolist(), strict=True)
+        sums = blocks.copy()
+        for k in range(1, BLOCKS):
+            same = block_doc[k:] == block_doc[:-k]
+            sums[:-k][same] += blocks[k:][same]
+        sums = _unit(sums)
+        step = max(16, 4_000_000 // len(owner))
+        for lo in range(0, len(sums), step):
+            near = sums[lo : lo + step] @ query
+            row, col = np.nonzero(near >= cosine)
+            row += lo
+            yield from zip(block_doc[row].tolist(), owner[col].tolist(), (starts[row] - first[row]).tolist(), strict=True)
+
+    def common_share(i, doc, spots):
+        """The greatest share of an item's words that stand in order around one of the passages."""
+        best, n, done = 0, len(words[i]), -1
+        for at in sorted(spots):
+            low, high = max(0, at - n), at + BLOCKS * run_length + n
+            if low < done:
+                low = max(0, done - n)  # what the passage before has covered
+            part = doc[low:high]
+            done = high
+            if _in_both(bags[i], _bag(part)) >= max(COMMON * n, best + 1):
+                best = max(best, common_subsequence(words[i], part))
+        return best / max(1, n)
 
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
+            exact: set[tuple[int, int]] = set()
+            near: dict[tuple[int, int], list[int]] = {}
             for first, w, lengths in _joined(b):
                 if not len(w):
                     continue
                 filled = np.flatnonzero(lengths)
-                out += [(first + int(filled[x]), y, 1) for x, y in common_runs(w, np.cumsum(lengths[filled]))]
+                exact.update((first + int(filled[x]), y) for x, y in common_runs(w, np.cumsum(lengths[filled])))
                 if paraphrases and len(owner):
-                    out += [(first + int(filled[x]), y, 0) for x, y in alike(w, lengths[filled])]
-            found = {(d, i): exact for d, i, exact in sorted(out)}  # the verbatim one comes last and stays
+                    for x, y, at in alike(w, lengths[filled]):
+                        near.setdefault((first + int(filled[x]), y), []).append(at)
             ids, raw = b.column("id"), b.column("words")
-            rows, last, doc, bag = [], None, None, None
-            for (d, i), exact in found.items():
-                if not paraphrases:
-                    rows.append((d, items[i][0], bool(exact), None, None))
-                    continue
-                if d != last:
-                    last, doc = d, np.frombuffer(raw[d].as_py(), np.uint32)
-                    bag = _bag(doc)
-                if not exact and _in_both(bags[i], bag) < COMMON * len(words[i]):
-                    continue
-                share = common_subsequence(words[i], doc) / max(1, len(words[i]))
-                answered = bool(answers[i]) and any(doc.tobytes().find(answers[i], 4 * k) == 4 * k for k in np.flatnonzero(doc == np.frombuffer(answers[i][:4], np.uint32)[0]))
-                if exact or share >= COMMON:
-                    rows.append((d, items[i][0], bool(exact), share, answered))
+            rows = [(d, items[i][0], True, None, None) for d, i in sorted(exact)] if not paraphrases else []
+            for d, i in sorted(exact | near.keys()) if paraphrases else ():
+                doc = np.frombuffer(raw[d].as_py(), np.uint32)
+                share = common_share(i, doc, near.get((d, i)) or range(0, len(doc), BLOCKS * run_length))
+                if (d, i) in exact or share >= COMMON:
+                    answer = np.frombuffer(answers[i], np.uint32)
+                    answered = len(answer) > 0 and any((doc[k : k + len(answer)] == answer).all() for k in np.flatnonzero(doc == answer[0]) if k + len(answer) <= len(doc))
+                    rows.append((d, items[i][0], (d, i) in exact, share, answered))
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.bool_())],
                 ["id", "item_id", "verbatim", "common", "answered"],
@@ -275,21 +306,29 @@ def _search(items: list[tuple], projection: np.ndarray | None, run_length: int,
 def leaks(df: DataFrame, id_col: Column, text: Column, items: DataFrame, run: int = RUN, rank: int = RANK, cosine: float = COSINE, paraphrases: bool = False) -> DataFrame:
     """Documents that hold evaluation items: id, item_id, verbatim (``run`` consecutive words), common, answered.
 
-    ``items`` (item_id bigint, item_text, answer_text) is the query set, read in blocks of a fixed number of items. With
-    ``paraphrases`` also documents whose passages resemble half of an item's windows (``cosine``) and that hold COMMON of its
-    words in order; ``common`` is that share and ``answered`` whether the answer stands in the document word for word. Items
-    shorter than ``run`` words and null texts give no rows; each pair comes once per row of the document.
+    ``items`` (item_id bigint, item_text, answer_text) is the query set, searched in blocks of about ITEMS items, each block
+    against all documents. Verbatim leaks have a window of ``run`` words whose latent vector has the code of one of the
+    item's; windows start at every word on both sides, so no run is missed. With ``paraphrases`` also documents with a
+    passage of ``cosine`` or more to a passage of the item around which COMMON of its words stand in order; ``common`` is
+    that share and ``answered`` whether the answer stands in the document word for word. Items shorter than ``run`` words and
+    null texts give no rows; each pair comes once per row of the document.
     """
     tokens = tokenized(df, id_col, text)
-    projection = None
-    if paraphrases:
-        idf = inverse_frequency(tokens)
-        projection = latent_basis(tokens, idf, rank) * idf[:, None]
-    rows = [(r["item_id"], r["item_text"], r["answer_text"]) for r in items.select("item_id", "item_text", "answer_text").distinct().toLocalIterator()]
+    idf = inverse_frequency(tokens)
+    projection = latent_basis(tokens, idf, rank) * idf[:, None]
+    asked = write_out(items.select("item_id", "item_text", "answer_text").distinct())
+    blocks = max(1, -(-asked.count() // ITEMS))
     kind = tokens.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id bigint, verbatim boolean, common double, answered boolean"
     found = None
-    for lo in range(0, max(1, len(rows)), ITEMS):
-        part = tokens.mapInArrow(_search(rows[lo : lo + ITEMS], projection, run, cosine), schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        rows = sorted(((r["item_id"], r["item_text"], r["answer_text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+        part = tokens.mapInArrow(_search(rows, projection, run, cosine, paraphrases), schema)
+        if blocks == 1:
+            return part
+        if found is None:
+            found = Growing(part)
+        else:
+            found.add(part)
+    return found.df

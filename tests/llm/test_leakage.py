@@ -64,13 +64,40 @@ def test_segment_sums_and_subsequence():
     assert L.common_subsequence(a, b) == 3 and L.common_subsequence(a, b[:0]) == 0
 
 
-def test_runs_are_found_whatever_their_cosine(spark):
-    docs, items, truth = rows_and_truth()
-    df = spark.createDataFrame(docs, "id long, text string")
-    ev = spark.createDataFrame(items, "item_id long, item_text string, answer_text string")
-    for paraphrases in (False, True):
-        got = L.leaks(df, F.col("id"), F.col("text"), ev, cosine=2.0, paraphrases=paraphrases)
-        assert {(r["id"], r["item_id"]) for r in got.collect()} == truth
+def test_windows_of_equal_words_have_equal_codes():
+    rng = np.random.default_rng(1)
+    table = L.whole_numbers(rng.normal(size=(512, 64)).astype(np.float32), 13)
+    words = rng.integers(0, 2**32, 20_000, dtype=np.uint32)
+    words[15_000:15_040] = words[3:43]
+    codes = L._codes(table, words, 13)
+    assert (codes[15_000:15_028] == codes[3:31]).all() and len(codes) == 20_000 - 12
+    want = [np.sign(table[words[k : k + 13] % 512].astype(np.int64).sum(0)) for k in (0, 777, 19_987)]
+    got = [np.unpackbits(codes[k : k + 1].view(np.uint8)) for k in (0, 777, 19_987)]
+    assert all(((w > 0) == g).all() for w, g in zip(want, got, strict=True))
+    assert len(L._codes(table, words[:5], 13)) == 0
+
+
+def test_codes_follow_the_angle():
+    """Bits that differ grow with the angle, so windows of the same code lie close together."""
+    rng = np.random.default_rng(2)
+    table = L.whole_numbers(rng.normal(size=(4096, 64)).astype(np.float32), 13)
+    base = rng.integers(0, 2**32, 13, dtype=np.uint32)
+    apart = []
+    for n in (0, 2, 6, 13):
+        other = base.copy()
+        other[:n] = rng.integers(0, 2**32, n)
+        apart.append(int(np.bitwise_count(L._codes(table, base, 13) ^ L._codes(table, other, 13))[0]))
+    assert apart[0] == 0 and apart[1] < apart[2] < apart[3]
+
+
+def test_a_long_document_is_no_paraphrase_by_chance(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(rng.choice(vocab) for _ in range(20)), "")]
+    docs = [(1, " ".join(rng.choice(vocab) for _ in range(4000)))]
+    got = L.leaks(spark.createDataFrame(docs, "id long, text string"), F.col("id"), F.col("text"), spark.createDataFrame(items, "item_id long, item_text string, answer_text string"), paraphrases=True)
+    whole = L.common_subsequence(*[np.array([int(w[1:]) for w in t.split()]) for t in (items[0][1], docs[0][1])]) / 20
+    assert whole >= L.COMMON and got.count() == 0
 
 
 def test_paraphrases_with_a_quarter_of_the_words_replaced(spark):
