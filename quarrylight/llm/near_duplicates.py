@@ -264,10 +264,11 @@ def similar_classes(sets: DataFrame, reps: DataFrame, threshold: float = 0.8, wi
         if turn == len(widths) - 1:
             pairs = pairs.unionByName(_blocked(write_out(hot), RUN))
         else:
-            first = write_out(first.join(hot.select(F.col("a").alias("ref")).distinct(), "ref", "left_semi"))
+            again = write_out(hot.select(F.col("a").alias("ref")).distinct())  # written, so that the planner knows how small it is
+            first = write_out(first.join(again, "ref", "left_semi"))
     near = write_out(_plausible(write_out(pairs.distinct()), sets, threshold))
     ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("ref"))
-    wanted = sets.select("ref", "grams").join(near.select(F.explode(F.array("a", "b")).alias("ref")).distinct(), "ref", "left_semi")
+    wanted = sets.select("ref", "grams").join(write_out(ends.select("ref").distinct()), "ref", "left_semi")
     with_sets = split_join(ends, wanted, "ref", "inner")
     both = with_sets.groupBy("a", "b").agg(F.max(F.when(F.col("ref") == F.col("a"), F.col("grams"))).alias("x"), F.max(F.when(F.col("ref") == F.col("b"), F.col("grams"))).alias("y"))
     return both.mapInArrow(_similar(threshold), "a bigint, b bigint")
@@ -294,7 +295,7 @@ def near_duplicate_pairs(df: DataFrame, space: Column, id_col: Column, text: Col
     inner = inner.join(name.select(F.col("own").alias("a"), "space", F.col("id").alias("p")), "a").join(name.select(F.col("own").alias("b"), F.col("id").alias("q")), "b").select("space", "p", "q")
     heads = several.where("own = head").select("head", F.col("id").alias("lead"))
     star = split_join(several.where("own <> head").select("space", "id", "head"), heads, "head", "inner").select("space", F.col("id").alias("p"), F.col("lead").alias("q"))
-    linked = links.select(F.explode(F.array("a", "b")).alias("ref")).distinct()
+    linked = write_out(links.select(F.explode(F.array("a", "b")).alias("ref")).distinct())
     named = sets.select("ref", "space", "id").join(linked, "ref", "left_semi")
     more = short.where(F.col("own") != F.col("ref")).select("ref", "space", "id")
     names = write_out(named.unionByName(more.join(linked, "ref", "left_semi")))
