@@ -1,16 +1,24 @@
 """The main body of pages, by wrapper induction.
 
-Pages of one host are aligned with a few other pages of the host by simple tree matching: nodes that recur with the same
-text are the host's template, what varies between them is content. Constant texts are also counted over all hosts, which
-gives the phrases that no single host shows often enough. What is left after the title is the article.
+Each page becomes a small tree: the containers that span several lines, and the lines with visible text as leaves. The trees
+of a host are aligned by simple tree matching and merged into one wrapper, group by group and then round by round, every
+node counting the pages it was aligned with. A page is then aligned with the wrapper of its host: leaves that recur are
+template; what varies stands in slots, between one recurring leaf of a container and the next. A slot or container whose
+varying lines never hold prose, over all pages of the host, is a list of the template; all other slots are content.
+
+Leaves that few pages of any one host show (notices, sign-up lines) are counted over all hosts; these phrases also stand in
+for the wrapper where a host has a single page.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
+import sys
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -20,43 +28,53 @@ from quarrylight.llm.common import spread
 from quarrylight.operators.skew import split_join
 from quarrylight.scratch import write_out
 
-#: Pages a page is aligned with, and the share of them in which a node must recur to belong to the template.
-PARTNERS, RECURS = 12, 0.3
-#: Pages of a host are worked on in groups of about so many.
-GROUP = 64
-#: A text is a phrase of templates if it stands on this share of the pages of its hosts; hosts of fewer pages don't vote.
-PHRASE, PHRASE_PAGES, HOST_PAGES = 0.085, 8, 8
-
-#: Elements nested deeper than this count as children of the one at this depth.
-DEEPEST = 100
+#: Pages of a host are aligned in groups of about so many; so many partial wrappers are merged at a time.
+GROUP, MERGED = 48, 48
+#: A leaf is template if it recurs on this share of the host's pages; a wrapper keeps nodes down to the second share.
+RECURS, KEPT = 0.3, 0.06
+#: A leaf is a phrase of templates if of the hosts that show it this share of further pages does, or if so many hosts show it at all.
+PHRASE, PHRASE_PAGES = 0.085, 8
+#: A slot or container is a list of the template if no more than this share of its varying lines is prose.
+PROSE = 0.05
+#: What all hosts know of a slot weighs as much as so many lines of the host's own; what is usual in any slot, as so many lines of that.
+PRIOR, USUAL = 10.0, 2.0
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<!--.*?(?:-->|$)|<![^>]*>")
+_CLASS = re.compile(r"class\s*=\s*[\"']([^\"']*)", re.I)
+# fixed values: elements of HTML by what they are for
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
-_OUTSIDE = {"head", "header", "nav", "footer", "aside", "script", "style", "noscript", "template", "form"}
+_UNSEEN = {"head", "script", "style", "noscript", "template"}
 _BLOCK = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "pre", "td", "th", "tr", "dt", "dd", "blockquote"}
-_LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "a", "b", "i", "em", "strong", "span"}
-_WHOLE = {"root", "html", "body", "main"}
+_CONTAINER = {"body", "div", "header", "nav", "main", "article", "section", "aside", "footer", "form", "table", "td", "center", "ul", "ol", "dl", "details", "dialog", "fieldset"}
+_INLINE_LIST = {"ul", "ol", "dl", "table"}
 _MD_LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _SENTENCE = re.compile(r"[.!?:;。！？…][\"'”»)\]]*$")
+_TRAIL = re.compile(r" (?:/|>|»|›|→|\|) ")
+_BAR = re.compile(r"[^\W\d_][^\d|·>/•]{0,30}(?: ([|·>/•]) [^\W\d_][^\d|·>/•]{0,30}(?= \1|$)){3,}")
+_DOMAIN = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}\b", re.I)
 
 
 @dataclass
 class Line:
     no: int
     text: str
-    tag: str
-    linked: bool
-    outside: bool
+    prose: bool
+    holder: int
     own: int = 0
     key: int = 0
-    within: int = 0
+    title: bool = False
 
 
 @dataclass
 class Node:
-    label: object
-    line: Line | None = None
-    children: list = field(default_factory=list)
+    """A container (``tag``, ``cls``) or, with a ``key``, a leaf; ``n`` pages were aligned with it. ``at`` is a leaf's line or a container's number."""
+
+    tag: str = ""
+    cls: str = ""
+    key: int = 0
+    n: int = 1
+    at: int = -1
+    kids: list[Node] = field(default_factory=list)
 
 
 def host_of(link: str | None) -> str:
@@ -72,85 +90,111 @@ def _h(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def parse(content: str, host: str = "") -> tuple[Node, list[Line], str]:
-    """The tree of a page, its lines with visible text in order, and the text of its title element."""
-    root, lines, title = Node("root"), [], ""
-    stack: list[tuple[str, Node]] = [("root", root)]
-    for no, raw in enumerate(content.split("\n"), 1):
-        text, anchors, at, tag, inside_a, owner = [], 0, 0, "", False, None
-        shown = 0
+def parse(content: str, title: str | None = None) -> tuple[list[tuple[int, str, str]], list[Line], str]:
+    """Containers of a page (parent's number, tag, class; the first is the page), its visible lines in order, and its title.
 
-        def add(piece: str) -> None:
-            nonlocal shown, anchors, owner
-            if piece.strip():
-                owner = owner or stack[-1]
-                n = len(piece.strip())
-                shown += n
-                anchors += n if inside_a or any(t == "a" for t, _ in stack) else 0
-            text.append(piece)
-
-        opened: list[str] = []
-        for m in _TAG.finditer(raw):
-            add(html.unescape(raw[at : m.start()]))
+    Only elements that stay open at the end of their line hold lines; parsing keeps a stack, so any depth will do.
+    """
+    holders: list[tuple[int, str, str]] = [(-1, "page", "")]
+    stack: list[tuple[str, int]] = [("page", 0)]
+    lines: list[Line] = []
+    head = ""
+    for no, raw in enumerate(content.split("\n"), 1):
+        marked = "<" in raw
+        text: list[str] = []
+        tag, holder, linked, shown, at, anchors = "", -1, 0, 0, 0, sum(t == "a" for t, _ in stack) if marked else 0
+        unseen = any(t in _UNSEEN for t, _ in stack)
+        for m in _TAG.finditer(raw) if marked else ():
+            piece = raw[at : m.start()]
             at = m.end()
+            if piece and not unseen:
+                piece = html.unescape(piece)
+                size = len(piece.strip())
+                if size and holder < 0:
+                    holder = stack[-1][1]
+                shown += size
+                linked += size if anchors else 0
+                text.append(piece)
+            elif piece and stack[-1][0] == "title":
+                head = " ".join(html.unescape(piece).split()) or head
             name = (m[2] or "").lower()
             if not name or name in _VOID:
-                if name == "br":
-                    text.append(" ")
+                text.append(" " if name == "br" else "")
                 continue
             text.append(" " if name in _BLOCK else "")
             if m[1]:
-                if name == "title" and "head" in (t for t, _ in stack):
-                    title = "".join(text[-4:]).strip() or title
                 k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), None)
                 if k is not None:
                     del stack[k:]
+                    unseen = any(t in _UNSEEN for t, _ in stack)
+                anchors = max(0, anchors - (name == "a"))
             elif not m[4]:
-                if name in _BLOCK and not tag:
-                    tag = name
-                if len(stack) < DEEPEST and not (name in {"li", "p"} and stack[-1][0] == name):
-                    node = Node(name)
-                    stack[-1][1].children.append(node)
-                    stack.append((name, node))
-                opened.append(name)
-        add(html.unescape(raw[at:]))
+                tag = tag or (name if name in _BLOCK else "")
+                anchors += name == "a"
+                unseen = unseen or name in _UNSEEN
+                if stack[-1][0] == name and name in {"li", "p", "td", "tr"}:
+                    stack.pop()
+                number = stack[-1][1]
+                if name in _CONTAINER and not unseen:
+                    cls = _CLASS.search(m[3] or "")
+                    holders.append((number, name, cls[1] if cls else ""))
+                    number = len(holders) - 1
+                stack.append((name, number))
+        if not unseen or at:
+            piece = html.unescape(raw[at:]) if not unseen else ""
+            if piece.strip():
+                holder = stack[-1][1] if holder < 0 else holder
+                shown += len(piece.strip())
+                linked += len(piece.strip()) if anchors else 0
+            text.append(piece)
         plain = "".join(text)
-        if not tag and "<" not in raw:
-            md = re.match(r"\s{0,3}(#{1,6})\s+", plain)
-            tag = f"h{len(md[1])}" if md else "li" if re.match(r"\s*(?:[-*•]|\d+[.)])\s+", plain) else "pre" if re.match(r"(?: {4}|\t)\S", plain) else ""
-            plain = re.sub(r"^\s{0,3}#{1,6}\s+|^\s*(?:[-*•])\s+", "", plain)
+        if not marked:
+            if re.match(r"(?: {4}|\t)\S", plain):
+                tag = "pre"
+            plain = re.sub(r"^\s{0,3}#{1,6}\s+|^\s*[-*•]\s+", "", plain)
             bare = _MD_LINK.sub("", plain)
-            if bare != plain and not re.search(r"\w", bare):
-                anchors = shown
-            plain = _MD_LINK.sub(r"\1", plain)
+            if bare != plain:
+                linked = shown if not re.search(r"\w", bare) else 0
+                plain = _MD_LINK.sub(r"\1", plain)
+        tabs = "\t" in plain.strip()
         plain = " ".join(plain.replace("\xa0", " ").split())
         if not re.search(r"\w", plain):
             continue
-        names = {t for t, _ in stack} | {t for t in opened if t in _OUTSIDE} | ({owner[0]} if owner else set())
-        line = Line(no, plain, tag or (owner[0] if owner and owner[0] in _BLOCK else ""), anchors >= 0.9 * max(1, shown), bool(names & _OUTSIDE))
-        holder = (owner or stack[-1])[1]
-        if holder.label in _LEAVES and len(stack) > 1:  # an element of the line's own lies in its parent
-            holder = next((node for name, node in reversed(stack) if name not in _LEAVES), root)
-        line.within = 0 if holder.label in _WHOLE else id(holder)
-        lines.append(line)
-        (owner or stack[-1])[1].children.append(Node(None, line))
-    brand = re.split(r"\s[|–—-]\s", title)[-1] if re.search(r"\s[|–—-]\s", title) else ""
-    for line in reversed(lines[-25:]):
+        free = linked < 0.9 * max(1, shown)
+        prose = free and (tabs or tag in {"td", "tr", "pre"} or bool(_SENTENCE.search(plain)) or len(plain) >= 100)
+        lines.append(Line(no, plain, prose, max(holder, 0)))
+    _keys(lines, title, head)
+    return holders, lines, title or head
+
+
+def _keys(lines: list[Line], title: str | None, head: str) -> None:
+    """Keys of lines: ``own`` of the text, ``key`` without what differs between sites that use the same phrase."""
+    brand = re.split(r"\s[|–—-]\s", head)[-1] if re.search(r"\s[|–—-]\s", head) else ""
+    for line in reversed(lines):
         m = re.match(r"©\s*(?:\d{4}\s*[-–]?\s*)+(.+?)(?:[.,|]|$)", line.text)
         if m:
             brand = m[1].strip()
             break
-    for line in lines:
-        line.own, line.key = _h(line.text), _h(masked(line.text, host, brand))
-    return root, lines, title
+    names = {w for t in (title, re.split(r"\s[|–—]\s", head)[0]) if t and (w := _fold(t))}
+    trails = [_fold(parts[-1]) if len(parts := _TRAIL.split(x.text)) > 1 else "" for x in lines]
+    if not names:  # a page without a title is called what the trail above its first lines ends in
+        names = {t for t, x in zip(trails, lines[1:], strict=False) if t and _fold(x.text) == t}
+    for line, trail in zip(lines, trails, strict=True):
+        if len(line.text) < 300 and _fold(line.text) in names:
+            line.title = True
+        elif trail and trail in names:
+            line.own = line.key = _h("\x03trail")  # a trail of links that ends in the page's title
+        elif _BAR.fullmatch(line.text):
+            line.own, line.key = _h(line.text), _h("\x03bar")  # a row of names: the same thing whatever they are
+        else:
+            line.own, line.key = _h(line.text), _h(masked(line.text, brand))
 
 
-def masked(text: str, host: str, brand: str) -> str:
+def masked(text: str, brand: str) -> str:
     """A text without what differs between sites that use the same phrase: their names, numbers, names within a sentence."""
-    for name, mark in ((brand, "\x01"), (host, "\x02")):
-        if len(name) > 2:
-            text = re.sub(re.escape(name), mark, text, flags=re.I)
-    text = re.sub(r"\d+", "9", text)
+    if len(brand) > 2:
+        text = re.sub(re.escape(brand), "\x01", text, flags=re.I)
+    text = re.sub(r"\d+", "9", _DOMAIN.sub("\x02", text))
     return re.sub(r"(?<=[^\W\d_] )[A-ZÀ-Þ]\w*", "X", text)
 
 
@@ -160,179 +204,351 @@ def frame_key(text: str) -> int | None:
     return _h(f"{m[1]}:{m[2]}") if m else None
 
 
-def keys_of(lines: list[Line]) -> set[int]:
-    out = {x.key for x in lines if not x.outside}
-    out.update(k for x in lines if not x.outside and (k := frame_key(x.text)) is not None)
-    return out
-
+def tree(holders: list[tuple[int, str, str]], leaves: list[tuple[int, int, int]]) -> Node:
+    """The tree of a page from its containers and leaves (key, container, line), in order; containers without leaves are left out.
 
-def _pruned(node: Node, texts: set[int]) -> Node | None:
-    """The tree without what has no counterpart: leaves whose text is not among ``texts``, and emptied branches."""
-    if node.line is not None:
-        return Node(node.line.own, node.line) if node.line.own in texts else None
-    kept = [k for c in node.children if (k := _pruned(c, texts))]
-    return Node(node.label, None, kept) if kept else None
-
-
-def match(a: Node, b: Node) -> tuple[int, list[int]]:
-    """Simple tree matching: size of the largest order-keeping mapping of two trees, and the line numbers of a that it maps."""
-    if a.label != b.label:
-        return 0, []
-    if a.line is not None:
-        return 1, [a.line.no]
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs: dict[tuple[int, int], tuple[int, list[int]]] = {}
-    for i, x in enumerate(a.children, 1):
+    Lists and tables within a container that holds other lines belong to it.
+    """
+    nodes: dict[int, Node] = {}
+
+    def node(k: int) -> Node:
+        way = []
+        while k not in nodes:
+            way.append(k)
+            k = holders[k][0]
+            if k < 0:
+                nodes[way[-1]] = Node("page", at=0)
+                k = way.pop()
+        for k in reversed(way):
+            up = nodes[holders[k][0]]
+            nodes[k] = Node(holders[k][1], holders[k][2], at=k)
+            up.kids.append(nodes[k])
+        return nodes[k]
+
+    root = node(0)
+    for key, holder, at in leaves:
+        node(holder).kids.append(Node(key=key, at=at))
+    return root
+
+
+def align(a: Node, b: Node) -> tuple[float, list[tuple[Node, Node]]]:
+    """Simple tree matching: weight of the best order-keeping mapping of two trees of equal label, and what it maps.
+
+    Recursion goes as deep as containers part from each other. A leaf weighs 1, a container a little by itself, more if its class is the same.
+    """
+    x, y = a.kids, b.kids
+    pairs: list[tuple[Node, Node]] = [(a, b)]
+    total = 0.3 + (0.7 if a.cls == b.cls else 0.0)
+    lo = 0
+    while lo < min(len(x), len(y)) and x[lo].key and x[lo].key == y[lo].key:  # equal leaves at either end always belong together
+        pairs.append((x[lo], y[lo]))
+        lo += 1
+    p, q = len(x), len(y)
+    while p > lo and q > lo and x[p - 1].key and x[p - 1].key == y[q - 1].key:
+        p, q = p - 1, q - 1
+        pairs.append((x[p], y[q]))
+    total += len(pairs) - 1
+    x, y = x[lo:p], y[lo:q]
+    if not x or not y:
+        return total, pairs
+    keys = {k.key for k in y}
+    tags = {k.tag for k in y if not k.key}
+    x = [k for k in x if (k.key in keys if k.key else k.tag in tags)]
+    best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    found: dict[tuple[int, int], tuple[float, list]] = {}
+    for i, u in enumerate(x, 1):
         row, up = best[i], best[i - 1]
-        for j, y in enumerate(b.children, 1):
+        for j, v in enumerate(y, 1):
             most = row[j - 1] if row[j - 1] > up[j] else up[j]
-            if x.label == y.label:
-                w = pairs[i, j] = match(x, y) if x.line is None else (1, [x.line.no])
-                if up[j - 1] + w[0] > most:
-                    most = up[j - 1] + w[0]
+            if u.key == v.key and (u.key or u.tag == v.tag):
+                w = 1.0
+                if not u.key:
+                    w = (found.setdefault((i, j), align(u, v)))[0]
+                if up[j - 1] + w > most:
+                    most = up[j - 1] + w
             row[j] = most
-    mapped: list[int] = []
-    i, j = m, n
+    i, j = len(x), len(y)
+    total += best[i][j]
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
         elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
-            mapped += pairs[i, j][1]
             i, j = i - 1, j - 1
-    return best[m][n] + 1, mapped
+            pairs += found[i + 1, j + 1][1] if not x[i].key else [(x[i], y[j])]
+    return total, pairs
+
+
+def merge(wrapper: Node, other: Node) -> None:
+    """``other`` merged into ``wrapper``: aligned nodes add up their pages, others come in after the sibling they follow."""
+    _, pairs = align(wrapper, other)
+    mine = {id(b): a for a, b in pairs}
+    for a, b in pairs:
+        a.n += b.n
+    for a, b in pairs:
+        if b.key or all(id(k) in mine for k in b.kids):
+            continue
+        place = {id(k): i for i, k in enumerate(a.kids)}
+        out, at = [], 0
+        for k in b.kids:
+            if id(k) in mine:
+                i = place[id(mine[id(k)])] + 1
+                out += a.kids[at:i]
+                at = i
+            else:
+                out.append(k)
+        a.kids = out + a.kids[at:]
+
+
+def kept(node: Node, least: float) -> Node:
+    """A wrapper without the nodes that fewer than ``least`` pages show."""
+    todo = [node]
+    while todo:
+        k = todo.pop()
+        k.kids = [c for c in k.kids if c.n >= least]
+        todo += k.kids
+    return node
+
+
+def _dumps(node: Node) -> str:
+    out, todo = [], [(0, node)]
+    while todo:
+        depth, k = todo.pop()
+        out.append([depth, k.n, k.key] if k.key else [depth, k.n, k.tag, k.cls])
+        todo += [(depth + 1, c) for c in reversed(k.kids)]
+    return json.dumps(out, separators=(",", ":"))
+
+
+def _loads(text: str) -> Node:
+    way: list[Node] = []
+    for depth, n, *label in json.loads(text):
+        node = Node(key=label[0], n=n) if len(label) == 1 else Node(label[0], label[1], 0, n)
+        del way[depth:]
+        if way:
+            way[-1].kids.append(node)
+        way.append(node)
+    return way[0]
 
 
-def recurring(root: Node, lines: list[Line], partners: list[tuple[Node, list[Line]]]) -> set[int]:
-    """Lines whose node recurs, aligned and with the same text, in enough partners."""
+def _pages(df: DataFrame, id_col: Column, link: Column, title: Column, content: Column) -> DataFrame:
+    columns = [id_col.cast("bigint").alias("id"), link.cast("string").alias("link"), title.cast("string").alias("title"), content.cast("string").alias("content")]
+    return df.select(*columns).where(F.col("content").isNotNull() & F.col("id").isNotNull())
+
+
+_PARSED = "id bigint, host string, page bigint, holders string, nos array<int>, holder array<int>, own array<bigint>, key array<bigint>, frame array<bigint>, flags array<int>, name bigint"
+_PROSE_FLAG, _TITLE_FLAG = 1, 2
+
+
+def _needed(holders: list[tuple[int, str, str]], lines: list[Line]) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
+    """The containers that hold lines or part others from each other, and the new number of each that holds lines."""
+    own = {x.holder for x in lines} | {0}
+    inside: dict[int, set[int]] = {}
+    todo = list(own)
+    while todo:  # every container on the way up, with its children on that way
+        k = todo.pop()
+        up = holders[k][0]
+        if up >= 0:
+            if up not in inside and up not in own:
+                todo.append(up)
+            inside.setdefault(up, set()).add(k)
+    small: list[tuple[int, str, str]] = []
+    number: dict[int, int] = {}
+    way = [(0, -1)]
+    while way:
+        k, up = way.pop()
+        if k in own or len(inside[k]) > 1:
+            small.append((up, holders[k][1], holders[k][2]))
+            up = number[k] = len(small) - 1
+        way += [(c, up) for c in sorted(inside.get(k, ()), reverse=True)]
+    return small, number
+
+
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # align recurses in Python code only
+
+
+def _parsed(batches):
+    """What later steps need of a page: no text, but its containers, and of its lines number, container, keys and flags."""
+    names = [c.split()[0] for c in _PARSED.split(", ")]
+    for b in batches:
+        cols: list[list] = [[] for _ in names]
+        for key, link, title, content in zip(*(b.column(c).to_pylist() for c in ("id", "link", "title", "content")), strict=True):
+            host = host_of(link)
+            holders, lines, name = parse(content, title)
+            small, number = _needed(holders, lines)
+            row = (
+                key, host, _h(_fold(name) or str(key)), json.dumps(small), [x.no for x in lines], [number[x.holder] for x in lines], [x.own for x in lines], [x.key for x in lines],
+                [frame_key(x.text) or 0 for x in lines], [_PROSE_FLAG * x.prose + _TITLE_FLAG * x.title for x in lines], _h(masked(" ".join((title or "").split()), "")),
+            )
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
+def _leaves(own, holder, flags, among=None) -> list[tuple[int, int, int]]:
+    return [(int(k), int(c), i) for i, (k, c, f) in enumerate(zip(own, holder, flags, strict=True)) if not f & _TITLE_FLAG and (among is None or k in among)]
+
+
+def _wrapped(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The wrapper of one group of pages of a host: every title counts once, leaves that no other page of the group has are left out."""
+    pdf = pdf.sort_values("id").drop_duplicates("page")
     seen: dict[int, int] = {}
-    own = {x.own for x in lines}
-    for other, their in partners:
-        both = own & {x.own for x in their}
-        a, b = _pruned(root, both), _pruned(other, both)
-        if a and b:
-            for no in match(a, b)[1]:
-                seen[no] = seen.get(no, 0) + 1
-    need = 1 if len(partners) <= 2 else max(2, -int(-RECURS * len(partners) // 1))
-    return {no for no, n in seen.items() if n >= need}
-
-
-def _title_at(lines: list[Line], title: str | None, head: str, template: set[int]) -> tuple[int, bool]:
-    """Index of the line that holds the page's title, and that it does; else of the first line that may be content."""
-    wanted = [w for t in (title, re.split(r"\s[|–—]\s", head)[0]) if t and (w := _fold(t))]
-    for w in wanted:
-        for i, x in enumerate(lines):
-            if not x.outside and _fold(x.text) == w:
-                return i, True
-    for i, x in enumerate(lines):
-        if x.tag == "h1" and not x.outside:
-            return i, True
-    for i, x in enumerate(lines[:25]):  # a trail of links that ends in the title
-        last = _fold(re.split(r" [/>»›] ", x.text)[-1])
-        if last != _fold(x.text) and (last in wanted or i + 1 < len(lines) and last == _fold(lines[i + 1].text)):
-            return min(i + 1, len(lines) - 1), i + 1 < len(lines) and last == _fold(lines[i + 1].text)
-    for i, x in enumerate(lines):
-        if not x.outside and x.no not in template and not x.linked and " | " not in x.text and " · " not in x.text:
-            return i, False
-    return 0, False
-
-
-def article_lines(content: str, host: str, title: str | None, phrases: set[int], others: list[tuple[Node, list[Line]]]) -> list[int]:
-    """Numbers of the lines of a page's article; ``phrases`` are keys of template phrases on it, ``others`` parsed pages of its host."""
-    root, lines, head = parse(content, host)
-    if not lines:
-        return []
-    template = recurring(root, lines, others)
-    told = {x.no for x in lines if x.key in phrases or (k := frame_key(x.text)) is not None and k in phrases}
-    template |= told
-    first, sure = _title_at(lines, title, head, template)
-    body = [x for x in lines[first:] if not x.outside]
-    keep = [x for x in body if x.no not in template or sure and x is lines[first]]
-    # a list of links at the very end: template lines and titles after the last line that can only be content
-    end = len(body)
-    while end and not (sure and body[end - 1] is lines[first]) and (body[end - 1].no in template or _like_a_title(body[end - 1])):
-        end -= 1
-    within = lines[first].within if sure else 0
-    tail = [x for x in body[end:] if not within or x.within != within]  # what lies in the title's own element is no such list
-    heads = [i for i, x in enumerate(tail) if x.no in told and not _SENTENCE.search(x.text) and i + 1 < len(tail) and tail[i + 1].no not in told]
-    long = [i for i in heads if i + 2 < len(tail) and tail[i + 2].no not in told]
-    if heads:
-        gone = {x.no for x in tail[(long or heads)[-1] :]}
-    else:
-        gone = {x.no for x in tail} if len(others) < 4 else set()
-    return [x.no for x in keep if x.no not in gone]
-
-
-def _like_a_title(x: Line) -> bool:
-    return (x.linked or x.tag in {"", "p", "li", "div"}) and not _SENTENCE.search(x.text) and len(x.text) < 100 and "\t" not in x.text and x.text.count(" | ") < 2
+    for own, flags in zip(pdf["own"], pdf["flags"], strict=True):
+        for k in {int(k) for k, f in zip(own, flags, strict=True) if not f & _TITLE_FLAG}:
+            seen[k] = seen.get(k, 0) + 1
+    several = {k for k, n in seen.items() if n > 1} if len(pdf) > 1 else set(seen)
+    wrapper = None
+    for holders, holder, own, flags in zip(pdf["holders"], pdf["holder"], pdf["own"], pdf["flags"], strict=True):
+        page = tree(json.loads(holders), _leaves(own, holder, flags, several))
+        if wrapper is None:
+            wrapper = page
+        else:
+            merge(wrapper, page)
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(pdf["part"].iloc[0])], "wrapper": [_dumps(kept(wrapper, KEPT * len(pdf)))]})
 
 
-def _pages(df: DataFrame, id_col: Column, link: Column, title: Column, content: Column) -> DataFrame:
-    return df.select(id_col.cast("bigint").alias("id"), link.cast("string").alias("link"), title.cast("string").alias("title"), content.cast("string").alias("content")).where(F.col("content").isNotNull() & F.col("id").isNotNull())
+def _remerged(pdf: pd.DataFrame) -> pd.DataFrame:
+    wrapper = None
+    for text in pdf.sort_values("part")["wrapper"]:
+        other = _loads(text)
+        if wrapper is None:
+            wrapper = other
+        else:
+            merge(wrapper, other)
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(pdf["into"].iloc[0])], "wrapper": [_dumps(kept(wrapper, KEPT * wrapper.n))]})
+
 
+def wrappers(parsed: DataFrame) -> DataFrame:
+    """host and wrapper, from all its pages: groups of pages first, then partial wrappers in rounds, so that no task holds a large host."""
+    pages = parsed.where(F.col("host") != "").select("id", "host", "page", "holders", "holder", "own", "flags")
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    placed = split_join(pages, sizes, "host", "inner").withColumn("part", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / GROUP)))
+    done = write_out(placed.groupBy("host", "part").applyInPandas(_wrapped, "host string, part bigint, wrapper string"))
+    while (done.agg(F.max("part")).first()[0] or 0) > 0:
+        merged = done.withColumn("into", F.floor(F.col("part") / MERGED)).groupBy("host", "into").applyInPandas(_remerged, "host string, part bigint, wrapper string")
+        done = write_out(merged)
+    return done.select("host", "wrapper")
 
-def _keyed(batches):
+
+def template_phrases(parsed: DataFrame) -> DataFrame:
+    """Keys of leaves that recur over all hosts: key, share of pages that show it, and whether it is a phrase (titles of pages never are).
+
+    Pages of one title count once.
+
+    Of every host that shows a key one page is set aside, the one that made it known; the share of its other pages tells how
+    often the host's template has it. Where most hosts are small, the share of hosts whose first page shows it tells the same.
+    """
+    keys = F.array_distinct(F.concat("key", "frame"))
+    once = parsed.groupBy("host", "page").agg(F.min_by(keys, "id").alias("keys"), F.min("id").alias("id"))
+    once = once.withColumn("site", F.when(F.col("host") == "", F.concat(F.lit("\x01"), F.col("id").cast("string"))).otherwise(F.col("host")))
+    hosts = once.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page").alias("first"))
+    total = hosts.agg(F.count(F.lit(1)).alias("hosts"))
+    seen = once.select("site", "page", F.explode("keys").alias("key")).where(F.col("key") != 0)
+    seen = seen.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("least"))
+    pooled = seen.join(hosts, "site").groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("more"), F.sum(F.col("n_pages") - 1).alias("of"), F.count_if(F.col("least") == F.col("first")).alias("firsts")
+    )
+    titles = parsed.select(F.col("name").alias("key"), F.lit(True).alias("titled")).distinct()
+    share = F.greatest(F.coalesce(F.col("more") / F.nullif("of", F.lit(0)), F.lit(0.0)), F.col("firsts") / F.col("hosts"))
+    common = pooled.join(F.broadcast(total)).where(F.col("n") >= PHRASE_PAGES).select("key", share.alias("share"))  # one row
+    common = common.join(titles, "key", "left")
+    return common.select("key", "share", (F.col("titled").isNull() & (F.col("share") >= PHRASE)).alias("phrase"))
+
+
+def _slots(batches):
+    """Per visible line: its container in the wrapper (``region``), the recurring line it follows there (``slot``), and what it is."""
+    loaded: tuple[str | None, Node | None] = (None, None)
     for b in batches:
-        ids, hosts, titles, keys, own = [], [], [], [], []
-        for key, link, title, content in zip(*(b.column(c).to_pylist() for c in ("id", "link", "title", "content")), strict=True):
-            host = host_of(link)
-            _, lines, head = parse(content, host)
-            name = _fold(title or head or "") or str(key)
-            ids.append(key)
-            hosts.append(host)
-            titles.append(_h(name))
-            keys.append(sorted(keys_of(lines)))
-            own.append(_h(masked(" ".join((title or "").split()), host, "")))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(titles, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(own, pa.int64())], ["id", "host", "page", "keys", "own"])
-
-
-def template_phrases(keyed: DataFrame) -> DataFrame:
-    """Keys of texts that recur on the pages of their hosts: key. Pages crawled again count once; titles of pages never count."""
-    once = keyed.groupBy("host", "page").agg(F.any_value("keys").alias("keys"))
-    hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= HOST_PAGES)
-    seen = once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    pooled = seen.join(hosts, "host").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_pages").alias("of"))
-    titles = keyed.select(F.col("own").alias("key")).distinct()
-    return pooled.where((F.col("n") >= PHRASE_PAGES) & (F.col("n") >= PHRASE * F.col("of"))).select("key").join(titles, "key", "left_anti")
+        cols: list[list] = [[] for _ in range(8)]
+        for row in b.to_pylist():
+            if row["wrapper"] != loaded[0]:
+                loaded = (row["wrapper"], _loads(row["wrapper"]) if row["wrapper"] else None)
+            wrapper, holders = loaded[1], json.loads(row["holders"])
+            shares = {x["key"]: x["share"] for x in row["phrases"] or ()}
+            phrases = {x["key"] for x in row["phrases"] or () if x["phrase"]}
+            constant: set[int] = set()
+            names = {0: "page"}
+            if wrapper is not None:
+                known = {k for k, n in _keys_of(wrapper) if n >= RECURS * wrapper.n and n > 1}
+                page = tree(holders, _leaves(row["own"], row["holder"], row["flags"], known))
+                number = _names(wrapper)
+                for w, p in align(wrapper, page)[1]:
+                    if not p.key:
+                        names[p.at] = number[id(w)]
+                    elif w.n > 1 and _recurs(w.n, wrapper.n, shares.get(row["key"][p.at])):
+                        constant.add(p.at)
+            for k, (up, tag, cls) in enumerate(holders):
+                if k and tag in _INLINE_LIST:
+                    names[k] = names[up]  # a list is part of what it stands in
+                elif k not in names:
+                    names[k] = f"{names[up]}/{tag}.{cls}~{k}"
+            last: dict[int, int] = {}
+            for i, (no, holder, own, key, frame, flags) in enumerate(zip(row["nos"], row["holder"], row["own"], row["key"], row["frame"], row["flags"], strict=True)):
+                told = key in phrases or frame in phrases
+                fixed = not flags & _TITLE_FLAG and (told or i in constant)
+                region = names[holder]
+                if fixed:
+                    last[region] = key
+                for c, v in zip(cols, (row["id"], no, row["host"], region, last.get(region, 0), fixed, bool(flags & _PROSE_FLAG), bool(flags & _TITLE_FLAG)), strict=True):
+                    c.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "line_no", "host", "region", "slot", "fixed", "prose", "title"])
+
+
+def _recurs(n: int, of: int, share: float | None) -> bool:
+    """Whether enough of a host's pages show a leaf; what all hosts know of its share counts as some pages more."""
+    return n >= RECURS * of if share is None else n + PRIOR * share >= RECURS * (of + PRIOR)
+
+
+def _keys_of(node: Node) -> list[tuple[int, int]]:
+    out, todo = [], [node]
+    while todo:
+        k = todo.pop()
+        if k.key:
+            out.append((k.key, k.n))
+        todo += k.kids
+    return out
+
+
+def _names(node: Node) -> dict[int, str]:
+    """What each container of a wrapper is called: its place among its siblings, from the page down."""
+    out, todo = {}, [(node, "page")]
+    while todo:
+        k, name = todo.pop()
+        out[id(k)] = name
+        todo += [(c, f"{name}/{c.tag}.{c.cls}#{i}") for i, c in enumerate(k.kids) if not c.key]
+    return out
 
 
 def main_content(df: DataFrame, id_col: Column, link: Column, title: Column, content: Column) -> DataFrame:
     """id and line_no (from 1, content split at line feeds) of each line of the article that holds visible text.
 
-    A host's pages are aligned with up to PARTNERS of its pages of different titles; a host of a third of all pages has no
-    more of them than another, so they are sent to each group of its pages, and groups are spread over all tasks. Rows that
-    repeat count once. Null and empty contents give no rows; pages without a link are judged by the phrases of all hosts alone.
+    Contents are read once and never shuffled; what is shuffled are keys of their lines. Hosts of any size are treated alike,
+    one of a third of all rows being split into groups. Rows that repeat count once. Null and empty contents give no rows;
+    pages without a link are judged by what all hosts have in common.
     """
     pages = spread(_pages(df, id_col, link, title, content))
-    keyed = write_out(pages.mapInArrow(_keyed, "id bigint, host string, page bigint, keys array<bigint>, own bigint"))
-    phrases = write_out(template_phrases(keyed))
-    marked = split_join(keyed.select("id", F.explode("keys").alias("key")), phrases.withColumn("one", F.lit(1)), "key", "inner").groupBy("id").agg(F.collect_set("key").alias("phrases"))
-
-    # the partners of a host: of every one of PARTNERS kinds of titles the page with the smallest hash
-    slot = F.pmod(F.xxhash64("page"), F.lit(PARTNERS))
-    picked = keyed.where(F.col("host") != "").groupBy("host", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("page", F.lit(1)).alias("at"), "id", "page")).alias("x")).select("host", "x.id", "x.page")
-    partners = write_out(picked.join(pages.select("id", "content"), "id").groupBy("host").agg(F.collect_list(F.struct("id", "page", "content")).alias("partners")))
-
-    # pages go in groups of some GROUP pages of a host, so that partners are sent and parsed once per group
-    sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    placed = split_join(keyed.select("id", "host", "page"), sizes, "host").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)))
-    every = pages.join(placed.drop("n"), "id").join(marked, "id", "left")
-    groups = every.groupBy("host", "part").agg(F.collect_list(F.struct("id", "link", "title", "content", "page", "phrases")).alias("pages"))
-    tasks = max(3 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    work = split_join(groups, partners, "host", least=1).repartition(tasks, "host", "part")
-
-    def run(batches):
-        for b in batches:
-            ids, nos = [], []
-            for host, own, near in zip(*(b.column(c).to_pylist() for c in ("host", "pages", "partners")), strict=True):
-                others = [(p["page"], p["id"], parse(p["content"], host)[:2]) for p in near or []]
-                for x in own:
-                    known = [tree for page, key, tree in others if page != x["page"] and key != x["id"]]
-                    found = article_lines(x["content"], host, x["title"], set(x["phrases"] or ()), known)
-                    ids += [x["id"]] * len(found)
-                    nos += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64())], ["id", "line_no"])
-
-    return work.select("host", "pages", "partners").mapInArrow(run, "id bigint, line_no bigint").distinct()
+    parsed = write_out(pages.mapInArrow(_parsed, _PARSED))
+    phrases = write_out(template_phrases(parsed))
+    told = parsed.select("id", F.explode(F.array_distinct(F.concat("key", "frame"))).alias("key"))
+    marked = split_join(told, phrases, "key", "inner").groupBy("id").agg(F.collect_set(F.struct("key", "share", "phrase")).alias("phrases"))
+    work = split_join(parsed.drop("name", "page"), wrappers(parsed), "host").join(write_out(marked), "id", "left")
+    found = "id bigint, line_no bigint, host string, region string, slot bigint, fixed boolean, prose boolean, title boolean"
+    lines = write_out(work.mapInArrow(_slots, found))
+
+    site = F.when(F.col("host") == "", F.concat(F.lit("\x01"), F.col("id").cast("string"))).otherwise(F.col("host"))
+    vary = lines.where("NOT fixed").withColumn("region_key", F.concat_ws("\x02", site, "region"))
+    vary = vary.withColumn("slot_key", F.concat_ws("\x02", "region_key", F.col("slot").cast("string")))
+    counted = [F.count_if(~F.col("title")).alias("lines"), F.count_if(F.col("prose") & ~F.col("title")).alias("prose"), F.count_if("title").alias("titles")]
+    by_slot = write_out(vary.groupBy("region_key", "slot_key", "slot").agg(*counted))
+    regions = by_slot.groupBy("region_key").agg(*[F.sum(c).alias(c) for c in ("lines", "prose", "titles")])
+    lists = regions.where(F.greatest("prose", "titles") <= PROSE * F.col("lines")).select("region_key", F.lit(True).alias("list"))
+    usual = by_slot.agg((F.sum("prose") / F.sum("lines")).alias("usual"))
+    pool = by_slot.groupBy("slot").agg(F.sum("prose").alias("p"), F.sum("lines").alias("l")).join(F.broadcast(usual))  # one row
+    pool = pool.select("slot", ((F.col("p") + USUAL * F.col("usual")) / (F.col("l") + USUAL)).alias("pooled"))
+    share = (F.col("prose") + PRIOR * F.col("pooled")) / (F.col("lines") + PRIOR)
+    known = split_join(by_slot, pool, "slot").join(lists, "region_key", "left")
+    gone = write_out(known.where(F.col("list") | (F.col("slot") != 0) & (share <= PROSE)).select("slot_key", F.lit(True).alias("gone")))
+    body = split_join(vary.where("NOT title"), gone, "slot_key").where("gone IS NULL").select("id", "line_no")
+    return body.unionByName(lines.where("title").select("id", "line_no")).distinct()
