@@ -77,3 +77,30 @@ def test_written_forms_behind_the_gates():
     for mail in ("eva At mail dot example", "eva at mail.site dot example", "eva at mail (dot) example", "eva at mail [dot] example", "eva(At)mail.example"):
         assert of(f"Write to {mail}, please") == {("email", mail)}
     assert not of("We met at noon. Look at this.example")
+
+
+def test_disclosure_is_measured_in_bits(spark):
+    """Of terms seen equally often with candidates, the one that stands beside seeds discloses; smoothing keeps single sightings out."""
+    rows = [("phone", "ring", k < 30) for k in range(40)] + [("phone", "part", k < 1) for k in range(40)] + [("phone", "once", True)]
+    seen = spark.createDataFrame(rows, "kind string, term string, seed boolean")
+    base = spark.createDataFrame([("phone", 0.001)], "kind string, base double")
+    got = {r["term"]: r for r in P.disclosing(seen, ["kind", "term"], base, P.BESIDE_IT).collect()}
+    assert set(got) == {"ring"}
+    chance = (30 + P.DOUBT * 0.001) / (40 + P.DOUBT)
+    import math
+
+    assert abs(got["ring"]["bits"] - math.log2(chance / 0.001)) < 1e-9 and abs(got["ring"]["share"] - got["ring"]["bits"] / -math.log2(0.001)) < 1e-9
+    assert {r["term"] for r in P.disclosing(seen, ["kind", "term"], base, P.BESIDE_IT, known=P.SEED).collect()} == {"ring", "part", "once"}
+
+
+def test_words_above_the_threshold_are_removed_and_others_stay(spark):
+    rows, _ = corpus()
+    names = [(900, "Anna Korvath, anna.korvath@mail.example, wrote. A note of Korvath asked for May and Board, and Marwen too.")]
+    got = {r["id"]: r["text"] for r in P.sanitize(spark.createDataFrame(rows + names, "id long, text string"), F.col("id"), F.col("text")).collect()}
+    assert got[900] == "[PERSON], [EMAIL], wrote. A note of [NAME] asked for May and Board, and Marwen too."
+
+
+def test_words_far_from_a_candidate_are_whole():
+    long = "x" * 200
+    assert P._around(f"see {long} 1234567 end", 205, 212) == [f"B {long} end", f"L see {long}"]
+    assert [m[2] for m in P._mails("a" * 500 + "@mail.example")] == ["a" * 500]
