@@ -39,18 +39,23 @@ PROSE = 0.05
 #: What all hosts know of a slot weighs as much as so many lines of the host's own; what is usual in any slot, as so many lines of that.
 PRIOR, USUAL = 10.0, 2.0
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<!--.*?(?:-->|$)|<![^>]*>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<!--.*?(?:-->|$)|<![^>]*>")
 _CLASS = re.compile(r"class\s*=\s*[\"']([^\"']*)", re.I)
 # fixed values: elements of HTML by what they are for
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
 _UNSEEN = {"head", "script", "style", "noscript", "template"}
 _BLOCK = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "pre", "td", "th", "tr", "dt", "dd", "blockquote"}
 _CONTAINER = {"body", "div", "header", "nav", "main", "article", "section", "aside", "footer", "form", "table", "td", "center", "ul", "ol", "dl", "details", "dialog", "fieldset"}
+_ALONE, _TABULAR = {"li", "p", "td", "tr"}, {"td", "tr", "pre"}
 _INLINE_LIST = {"ul", "ol", "dl", "table"}
 _MD_LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _SENTENCE = re.compile(r"[.!?:;。！？…][\"'”»)\]]*$")
 _TRAIL = re.compile(r" (?:/|>|»|›|→|\|) ")
 _BAR = re.compile(r"[^\W\d_][^\d|·>/•]{0,30}(?: ([|·>/•]) [^\W\d_][^\d|·>/•]{0,30}(?= \1|$)){3,}")
+_APART = re.compile(r"[\W_]+")
+_DIGITS, _NAME = re.compile(r"\d+"), re.compile(r"(?<=[^\W\d_] )[A-ZÀ-Þ]\w*")
+_MARK, _CODE = re.compile(r"\s{0,3}#{1,6}\s+|\s*[-*•]\s+"), re.compile(r"(?: {4}|\t)\S")
+_WORD = re.compile(r"\w")
 _DOMAIN = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}\b", re.I)
 
 
@@ -83,7 +88,7 @@ def host_of(link: str | None) -> str:
 
 
 def _fold(text: str) -> str:
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return _APART.sub("", text.casefold())
 
 
 def _h(text: str) -> int:
@@ -99,69 +104,82 @@ def parse(content: str, title: str | None = None) -> tuple[list[tuple[int, str,
     stack: list[tuple[str, int]] = [("page", 0)]
     lines: list[Line] = []
     head = ""
+    anchors = unseen = 0  # how many open elements are links, and how many do not show
     for no, raw in enumerate(content.split("\n"), 1):
         marked = "<" in raw
+        if unseen and not marked:
+            continue
         text: list[str] = []
-        tag, holder, linked, shown, at, anchors = "", -1, 0, 0, 0, sum(t == "a" for t, _ in stack) if marked else 0
-        unseen = any(t in _UNSEEN for t, _ in stack)
+        tag, holder, linked, shown, at = "", -1, 0, 0, 0
         for m in _TAG.finditer(raw) if marked else ():
             piece = raw[at : m.start()]
             at = m.end()
-            if piece and not unseen:
-                piece = html.unescape(piece)
-                size = len(piece.strip())
-                if size and holder < 0:
-                    holder = stack[-1][1]
-                shown += size
-                linked += size if anchors else 0
-                text.append(piece)
-            elif piece and stack[-1][0] == "title":
-                head = " ".join(html.unescape(piece).split()) or head
-            name = (m[2] or "").lower()
-            if not name or name in _VOID:
-                text.append(" " if name == "br" else "")
+            if piece:
+                if "&" in piece:
+                    piece = html.unescape(piece)
+                if not unseen:
+                    size = len(piece.strip())
+                    if size:
+                        holder = stack[-1][1] if holder < 0 else holder
+                        shown += size
+                        linked += size if anchors else 0
+                    text.append(piece)
+                elif stack[-1][0] == "title":
+                    head = " ".join(piece.split()) or head
+            close, name, attributes = m.groups()
+            if not name:
+                continue
+            name = name.lower()
+            if name in _VOID:
+                if name == "br":
+                    text.append(" ")
                 continue
-            text.append(" " if name in _BLOCK else "")
-            if m[1]:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), None)
-                if k is not None:
+            if name in _BLOCK:
+                text.append(" ")
+                tag = tag or (name if not close else "")
+            if close:
+                k = len(stack) - 1
+                while k and stack[k][0] != name:
+                    k -= 1
+                if k:
+                    for t, _ in stack[k:]:
+                        anchors -= t == "a"
+                        unseen -= t in _UNSEEN
                     del stack[k:]
-                    unseen = any(t in _UNSEEN for t, _ in stack)
-                anchors = max(0, anchors - (name == "a"))
-            elif not m[4]:
-                tag = tag or (name if name in _BLOCK else "")
-                anchors += name == "a"
-                unseen = unseen or name in _UNSEEN
-                if stack[-1][0] == name and name in {"li", "p", "td", "tr"}:
+            elif not attributes or attributes[-1] != "/":
+                if stack[-1][0] == name and name in _ALONE:
                     stack.pop()
+                anchors += name == "a"
+                unseen += name in _UNSEEN
                 number = stack[-1][1]
                 if name in _CONTAINER and not unseen:
-                    cls = _CLASS.search(m[3] or "")
+                    cls = _CLASS.search(attributes) if attributes else None
                     holders.append((number, name, cls[1] if cls else ""))
                     number = len(holders) - 1
                 stack.append((name, number))
-        if not unseen or at:
-            piece = html.unescape(raw[at:]) if not unseen else ""
-            if piece.strip():
+        if at < len(raw) and not unseen:
+            piece = html.unescape(raw[at:]) if "&" in raw else raw[at:]
+            size = len(piece.strip())
+            if size:
                 holder = stack[-1][1] if holder < 0 else holder
-                shown += len(piece.strip())
-                linked += len(piece.strip()) if anchors else 0
+                shown += size
+                linked += size if anchors else 0
             text.append(piece)
         plain = "".join(text)
         if not marked:
-            if re.match(r"(?: {4}|\t)\S", plain):
+            if _CODE.match(plain):
                 tag = "pre"
-            plain = re.sub(r"^\s{0,3}#{1,6}\s+|^\s*[-*•]\s+", "", plain)
-            bare = _MD_LINK.sub("", plain)
-            if bare != plain:
-                linked = shown if not re.search(r"\w", bare) else 0
+            mark = _MARK.match(plain)
+            plain = plain[mark.end() :] if mark else plain
+            if "](" in plain:
+                linked = shown if not _WORD.search(_MD_LINK.sub("", plain)) else 0
                 plain = _MD_LINK.sub(r"\1", plain)
-        tabs = "\t" in plain.strip()
-        plain = " ".join(plain.replace("\xa0", " ").split())
-        if not re.search(r"\w", plain):
+        tabs = "\t" in plain and "\t" in plain.strip()
+        plain = " ".join(plain.split())
+        if not _WORD.search(plain):
             continue
         free = linked < 0.9 * max(1, shown)
-        prose = free and (tabs or tag in {"td", "tr", "pre"} or bool(_SENTENCE.search(plain)) or len(plain) >= 100)
+        prose = free and (tabs or tag in _TABULAR or len(plain) >= 100 or bool(_SENTENCE.search(plain)))
         lines.append(Line(no, plain, prose, max(holder, 0)))
     _keys(lines, title, head)
     return holders, lines, title or head
@@ -171,36 +189,39 @@ def _keys(lines: list[Line], title: str | None, head: str) -> None:
     """Keys of lines: ``own`` of the text, ``key`` without what differs between sites that use the same phrase."""
     brand = re.split(r"\s[|–—-]\s", head)[-1] if re.search(r"\s[|–—-]\s", head) else ""
     for line in reversed(lines):
-        m = re.match(r"©\s*(?:\d{4}\s*[-–]?\s*)+(.+?)(?:[.,|]|$)", line.text)
+        m = line.text[0] == "©" and re.match(r"©\s*(?:\d{4}\s*[-–]?\s*)+(.+?)(?:[.,|]|$)", line.text)
         if m:
             brand = m[1].strip()
             break
     names = {w for t in (title, re.split(r"\s[|–—]\s", head)[0]) if t and (w := _fold(t))}
-    trails = [_fold(parts[-1]) if len(parts := _TRAIL.split(x.text)) > 1 else "" for x in lines]
+    trails = [_fold(parts[-1]) if " " in x.text and len(parts := _TRAIL.split(x.text)) > 1 else "" for x in lines]
+    named = re.compile(re.escape(brand), re.I) if len(brand) > 2 else None
     if not names:  # a page without a title is called what the trail above its first lines ends in
         names = {t for t, x in zip(trails, lines[1:], strict=False) if t and _fold(x.text) == t}
+    longest = max((3 * len(w) + 40 for w in names), default=0)
     for line, trail in zip(lines, trails, strict=True):
-        if len(line.text) < 300 and _fold(line.text) in names:
+        if len(line.text) <= longest and _fold(line.text) in names:
             line.title = True
         elif trail and trail in names:
             line.own = line.key = _h("\x03trail")  # a trail of links that ends in the page's title
         elif _BAR.fullmatch(line.text):
             line.own, line.key = _h(line.text), _h("\x03bar")  # a row of names: the same thing whatever they are
         else:
-            line.own, line.key = _h(line.text), _h(masked(line.text, brand))
+            line.own, line.key = _h(line.text), _h(masked(line.text, named))
 
 
-def masked(text: str, brand: str) -> str:
+def masked(text: str, brand: re.Pattern | None = None) -> str:
     """A text without what differs between sites that use the same phrase: their names, numbers, names within a sentence."""
-    if len(brand) > 2:
-        text = re.sub(re.escape(brand), "\x01", text, flags=re.I)
-    text = re.sub(r"\d+", "9", _DOMAIN.sub("\x02", text))
-    return re.sub(r"(?<=[^\W\d_] )[A-ZÀ-Þ]\w*", "X", text)
+    if brand:
+        text = brand.sub("\x01", text)
+    if "." in text:
+        text = _DOMAIN.sub("\x02", text)
+    return _NAME.sub("X", _DIGITS.sub("9", text))
 
 
 def frame_key(text: str) -> int | None:
     """What is left of an announcement without what it announces: its words up to the colon, and its last two."""
-    m = re.match(r"((?:\S+ ){0,2}\S+?) ?: .*[.!?] (\S+(?: \S+){1,3})$", text)
+    m = ": " in text and re.match(r"((?:\S+ ){0,2}\S+?) ?: .*[.!?] (\S+(?: \S+){1,3})$", text)
     return _h(f"{m[1]}:{m[2]}") if m else None
 
 
@@ -378,7 +399,7 @@ def _parsed(batches):
             small, number = _needed(holders, lines)
             row = (
                 key, host, _h(_fold(name) or str(key)), json.dumps(small), [x.no for x in lines], [number[x.holder] for x in lines], [x.own for x in lines], [x.key for x in lines],
-                [frame_key(x.text) or 0 for x in lines], [_PROSE_FLAG * x.prose + _TITLE_FLAG * x.title for x in lines], _h(masked(" ".join((title or "").split()), "")),
+                [frame_key(x.text) or 0 for x in lines], [_PROSE_FLAG * x.prose + _TITLE_FLAG * x.title for x in lines], _h(masked(" ".join((title or "").split()))),
             )
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
