@@ -22,13 +22,17 @@ def heavy_keys(df: DataFrame, key: str, weight: str | None = None, most: int = H
     return df.sparkSession.createDataFrame(rows, df.select(key).schema) if rows else None
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", weight: str | None = None, most: int = HEAVY_KEYS, least: int = HEAVY_ROWS) -> DataFrame:
+def split_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "left", weight: str | None = None, most: int = HEAVY_KEYS, least: int = HEAVY_ROWS, hot: DataFrame | None | bool = True
+) -> DataFrame:
     """``left`` joined with ``right`` (one row per key) on ``key``: heavy keys of ``left`` by broadcast, the rest by shuffle.
 
     The right rows of heavy keys are at most ``most``, whatever the input. ``how`` is "left" or "inner"; rows of a null
-    key stay in a left join without a partner. The result has the key once, then the other columns of both sides.
+    key stay in a left join without a partner. The result has the key once, then the other columns of both sides. Where the
+    heavy keys are known beforehand, ``hot`` (or None) saves counting them.
     """
-    hot = heavy_keys(left, key, weight, most, least)
+    if hot is True:
+        hot = heavy_keys(left, key, weight, most, least)
     if hot is None:
         return left.join(right, key, how)
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))

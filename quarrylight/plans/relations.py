@@ -109,20 +109,26 @@ tree AS (
   SELECT t, id, t AS rt, id AS rid, 0::BIGINT AS depth, t || ':' || id AS path FROM n WHERE pid IS NULL
   UNION ALL SELECT n.t, n.id, tree.rt, tree.rid, tree.depth + 1, tree.path || '/' || n.t || ':' || n.id FROM n JOIN tree ON n.pt = tree.t AND n.pid = tree.id)"""
 
-_P2 = f"""WITH RECURSIVE {_NODES},
+_LOOPS = """
 loose AS (SELECT n.* FROM n ANTI JOIN tree ON n.t = tree.t AND n.id = tree.id),
 walk AS (
   SELECT id AS start, id, pid, 0 AS k FROM loose WHERE t = 'section' AND pt = 'section'
   UNION SELECT w.start, l.id, l.pid, 0 FROM walk w JOIN loose l ON l.t = 'section' AND l.id = w.pid),
-on_loop AS (SELECT DISTINCT w.start AS id FROM walk w WHERE w.pid = w.start),
+on_loop AS (SELECT DISTINCT w.start AS id FROM walk w WHERE w.pid = w.start)"""
+
+_P2 = f"""WITH RECURSIVE {_NODES},{_LOOPS},
 root_of AS (SELECT w.start AS id, min(w.id) AS rid FROM walk w JOIN on_loop o ON w.id = o.id GROUP BY w.start)
 SELECT t AS node_table, id AS node_id, rt AS root_table, rid AS root_id, depth, path FROM tree
 UNION ALL SELECT l.t, l.id, 'section', r.rid, -1, CASE WHEN l.id IN (SELECT id FROM on_loop) THEN 'cycle' ELSE 'below cycle' END
 FROM loose l JOIN root_of r ON l.id = r.id"""
 
-_P2_DESC = f"""WITH RECURSIVE {_NODES},
-parts AS (SELECT t || ':' || id AS descendant, depth, string_split(path, '/') AS p FROM tree)
-SELECT p[i] AS ancestor, descendant, depth - i + 1 AS distance FROM parts, unnest(range(1, depth + 1)) AS u(i)"""
+_P2_DESC = f"""WITH RECURSIVE {_NODES},{_LOOPS},
+under AS (
+  SELECT 'section' AS t, id, ['section:' || id] AS p FROM on_loop
+  UNION ALL SELECT n.t, n.id, list_append(under.p, n.t || ':' || n.id) FROM n JOIN under ON n.pt = under.t AND n.pid = under.id
+  WHERE NOT (n.t = 'section' AND n.id IN (SELECT id FROM on_loop))),
+parts AS (SELECT string_split(path, '/') AS p FROM tree UNION ALL SELECT p FROM under)
+SELECT p[i] AS ancestor, p[len(p)] AS descendant, len(p) - i AS distance FROM parts, unnest(range(1, len(p))) AS u(i)"""
 
 _REFS = r"""
 last AS (SELECT * FROM guidestep WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),

@@ -55,6 +55,9 @@ def test_hierarchy_edges(spark):
 def test_descendants(spark):
     df = spark.createDataFrame([("1", None, "a", 1, ""), ("2", "1", "b", 2, ""), ("3", "2", "c", 3, "")], NODES)
     assert {tuple(r) for r in H.descendants(H.hierarchy(df)).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+    rows = [("1", "2", "a", 1, ""), ("2", "1", "b", 2, ""), ("3", "2", "c", 3, ""), ("4", "3", "d", 4, ""), ("5", "4", "e", 5, "")]
+    below = {tuple(r) for r in H.descendants(H.hierarchy(spark.createDataFrame(rows, NODES))).collect()}
+    assert below == {("b", "c", 1), ("b", "d", 2), ("c", "d", 1), ("b", "e", 3), ("c", "e", 2), ("d", "e", 1)}
 
 
 def test_split_join_is_a_join(spark):
