@@ -1,17 +1,46 @@
-"""Column functions on HTML, by patterns that stay inside the JVM. A null text gives null."""
+"""Column functions on HTML, by patterns that stay inside the JVM; Python sees only texts with rare entities. A null text gives null."""
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarrylight.functions.text import SPACE, strip
 
-# fixed values: entities that are decoded, the ampersand last
+# fixed values: common entities, the ampersand last
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+_RARE = r"&(?!(?:lt|gt|quot|#39|nbsp|copy|middot|amp);)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]\w*);"
+
+
+@F.pandas_udf(StringType())
+def _common(texts: pd.Series) -> pd.Series:
+    """Entities of all names and numbers as characters, those that would be markup under their common names."""
+    return texts.map(lambda t: t if t is None else _ENTITY.sub(_as_common, t))
+
+
+_ENTITY = re.compile(_RARE)
+
+
+def _as_common(m: re.Match) -> str:
+    char = unescape(m[0])
+    return {"<": "&lt;", ">": "&gt;", "&": "&amp;", "\xa0": "&nbsp;"}.get(char, char)
+
+
+def common_entities(c: Column) -> Column:
+    """A text with no other entities than those that ``decode`` knows."""
+    rare = c.rlike(_RARE)
+    return F.coalesce(_common(F.when(rare, c)), c)
+
+
 def decode(c: Column) -> Column:
+    """The common entities as characters."""
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
@@ -23,14 +52,14 @@ def _without(c: Column, tags: tuple[str, ...]) -> Column:
 
 def html_text(c: Column, remove_tags: tuple[str, ...] = ()) -> Column:
     """Visible text: no scripts, styles, templates, comments, and none of ``remove_tags``; white space collapsed."""
-    c = _without(c, ("script", "style", "template", *remove_tags))
+    c = _without(common_entities(c), ("script", "style", "template", *remove_tags))
     c = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"<[^>]*>", " ")
     return F.trim(F.regexp_replace(decode(c), f"(?U){SPACE}+", " "))
 
 
 def html_strings(c: Column, remove_tags: tuple[str, ...] = ("script", "style", "nav", "footer")) -> Column:
     """The strings between tags, each trimmed and joined by a blank; white space inside a string is kept."""
-    c = F.regexp_replace(_without(c, remove_tags), r"(?s)<!--.*?-->", "")
+    c = F.regexp_replace(_without(common_entities(c), remove_tags), r"(?s)<!--.*?-->", "")
     parts = F.transform(F.split(c, r"<[^>]*>"), lambda s: strip(decode(s)))
     return F.array_join(F.filter(parts, lambda s: s != ""), " ")
 
@@ -58,9 +87,11 @@ def images(c: Column) -> Column:
 def meta(c: Column) -> Column:
     """Named meta tags as a map; of a name given twice the first counts."""
     pattern = r"(?i)<meta\s+name=\"([^\"]+)\"\s+content=\"([^\"]*)\""
-    names, values = F.regexp_extract_all(c, F.lit(pattern), 1), F.transform(F.regexp_extract_all(c, F.lit(pattern), 2), decode)
-    once = F.array_distinct(names)
-    return F.map_from_arrays(once, F.transform(once, lambda n: F.element_at(values, F.array_position(names, n).cast("int"))))
+    names, values = (F.regexp_extract_all(c, F.lit(pattern), k) for k in (1, 2))
+    values = F.split(common_entities(F.array_join(values, "\x1f")), "\x1f")
+    pairs = F.arrays_zip(names.alias("k"), F.transform(values, decode).alias("v"))
+    first = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
+    return F.map_from_entries(first)
 
 
 def clean_fragment(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import count_tokens
@@ -56,3 +56,36 @@ def to_json(role: Column, content: Column, at: Column) -> Column:
 def from_json(c: Column) -> Column:
     """role, content and timestamp of a message; null for what cannot be read."""
     return F.from_json(c, "role string, content string, timestamp string")
+
+
+def append(messages: DataFrame, new: DataFrame, conv: str = "conv_id", at: str = "created_at") -> DataFrame:
+    """Messages with a whole-number ``turn``, and new ones (same columns without ``turn``) behind them: each gets the next turns of its conversation, by time.
+
+    A conversation that is not there yet starts at turn 1. Rows without a conversation are left out of the new ones.
+    """
+    last = messages.groupBy(conv).agg(F.max("turn").alias("_last"))
+    rows = split_join(new.where(F.col(conv).isNotNull()), last, conv)
+    order = Window.partitionBy(conv).orderBy(at, "role", "text")
+    turn = (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast(messages.schema["turn"].dataType)
+    return messages.unionByName(rows.withColumn("turn", turn).select(*messages.columns))
+
+
+def save(messages: DataFrame, folder: str, conv: str = "conv_id") -> None:
+    """Add messages to a store of conversations; a conversation saved again replaces what was saved of it before (see ``load``)."""
+    stamped = messages.withColumn("_saved", F.current_timestamp()).withColumn("_gone", F.lit(False))
+    stamped.write.mode("append").parquet(folder)
+
+
+def delete(spark: SparkSession, ids: DataFrame, folder: str, conv: str = "conv_id") -> None:
+    """Delete conversations from a store: a row without messages outdates what was saved before."""
+    schema = spark.read.parquet(folder).schema
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in (conv, "_saved", "_gone")]
+    marks = ids.select(F.col(conv), *rest, F.current_timestamp().alias("_saved"), F.lit(True).alias("_gone"))
+    marks.select(*schema.names).write.mode("append").parquet(folder)
+
+
+def load(spark: SparkSession, folder: str, conv: str = "conv_id") -> DataFrame:
+    """The conversations of a store as last saved, without those deleted since."""
+    rows = spark.read.parquet(folder)
+    newest_save = rows.groupBy(conv).agg(F.max("_saved").alias("_newest"))
+    return split_join(rows, newest_save, conv, "inner").where((F.col("_saved") == F.col("_newest")) & ~F.col("_gone")).drop("_saved", "_gone", "_newest")

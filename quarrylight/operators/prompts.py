@@ -48,9 +48,9 @@ def numbered_context(hits: DataFrame, query: str, rank: str, content: Column, mo
     return parts.select(query, F.when(F.size("items") > 0, text).otherwise(NO_CONTEXT).alias("context"))
 
 
-def fill(template: str, **values: Column) -> Column:
+def fill(template: str | Column, **values: Column) -> Column:
     """A template with {name} places filled; unknown places stay, nulls become empty."""
-    out = F.lit(template)
+    out = F.lit(template) if isinstance(template, str) else template
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
@@ -64,3 +64,24 @@ def pick_template(templates: dict[str, str], *keys: Column, default: str = "") -
 
 def sendable(messages: DataFrame, roles: tuple[str, ...] = ("system", "user", "assistant")) -> DataFrame:
     return messages.where(F.col("role").isin(*roles))
+
+
+def extract_answer(hits: DataFrame, query: str, rank: str, content: Column, sentences: int = 2) -> DataFrame:
+    """Per query the first sentences of its best hit that has text: the answer where no model is at hand; empty without any."""
+    text = F.when(content.rlike(HTML), F.regexp_replace(content, "<[^>]+>", "")).otherwise(content)
+    has = F.coalesce(F.trim(text), F.lit("")) != ""
+    best = hits.groupBy(query).agg(F.min_by(F.when(has, text), F.when(has, F.col(rank))).alias("_t"))
+    first = F.array_join(F.slice(F.filter(F.split("_t", r"(?<=[.!?])\s+"), lambda x: x != ""), 1, sentences), " ")
+    return best.select(query, F.coalesce(first, F.lit("")).alias("answer"))
+
+
+def response(answer: Column, cited: Column) -> Column:
+    """An answer with its citations below, if there are any."""
+    return F.when(F.coalesce(cited, F.lit("")) != "", F.concat(answer, F.lit("\n\n"), cited)).otherwise(answer)
+
+
+def answer_queries(hits: DataFrame, query: str, rank: str, question: Column, domain: Column, content: Column, url: Column, *names: Column, most: int = 2048) -> DataFrame:
+    """Per query of ranked hits with their documents: prompt, answer, citations and the response made of both."""
+    prompt = context_prompt(hits, query, rank, context_entry(F.left(content, F.lit(most)), url), domain, question)
+    parts = prompt.join(extract_answer(hits, query, rank, content), query).join(citations(hits, query, rank, *names), query)
+    return parts.select(query, "prompt", "answer", "citations", response(F.col("answer"), F.col("citations")).alias("response"))

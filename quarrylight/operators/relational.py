@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# fixed values: parts of the names of columns that hold files
+FILE_WORDS = ("image", "file", "path", "asset", "doc", "attachment")
+
+
 @dataclass(frozen=True)
 class Relationship:
     """A parent and a child entity with the keys that relate them."""
@@ -104,7 +108,7 @@ def entity_text(title: Column, content: Column, details: list[str], keep_order:
 
     Details come in the given order, or sorted by name and without empty values.
     """
-    body = F.coalesce(F.get_json_object(content, "$.text"), F.get_json_object(content, "$.content"), content)
+    body = F.coalesce(json_at(content, "$.text"), json_at(content, "$.content"), content)
     cells = []
     for c in details if keep_order else sorted(details):
         v = F.col(c).cast("string")
@@ -148,7 +152,7 @@ def row_id(prefix: str, stem: str, *ids: Column) -> Column:
 
 def asset_columns(columns: list[str]) -> list[str]:
     """Columns whose name tells that they hold files."""
-    return [c for c in columns if re.search("image|file|path|asset|doc|attachment", c.lower())]
+    return [c for c in columns if any(word in c.lower() for word in FILE_WORDS)]
 
 
 def assets(columns: list[str]) -> Column:
@@ -157,13 +161,18 @@ def assets(columns: list[str]) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def json_at(cell: Column, path: str) -> Column:
+    """What stands at a path of a cell that is valid JSON, as text; null otherwise."""
+    return F.try_variant_get(F.try_parse_json(cell), path, "string")
+
+
 def json_asset(cell: Column, path: str | None = None) -> Column:
     """The file that a JSON cell names: at a path, there under path or id, else under path, url, file or image; a cell that is no object names itself."""
     if path:
         at = f"$.{path}"
-        own = F.get_json_object(cell, at)
-        return F.coalesce(F.get_json_object(cell, f"{at}.path"), F.get_json_object(cell, f"{at}.id"), F.when(~own.startswith("{"), own))
-    found = [F.get_json_object(cell, f"$.{k}") for k in ("path", "url", "file", "image")]
+        own = json_at(cell, at)
+        return F.coalesce(json_at(cell, f"{at}.path"), json_at(cell, f"{at}.id"), F.when(~own.startswith("{"), own))
+    found = [json_at(cell, f"$.{k}") for k in ("path", "url", "file", "image")]
     return F.coalesce(*found, F.when(~F.trim(cell).startswith("{"), cell))
 
 
@@ -171,3 +180,45 @@ def cells(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """All cells that have a value, row by row: order, pos (from 0), cell."""
     rows = df.select(order, F.posexplode(F.array(*[F.col(c).cast("string") for c in columns])).alias("pos", "cell"))
     return rows.where(F.col("cell").isNotNull())
+
+
+def field_value(c: Column, most: int = 500) -> Column:
+    """A value as shown: nothing for null, JSON for lists, maps and structs, long ones cut."""
+    text = c.cast("string")
+    return F.coalesce(F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text), F.lit(""))
+
+
+def as_json(df: DataFrame, columns: list[str]) -> Column:
+    """A row's columns as one JSON text, nulls included; ``from_json`` with the same columns brings them back."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def from_json_row(c: Column, like: DataFrame, columns: list[str]) -> Column:
+    return F.from_json(c, like.select(*columns).schema)
+
+
+def assemble(entity: str, source: str, parents: DataFrame, key: str, text: Column, children: dict[str, tuple[DataFrame, Relationship, str]], metadata: tuple[str, ...] = (), files: Column | None = None) -> DataFrame:
+    """Entities as documents: id, text, metadata (map), structured (JSON), assets.
+
+    ``structured`` holds the entity's own row and, for each child entity (its rows, relationship and primary key), the kind of
+    the relationship and the ids and rows of its children in order; a child that several parents reach belongs to the first.
+    A parent without a key has no relationships. One row per parent key; a parent of very many children gives a very large
+    row, as that is its result.
+    """
+    base = F.create_map(F.lit("source"), F.lit(source), F.lit("source_type"), F.lit("relational_data"), F.lit("entity_name"), F.lit(entity), F.lit("entity_id"), F.col(key).cast("string"))
+    more = [F.when(F.col(m).isNotNull(), F.create_map(F.lit(m), F.col(m).cast("string"))).otherwise(F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))) for m in metadata]
+    own = F.struct(F.lit(entity).alias("name"), F.col(key).alias("id"), F.struct(*parents.columns).alias("data"))
+    rows = parents.select(
+        F.col(key), row_id("relational", source, F.lit(entity), F.col(key)).alias("_id"), text.alias("_text"), (F.map_concat(base, *more) if more else base).alias("_meta"), own.alias("entity"),
+        (files if files is not None else F.array().cast("array<string>")).alias("_assets"), *[F.col(r.parent_key).alias(f"_{name}") for name, (_, r, _) in children.items()],
+    )
+    for name, (df, r, pk) in children.items():
+        owned = df.where(F.col(r.child_key).isNotNull()).groupBy(pk).agg(F.min(F.struct(F.col(r.child_key).alias("_up"), *[c for c in df.columns if c != r.child_key])).alias("_x"))
+        data = F.struct(*[(F.col("_x._up") if c == r.child_key else F.col(pk) if c == pk else F.col("_x")[c]).alias(c) for c in df.columns])
+        items = owned.groupBy(F.col("_x._up").alias("_k")).agg(F.sort_array(F.collect_list(F.struct(F.col(pk).alias("id"), data.alias("data")))).alias("_items"))
+        met = rows.join(items, F.col(f"_{name}") == F.col("_k"), "left")
+        none = F.array().cast(items.schema["_items"].dataType)
+        rows = met.withColumn(f"_{name}", F.when(F.col(f"_{name}").isNotNull(), F.struct(F.lit(r.kind).alias("type"), F.coalesce("_items", none).alias("data")))).drop("_k", "_items")
+    related_to = F.struct(*[F.col(f"_{name}").alias(name) for name in children]) if children else F.lit(None).cast("string")
+    structured = F.to_json(F.struct(F.col("entity"), related_to.alias("relationships")))
+    return rows.select(F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_meta").alias("metadata"), structured.alias("structured"), F.col("_assets").alias("assets"))

@@ -1,7 +1,8 @@
-"""Exact vector search. Corpus and queries are cut into blocks; each pair of blocks is one matrix product in some task.
+"""Exact vector search. The query set goes in blocks against all of the corpus, which stays where it was read.
 
-Nothing whole is broadcast or gathered: a block holds a bounded number of vectors, and of each pair of blocks only the
-best ``k`` per query go on. Null vectors are left out; a zero vector has no cosine and comes last; ties go to the smaller id.
+Tasks pack their corpus vectors into blocks without a shuffle; each pair of a corpus block and a query block is one matrix
+product, of which only the best ``k`` per query go on. Null vectors are left out; a zero vector has no cosine and comes
+last; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.scratch import write_out
+
 BLOCK = 4096
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, names: tuple[str, str, str]) -> tuple[DataFrame, int]:
-    """Vectors in blocks of about BLOCK, each one row: block number, ids, and the values one after the other."""
-    n = max(1, -(-df.count() // BLOCK))
-    rows = df.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(names[0]), F.struct(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).alias("x"))
-    packed = rows.groupBy(names[0]).agg(F.collect_list("x").alias("x"))
-    return packed.select(names[0], F.col("x.id").alias(names[1]), F.flatten("x.v").alias(names[2])), n
+def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+
+
+def _packed(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, BLOCK):
+            part = b.slice(lo, BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float32()))], ["c_ids", "c_vals"])
 
 
 def _search(metric: str, k: int):
@@ -39,10 +45,15 @@ def _search(metric: str, k: int):
                     if metric == "cosine":
                         with np.errstate(divide="ignore", invalid="ignore"):
                             sim = sim / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(c, axis=1)[None, :]
-                sim = np.round(sim, 9)
-                order = np.lexsort((np.broadcast_to(c_ids, sim.shape), np.where(np.isnan(sim), np.inf, -sim)), axis=1)[:, :k]
-                best = np.take_along_axis(sim, order, 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(c_ids[order].ravel()), pa.array(best, mask=np.isnan(best))], ["query_id", "id", "score"])
+                low = np.where(np.isnan(sim), -np.inf, np.round(sim, 9))
+                kth = np.partition(low, -k, axis=1)[:, -k] if k < low.shape[1] else np.full(len(low), -np.inf)
+                row, col = np.nonzero(low >= kth[:, None])  # the best k of each query, with all that tie with the last
+                order = np.lexsort((c_ids[col], -low[row, col], row))
+                row, col = row[order], col[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[nth < k], col[nth < k]
+                best = low[row, col]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(c_ids[col]), pa.array(best, mask=np.isinf(best))], ["query_id", "id", "score"])
 
     return run
 
@@ -51,15 +62,21 @@ def top_k(corpus: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     """query_id, rank (from 1), id and raw score of the ``k`` nearest of all corpus rows to each query; fewer if there are fewer.
 
     ``metric`` is cosine, ip (also dot, inner_product) or l2 (also euclidean), for which the score is the squared distance,
-    smallest first. Keys must be unique.
+    smallest first. Keys must be unique. Query blocks are broadcast where the planner finds them small enough; else corpus
+    blocks are sent to them, spread over so many tasks as there are cores.
     """
     metric = {"dot": "ip", "inner_product": "ip", "euclidean": "l2"}.get(metric, metric)
     if metric not in ("cosine", "ip", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    c, n = _blocks(corpus, key, vector, ("c_block", "c_ids", "c_vals"))
-    q, _ = _blocks(queries, key, vector, ("q_block", "q_ids", "q_vals"))
-    met = q.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(c, "c_block")
-    found = met.select("q_ids", "q_vals", "c_ids", "c_vals").mapInArrow(_search(metric, k), "query_id bigint, id bigint, score double")
+    asked = write_out(_vectors(queries, key, vector))
+    n = max(1, -(-asked.count() // BLOCK))
+    spread = max(1, corpus.sparkSession.sparkContext.defaultParallelism // n)
+    q = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("q_block")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    q = write_out(q.select("q_block", F.col("x.id").alias("q_ids"), F.flatten("x.v").alias("q_vals")))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    c = _vectors(corpus, key, vector).mapInArrow(_packed, "c_ids array<bigint>, c_vals array<float>")
+    c = c.withColumn("salt", F.pmod(F.hash(F.get("c_ids", F.lit(0))), F.lit(spread))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    found = c.join(q, ["q_block", "salt"]).select("q_ids", "q_vals", "c_ids", "c_vals").mapInArrow(_search(metric, k), "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id"))
     score = F.round(-F.col("score") if metric == "l2" else F.col("score"), 6)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", score.alias("score"))
@@ -116,3 +133,18 @@ def unseen(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """New rows whose key is not known yet, one per key (any of equal ones); rows without a key are kept out."""
     once = new.where(F.col(key).isNotNull()).dropDuplicates([key])
     return once.join(known.select(key), key, "left_anti")
+
+
+def retrieved(hits: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Hits with the documents they stand for (columns of ``documents`` but its ``key``); a hit without a document keeps nulls, one of a null key has none."""
+    return hits.join(documents.withColumnRenamed(key, "id"), "id", "left")
+
+
+def nearest_label(df: DataFrame, key: str, vector: str, labels: DataFrame) -> DataFrame:
+    """The label whose vector is nearest by cosine: key, label, score. ``labels`` (label, vector) is small configuration, one row a label.
+
+    Ties go to the smaller label; a zero vector has none.
+    """
+    known = labels.select(F.row_number().over(Window.orderBy("label")).cast("bigint").alias("_l"), "label", F.col("vector").alias(vector))
+    best = top_k(known, df.select(F.col(key).alias("_l"), vector), "_l", vector, k=1).where(F.col("score").isNotNull())
+    return best.join(known.select(F.col("_l").alias("id"), "label"), "id").select(F.col("query_id").alias(key), "label", "score")

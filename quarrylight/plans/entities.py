@@ -48,13 +48,12 @@ def row_texts(spark, sf):
 
 def entity_texts(spark, sf):
     s = table(spark, sf, "guidestepsection").where("id IS NOT NULL")
-    return s.select("id", "loaded_at", R.entity_text(F.concat(F.lit("Section "), F.col("id").cast("string")), F.when(F.col("content").rlike(r'^\{"text": "[^"\\]*"\}$'), F.col("content")), ["stepid", "parentsectionid"]).alias("text"), R.entity_text(F.lit("S"), F.lit(None).cast("string"), ["stepid", "parentsectionid"], False).alias("sorted"), R.row_id("section", "workbook", F.col("id")).alias("row_id")).distinct()
+    return s.select("id", "loaded_at", R.entity_text(F.concat(F.lit("Section "), F.col("id").cast("string")), F.col("content"), ["stepid", "parentsectionid"]).alias("text"), R.entity_text(F.lit("S"), F.lit(None).cast("string"), ["stepid", "parentsectionid"], False).alias("sorted"), R.row_id("section", "workbook", F.col("id")).alias("row_id")).distinct()
 
 
 def entity_texts_whole(spark, sf):
-    """Texts of all sections whatever their content; ``entity_texts`` is the part that its SQL can express."""
-    s = table(spark, sf, "guidestepsection").where("id IS NOT NULL")
-    return s.select("id", "loaded_at", R.entity_text(F.concat(F.lit("Section "), F.col("id").cast("string")), F.col("content"), ["stepid", "parentsectionid"]).alias("text"), R.row_id("section", "workbook", F.col("id")).alias("row_id")).distinct()
+    """The texts alone, of all sections whatever their content."""
+    return entity_texts(spark, sf).drop("sorted").distinct()
 
 
 def template_texts(spark, sf):
@@ -72,14 +71,14 @@ def guide_document(spark, sf):
 
 
 def section_assets(spark, sf):
-    s = table(spark, sf, "guidestepsection").where(F.col("content").rlike(r'^\{"image": \{"name": "[^"\\]*"\}\}$'))
-    return s.select("id", R.json_asset(F.col("content"), "image.name").alias("asset"), F.coalesce(R.json_asset(F.get_json_object("content", "$.image.name")), F.lit("")).alias("direct")).distinct()
+    """Images of all sections whose content is JSON with an image: read at the path, and from the image's own cell."""
+    image = R.json_at(F.col("content"), "$.image.name")
+    s = table(spark, sf, "guidestepsection").select("id", R.json_asset(F.col("content"), "image.name").alias("asset"), F.coalesce(R.json_asset(image), F.lit("")).alias("direct"))
+    return s.where(F.col("asset").isNotNull()).distinct()
 
 
 def section_assets_whole(spark, sf):
-    """Images of all sections whose content is JSON with an image; ``section_assets`` is the part that its SQL can express."""
-    s = table(spark, sf, "guidestepsection").where(F.expr("try_parse_json(content)").isNotNull())
-    return s.select("id", R.json_asset(F.col("content"), "image.name").alias("asset")).where(F.col("asset").isNotNull()).distinct()
+    return section_assets(spark, sf).drop("direct").distinct()
 
 
 def event_json(spark, sf):
@@ -112,7 +111,7 @@ def file_names(spark, sf):
 
 def page_documents(spark, sf):
     d = readers.document_rows(readers.read_columns(spark, f"{sf}/page_export.parquet", required=readers.DOCUMENT_COLUMNS))
-    return d.select("id", F.length("text").alias("n_chars"), F.element_at("metadata", "link").alias("link"), F.size(F.map_keys("metadata")).alias("n_keys"), F.array_join("assets", ",").alias("assets"))
+    return d.select("id", "text", F.try_element_at("metadata", F.lit("link")).alias("link"), F.try_element_at("metadata", F.lit("title")).alias("title"), F.size(F.map_keys("metadata")).alias("n_keys"), F.array_join("assets", ",").alias("assets"))
 
 
 def union_sources(spark, sf):
@@ -139,6 +138,10 @@ QUERIES = {f.__name__: f for f in (orders_nested, first_owner, bridge_categories
 
 _LABELS = {k: " ".join(f"WHEN {k} = '{a}' THEN '{b}'" for a, b in v.items()) for k, v in (("kind", M.TYPE_LABELS), ("goal", M.PURPOSE_LABELS))}
 
+_CONTENT = "CASE WHEN json_valid(content) AND json_type(content) = 'OBJECT' THEN coalesce(json_extract_string(content, '$.text'), json_extract_string(content, '$.content'), content) ELSE content END"
+_TEXT = f"concat_ws(chr(10) || chr(10), '# Section ' || id, nullif({_CONTENT}, ''), '## Details', '| Field | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| stepid | ' || coalesce(stepid::VARCHAR, '') || ' |' || chr(10) || '| parentsectionid | ' || coalesce(parentsectionid::VARCHAR, '') || ' |')"
+_IMAGE = "SELECT id, coalesce(json_extract_string(content, '$.image.name.path'), json_extract_string(content, '$.image.name.id'), CASE WHEN json_type(content, '$.image.name') <> 'OBJECT' THEN json_extract_string(content, '$.image.name') END) AS asset FROM guidestepsection WHERE json_valid(content)"
+
 SQL = {
     "orders_nested": "SELECT c_custkey, c_name, coalesce(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey, o_orderstatus), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL",
     "first_owner": "WITH p AS (SELECT l_partkey AS part, l_suppkey AS supplier, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY first_order, supplier) = 1",
@@ -147,12 +150,15 @@ SQL = {
     "step_guides": "WITH s AS (SELECT DISTINCT id AS step_id, guideid FROM guidestep), g AS (SELECT id, min(coalesce(name, '')) AS name FROM guide GROUP BY 1) SELECT step_id, guideid, name AS guide FROM s LEFT JOIN g ON guideid = g.id",
     "row_texts": """SELECT p_partkey, 'Sheet: part' || chr(10) || 'Row: ' || p_partkey || chr(10) || 'p_name: ' || CASE WHEN length(p_name) > 6 THEN left(p_name, 6) || '...' ELSE p_name END || chr(10) || 'p_brand: ' || CASE WHEN length(p_brand) > 6 THEN left(p_brand, 6) || '...' ELSE p_brand END || chr(10) || 'p_size: ' || p_size AS lines,
         'Part' || chr(10) || 'p_name: ' || p_name || CASE WHEN p_size <> 0 THEN chr(10) || 'p_size: ' || p_size ELSE '' END AS structured, 'p_partkey: ' || p_partkey || ', p_name: ' || p_name || ', p_brand: ' || p_brand AS summary FROM part""",
-    "entity_texts": r"""SELECT DISTINCT id, loaded_at, '# Section ' || id || chr(10) || chr(10) || CASE WHEN regexp_full_match(coalesce(content, ''), '\{"text": "[^"\\]*"\}') AND json_extract_string(content, '$.text') <> '' THEN json_extract_string(content, '$.text') || chr(10) || chr(10) ELSE '' END || '## Details' || chr(10) || chr(10) || '| Field | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| stepid | ' || coalesce(stepid::VARCHAR, '') || ' |' || chr(10) || '| parentsectionid | ' || coalesce(parentsectionid::VARCHAR, '') || ' |' AS text,
+    "entity_texts": f"""SELECT DISTINCT id, loaded_at, {_TEXT} AS text,
         '# S' || chr(10) || chr(10) || '## Details' || chr(10) || chr(10) || '| Field | Value |' || chr(10) || '| --- | --- |' || chr(10) || concat_ws(chr(10), CASE WHEN parentsectionid IS NOT NULL THEN '| parentsectionid | ' || parentsectionid || ' |' END, CASE WHEN stepid IS NOT NULL THEN '| stepid | ' || stepid || ' |' END) AS sorted, 'section_workbook_' || id AS row_id FROM guidestepsection WHERE id IS NOT NULL""",
+    "entity_texts_whole": f"SELECT DISTINCT id, loaded_at, {_TEXT} AS text, 'section_workbook_' || id AS row_id FROM guidestepsection WHERE id IS NOT NULL",
     "template_texts": "SELECT doc_id, CASE WHEN lower(coalesce(title, '')) IN ('', 'nan') THEN 'untitled' ELSE title END || ' [' || CASE WHEN lower(coalesce(lang, '')) IN ('', 'nan') THEN 'und' ELSE lang END || '] from ' || CASE WHEN lower(coalesce(source, '')) IN ('', 'nan') THEN '' ELSE source END || '!' AS text FROM documents",
     "guide_document": """WITH g AS (SELECT id, arg_max(coalesce(name, ''), loaded_at) AS name FROM guide GROUP BY 1), s AS (SELECT guideid, string_agg(id, ',' ORDER BY id) AS steps FROM (SELECT DISTINCT id, guideid FROM guidestep WHERE id IS NOT NULL) GROUP BY 1)
         SELECT 'guide_workbook_' || id AS doc_id, '# ' || CASE WHEN lower(name) IN ('', 'nan') THEN 'Guide' ELSE name END AS text, coalesce(steps, '') AS steps, 'source=workbook;source_type=relational;entity_name=guide;entity_id=' || id AS metadata FROM g LEFT JOIN s ON guideid = id""",
-    "section_assets": r"""SELECT DISTINCT id, json_extract_string(content, '$.image.name') AS asset, json_extract_string(content, '$.image.name') AS direct FROM guidestepsection WHERE regexp_full_match(content, '\{"image": \{"name": "[^"\\]*"\}\}')""",
+    "section_assets": f"WITH a AS ({_IMAGE}) SELECT DISTINCT id, asset, asset AS direct FROM a WHERE asset IS NOT NULL",
+    "section_assets_whole": f"WITH a AS ({_IMAGE}) SELECT DISTINCT id, asset FROM a WHERE asset IS NOT NULL",
+    "streamed_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "event_json": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN value IS NULL THEN NULL WHEN value / 100 > 0.4 THEN 'high' WHEN value / 100 > 0.2 THEN 'medium' ELSE 'low' END AS relevance, concat_ws('/', nullif(event_type, ''), user_id::VARCHAR) AS combined FROM events",
     "metadata_merge": rf"""WITH d AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'guide' WHEN 1 THEN 'faq' END AS kind, CASE WHEN regexp_matches(text, '(?i)step \d+') THEN 'how_to' WHEN regexp_matches(text, 'reference|overview') THEN 'reference' END AS goal FROM documents)
         SELECT doc_id, coalesce(lang, 'en') AS raw_lang, coalesce(CASE WHEN regexp_matches(lang, '^[a-z]{{2}}(-[A-Z]{{2}})?$') THEN lang END, lower(nullif(regexp_extract(lang, '^([A-Za-z]{{2}})\b', 1), '')), 'en') AS language, goal,
@@ -161,7 +167,7 @@ SQL = {
         CASE WHEN guide_key IS NOT NULL AND try_cast(regexp_replace(guide_key, '^GK-', '') AS BIGINT) IS NULL THEN 'guide_key: not a integer' END) AS problems FROM documents""",
     "file_names": r"""SELECT DISTINCT asset_name, regexp_replace(regexp_extract(asset_name, '([^/\\]*)$', 1), '\.[^.]*$', '') AS stem, lower(regexp_extract(regexp_extract(asset_name, '([^/\\]*)$', 1), '(\.[^.]*)$', 1)) AS extension,
         CASE WHEN contains(b, '.') THEN b ELSE b || CASE WHEN asset_kind = 'image' THEN '.png' ELSE '.pdf' END END AS safe FROM (SELECT *, coalesce(nullif(regexp_replace(asset_name, '\.[^.]*$', ''), ''), 'x') AS b FROM asset_file)""",
-    "page_documents": "SELECT id::VARCHAR AS id, length(content)::INT AS n_chars, link, (1 + (link IS NOT NULL)::INT + (title IS NOT NULL)::INT + (crawled_at IS NOT NULL)::INT)::INT AS n_keys, coalesce(array_to_string(images, ','), '') AS assets FROM page_export",
+    "page_documents": "SELECT id::VARCHAR AS id, content AS text, link, title, (1 + (link IS NOT NULL)::INT + (title IS NOT NULL)::INT + (crawled_at IS NOT NULL)::INT)::INT AS n_keys, coalesce(array_to_string(images, ','), '') AS assets FROM page_export",
     "union_sources": "SELECT source, count(doc_id) AS n_docs, count(chunk_id) AS n_chunks FROM (SELECT doc_id, NULL AS chunk_id, source FROM documents UNION ALL SELECT NULL, chunk_id, source FROM document_chunk) GROUP BY 1",
     "workbook_cells": "SELECT DISTINCT row_no, 0 AS pos, docname AS cell FROM guidedoc WHERE docname IS NOT NULL UNION SELECT DISTINCT row_no, 1, sectionid FROM guidedoc WHERE sectionid IS NOT NULL",
     "answers": "SELECT guide_key, min(title) AS title, coalesce(string_agg(DISTINCT source, ', ' ORDER BY source), '') AS sources FROM documents WHERE guide_key IS NOT NULL GROUP BY 1",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import entities, relations, retrieval, texts
+from quarrylight.plans import entities, pipeline, relations, retrieval, texts
 
-_MODULES = (relations, texts, retrieval, entities)
+_MODULES = (relations, texts, retrieval, entities, pipeline)
 
 
 def queries() -> dict:

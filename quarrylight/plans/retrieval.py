@@ -12,6 +12,8 @@ from quarrylight.operators import vectors as X
 from quarrylight.plans.relations import table
 
 DOMAINS = {"sourcing": [("auction", 1.5), ("supplier", 1.0), ("bid", 1.0)], "contracts": [("contract", 1.0), ("clause", 0.8), "licence"], "logistics": [("warehouse", 1.2), ("freight", 1.0), ("pallet", 0.5)], "sourcing_events": [("scenario", 0.7), ("round", 0.3)]}
+SUBDOMAINS = {"sourcing_events": [("scenario", 0.7), ("round", 0.3)], "sourcing_auctions": [("auction", 1.0)], "contracts_clauses": [("clause", 1.0)], "logistics_freight": [("freight", 0.9)]}
+TERMS = {"award": 0.8, "basket": 0.7}
 PURPOSES = {"how_to": [("how to", 2.0), ("open the", 0.5)], "explanation": [("what is", 2.0), ("explains", 1.0)], "reference": [("reference", 2.0), ("overview", 1.0)]}
 
 
@@ -24,14 +26,15 @@ def keyphrases(spark, sf):
 
 
 def keyphrases_hybrid(spark, sf):
-    d = docs(spark, sf)
-    return C.hybrid(C.keyphrases(d, "doc_id", F.col("title"), top=3), C.keyphrases(d, "doc_id", F.col("text"), top=8), "doc_id", 8)
+    lists = C.phrase_lists(docs(spark, sf), {"t": (F.col("title"), None, 3), "p": (F.col("text"), None, 8)}, ["doc_id"])
+    rows = lists.select("doc_id", F.posexplode(C.hybrid(F.col("t"), F.col("p"), 8)).alias("pos", "x"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("rank"), "x.phrase", "x.score")
 
 
 def keyword_domains(spark, sf):
-    scored = docs(spark, sf).select("doc_id", F.posexplode(C.category_scores(F.col("text"), F.col("title"), DOMAINS)).alias("idx", "x"))
-    best = F.max("x.score").over(Window.partitionBy("doc_id"))
-    return scored.select("doc_id", "idx", "x.category", F.round("x.score", 6).alias("score"), F.round(F.col("x.score") / best, 6).alias("relative"))
+    scores = C.category_scores(F.col("text"), F.col("title"), DOMAINS)
+    scored = docs(spark, sf).select("doc_id", scores.alias("s")).select("doc_id", F.get("s", F.lit(0))["score"].alias("best"), F.posexplode("s").alias("idx", "x"))
+    return scored.select("doc_id", "idx", "x.category", F.round("x.score", 6).alias("score"), F.round(F.col("x.score") / F.col("best"), 6).alias("relative"))
 
 
 def content_purpose(spark, sf):
@@ -51,12 +54,9 @@ def keyword_density(spark, sf):
 
 
 def tag_fusion(spark, sf):
-    d = docs(spark, sf)
-    tags = F.transform(F.slice(C.category_scores(F.col("text"), F.col("title"), DOMAINS), 1, 3), lambda s: F.struct(s["category"].alias("tag"), F.lit(1.0).alias("score")))
-    phrases = C.keyphrases(d, "doc_id", F.col("text"), F.col("title")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "phrase", "score"))).alias("p"))
-    own = F.transform(F.coalesce("p", F.array().cast("array<struct<rank:int,phrase:string,score:double>>")), lambda s: F.struct(s["phrase"].alias("tag"), s["score"].alias("score")))
-    fused = d.select("doc_id", tags.alias("t")).join(phrases, "doc_id", "left").select("doc_id", F.posexplode(C.fuse_tags(F.concat("t", own))).alias("idx", "x"))
-    return fused.select("doc_id", "idx", "x.tag", F.round("x.score", 6).alias("score"))
+    lists = C.phrase_lists(docs(spark, sf), {"p": (F.col("text"), F.col("title"), 10)}, ["doc_id", "text", "title"])
+    first, more = C.tag_candidates(F.col("text"), F.col("title"), DOMAINS, SUBDOMAINS, TERMS, F.col("p"))
+    return lists.select("doc_id", F.posexplode(C.fuse_tags(first, more)).alias("idx", "x")).select("doc_id", "idx", "x.tag", F.round("x.score", 6).alias("score"))
 
 
 def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +111,7 @@ def text_neighbours(spark, sf):
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of a source as the messages of a conversation."""
     role = F.when(F.pmod(F.substring("chunk_id", -2, 2).cast("int"), F.lit(10)) == 0, "system").when(F.pmod(F.substring("chunk_id", -1, 1).cast("int"), F.lit(2)) == 0, "user").otherwise("assistant")
-    return table(spark, sf, "document_chunk").where("source IS NOT NULL").select(F.col("source").alias("conv_id"), F.col("chunk_id").alias("turn"), role.alias("role"), F.col("content").alias("text"), "created_at")
+    return table(spark, sf, "document_chunk").select(F.col("source").alias("conv_id"), F.col("chunk_id").alias("turn"), role.alias("role"), F.col("content").alias("text"), "created_at")
 
 
 def history_trim(spark, sf):
@@ -151,10 +151,9 @@ def citation_lists(spark, sf):
 
 
 def numbered_contexts(spark, sf):
-    c = P.numbered_context(_hits(spark, sf), "query_id", "rank", F.col("text"), 200)
+    c = P.numbered_context(_hits(spark, sf), "query_id", "rank", F.col("text"))
     kind = P.pick_template({"GK-000001": "Short.\n{context}\n\n{question}"}, F.col("query_id"), default="{context}\n\nQuestion: {question}")
-    filled = F.replace(F.replace(kind, F.lit("{context}"), F.col("context")), F.lit("{question}"), F.col("query_id"))
-    return c.select("query_id", filled.alias("prompt"))
+    return c.select("query_id", P.fill(kind, context=F.col("context"), question=F.col("query_id")).alias("prompt"))
 
 
 QUERIES = {f.__name__: f for f in (keyphrases, keyphrases_hybrid, keyword_domains, content_purpose, prompt_type, keyword_density, tag_fusion, topk_cosine, topk_ip, topk_l2, hits_by_label, index_routing, incremental_rows, unseen_texts, text_neighbours, history_trim, conversation_headers, newest_conversations, message_json, context_prompts, citation_lists, numbered_contexts)}
@@ -184,7 +183,7 @@ def _topk(metric: str) -> str:
 
 
 _ROLE = "CASE WHEN right(chunk_id, 2)::INT % 10 = 0 THEN 'system' WHEN right(chunk_id, 1)::INT % 2 = 0 THEN 'user' ELSE 'assistant' END"
-_MSG = f"m AS (SELECT source AS conv_id, chunk_id AS turn, {_ROLE} AS role, content AS text, created_at FROM document_chunk WHERE source IS NOT NULL)"
+_MSG = f"m AS (SELECT source AS conv_id, chunk_id AS turn, {_ROLE} AS role, content AS text, created_at FROM document_chunk)"
 _HITS = "h AS (SELECT guide_key AS query_id, row_number() OVER (PARTITION BY guide_key ORDER BY loaded_at DESC, doc_id) AS rank, doc_id, title, text, source FROM documents WHERE guide_key IS NOT NULL QUALIFY rank <= 3)"
 
 
@@ -229,10 +228,10 @@ SQL = {
     "index_routing": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'archive' WHEN lower(source) IN ('faq', 'marketing', 'product_doc') THEN lower(source) ELSE 'default' END AS index FROM documents",
     "incremental_rows": f"WITH k AS (SELECT {_KEY} AS key, loaded_at FROM pipeline_row) SELECT DISTINCT key FROM k WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM k WHERE loaded_at < '2024-01-01' AND key IS NOT NULL)",
     "unseen_texts": "WITH k AS (SELECT sha256(content) AS sha, created_at FROM document_chunk) SELECT DISTINCT sha FROM k WHERE created_at >= '2024-01-01' AND sha IS NOT NULL AND sha NOT IN (SELECT sha FROM k WHERE created_at < '2024-01-01' AND sha IS NOT NULL)",
-    "history_trim": f"""WITH {_MSG}, t AS (SELECT *, {_TOK} AS tokens, role = 'system' AS sys FROM m),
+    "history_trim": f"""WITH {_MSG}, t AS (SELECT *, {_TOK} AS tokens, role = 'system' AS sys FROM m WHERE conv_id IS NOT NULL),
         w AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) AS total, sum(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS stok, sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS cum, max(CASE WHEN sys THEN turn END) OVER (PARTITION BY conv_id) AS lastsys FROM t)
         SELECT conv_id, turn, role, tokens FROM w WHERE total <= 300 OR (300 - stok > 0 AND (sys OR cum <= 300 - stok)) OR (300 - stok <= 0 AND turn = lastsys)""",
-    "conversation_headers": f"""WITH {_MSG} SELECT conv_id, count(*) AS message_count, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER (WHERE role = 'user') AS user_count, CASE WHEN count(*) > 1 THEN conv_id ELSE 'Empty conversation' END AS summary FROM m GROUP BY conv_id""",
+    "conversation_headers": f"""WITH {_MSG} SELECT conv_id, count(*) AS message_count, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER (WHERE role = 'user') AS user_count, coalesce(CASE WHEN count(*) > 1 THEN conv_id END, 'Empty conversation') AS summary FROM m GROUP BY conv_id""",
     "newest_conversations": f"WITH {_MSG} SELECT conv_id, max(created_at) AS updated_at FROM m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 5",
     "message_json": f"WITH {_MSG} SELECT turn, role, text AS content, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM m WHERE role IN ('system', 'user')",
     "context_prompts": f"""WITH {_HITS}, e AS (SELECT query_id, rank, title, '[Source](' || coalesce(source, '#') || ')' || chr(10) || CASE WHEN regexp_matches(text, '{P.HTML}') THEN regexp_replace(text, '<[^>]+>', '', 'g') ELSE text END AS x FROM h WHERE text <> '')
@@ -240,6 +239,6 @@ SQL = {
     "citation_lists": f"""WITH {_HITS}, n AS (SELECT query_id, rank, coalesce(CASE WHEN doc_id % 3 = 0 THEN nullif(title, '') END, nullif(lower(source), '')) AS name FROM h), f AS (SELECT query_id, name, min(rank) AS rank FROM n WHERE name IS NOT NULL GROUP BY 1, 2),
         g AS (SELECT query_id, string_agg('- ' || name, chr(10) ORDER BY rank) AS s FROM f GROUP BY 1)
         SELECT DISTINCT h.query_id, coalesce(chr(10) || '**Cited guides:**' || chr(10) || s, '') AS citations FROM h LEFT JOIN g USING (query_id)""",
-    "numbered_contexts": f"""WITH {_HITS}, g AS (SELECT query_id, string_agg('[' || rank || '] ' || left(text, 200), chr(10) || chr(10) ORDER BY rank) AS c FROM h GROUP BY 1)
+    "numbered_contexts": f"""WITH {_HITS}, g AS (SELECT query_id, string_agg('[' || rank || '] ' || left(text, 2048), chr(10) || chr(10) ORDER BY rank) AS c FROM h GROUP BY 1)
         SELECT query_id, CASE WHEN query_id = 'GK-000001' THEN 'Short.' || chr(10) || c || chr(10) || chr(10) || query_id ELSE c || chr(10) || chr(10) || 'Question: ' || query_id END AS prompt FROM g""",
 }

@@ -133,8 +133,8 @@ def _chain(c: str, tags: tuple[str, ...] = ("script", "style", "template")) -> s
 
 
 def _decoded(c: str) -> str:
-    for name, char in H.ENTITIES:
-        c = "replace({}, '{}', '{}')".format(c, name, char.replace("'", "''"))
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{char}')"
     return c
 
 

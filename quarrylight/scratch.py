@@ -8,12 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one of this machine only where that is unset (tests)."""
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a session on one machine (tests) gets a temporary folder of its own; on a cluster it is an error, as
+    a folder of one machine would not be seen by the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+        named = _own[context.applicationId]
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import re
 import sqlite3
+import zipfile
 from pathlib import Path
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quarrylight.functions import html as H
+from quarrylight.scratch import write_out
+
 DOCUMENT_COLUMNS = ("link", "content")
 
 
@@ -44,10 +51,38 @@ def document_rows(df: DataFrame, key: str = "id", text: str = "content", link: s
     return df.select(F.coalesce(F.col(key).cast("string"), F.col(link)).alias("id"), F.col(text).alias("text"), F.map_from_entries(pairs).alias("metadata"), assets.alias("assets"))
 
 
+def with_source(df: DataFrame) -> DataFrame:
+    """A frame read from files with the ``source_path`` that each row comes from."""
+    return df.select("*", F.col("_metadata.file_path").alias("source_path"))
+
+
 def read_html(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """HTML files as rows: path, file_name, content; what is no text is decoded with marks for what cannot be read."""
+    """HTML files as documents (see ``html_documents``); a file that is no UTF-8 text becomes a row with its error."""
     files = spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", str(recursive).lower()).format("binaryFile").load(folder)
-    return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), F.decode("content", "UTF-8").alias("content"))
+    text = F.col("content").cast("string")
+    return html_documents(files.select("path", F.when(F.is_valid_utf8(text), text).alias("content")))
+
+
+def html_documents(pages: DataFrame) -> DataFrame:
+    """Pages (path, content) as path, text, metadata, assets, error.
+
+    Metadata holds the named meta tags, over them the title, over them file_name, source and format. A null content, which
+    could not be read, gives a notice as text, the file's name alone as metadata, and an error.
+    """
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    bad = F.col("content").isNull()
+    title = H.title(F.col("content"))
+    known = F.create_map(F.lit("file_name"), name, F.lit("source"), F.col("path"), F.lit("format"), F.lit("html"))
+    titled = F.when(title.isNotNull(), F.create_map(F.lit("title"), title)).otherwise(F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>")))
+    own = F.map_filter(H.meta(F.col("content")), lambda k, _: ~k.isin("file_name", "source", "format") & ~((k == "title") & title.isNotNull()))
+    notice = F.concat(F.lit("Error processing file: "), name)
+    return pages.select(
+        "path",
+        F.when(bad, notice).otherwise(H.html_text(F.col("content"))).alias("text"),
+        F.when(bad, F.create_map(F.lit("file_name"), name)).otherwise(F.map_concat(own, titled, known)).alias("metadata"),
+        F.coalesce(H.images(F.col("content")), F.array().cast("array<string>")).alias("assets"),
+        F.when(bad, "content is no readable text").alias("error"),
+    )
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -142,20 +177,99 @@ def read_sql(spark: SparkSession, url: str, tables: list[str], include: list[str
     return {t: spark.read.format("jdbc").options(url=url, dbtable=t, **options).load() for t in chosen(tables, include, exclude)}
 
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _column_number(ref: str) -> int:
+    """0 for A1, 26 for AA7."""
+    n = 0
+    for c in ref:
+        if not c.isalpha():
+            break
+        n = n * 26 + ord(c.upper()) - 64
+    return n - 1
+
+
+def _sheet_rows(content: bytes):
+    """Rows of all sheets of a workbook, parsed as they are read: sheet, its place, row number, cells as text."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            for _, item in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
+                if item.tag == _MAIN + "si":
+                    shared.append("".join(t.text or "" for t in item.iter(_MAIN + "t")))
+                    item.clear()
+        files = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        for place, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(_MAIN + "sheet")):
+            target = files[sheet.get(_REL)]
+            for _, row in ElementTree.iterparse(book.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}")):
+                if row.tag != _MAIN + "row":
+                    continue
+                cells: list[str | None] = []
+                for cell in row.iter(_MAIN + "c"):
+                    at = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
+                    value = cell.find(_MAIN + "v")
+                    text = None if value is None else value.text
+                    if cell.get("t") == "s" and text is not None:
+                        text = shared[int(text)]
+                    elif cell.get("t") == "inlineStr":
+                        text = "".join(t.text or "" for t in cell.iter(_MAIN + "t"))
+                    elif cell.get("t") == "b" and text is not None:
+                        text = "True" if text == "1" else "False"
+                    cells += [None] * (at + 1 - len(cells))
+                    cells[at] = text
+                yield sheet.get("name"), place, int(row.get("r", 0)), cells
+                row.clear()
+
+
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of all sheets of the .xlsx workbooks at a path or pattern: path, sheet, place, row_no, cells; read by the tasks, a workbook (bounded by its format) in each.
+
+    A file that is no workbook gives no rows.
+    """
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows: list[tuple] = []
+                try:
+                    for row in _sheet_rows(content):
+                        rows.append((name, *row))
+                        if len(rows) == 5000:
+                            yield _batch(rows)
+                            rows = []
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    pass
+                if rows:
+                    yield _batch(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.repartition("path").mapInArrow(run, "path string, sheet string, place int, row_no bigint, cells array<string>")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "sheet", "place", "row_no", "cells"])
+
+
 def read_excel(spark: SparkSession, path: str, include: list[str] | None = None, exclude: list[str] | None = None, header: dict[str, int] | int = 0) -> dict[str, DataFrame]:
-    """The sheets of a workbook by name, as strings; needs openpyxl. A workbook is one bounded file; empty sheets are left out."""
-    try:
-        from openpyxl import load_workbook
-    except ImportError as e:
-        raise ImportError("reading workbooks needs openpyxl") from e
-    book = load_workbook(path, read_only=True, data_only=True)
+    """The sheets of a workbook by name, as strings; empty sheets are left out.
+
+    Only the header rows, one a sheet, come to the driver; ``header`` is the row, counted from 0, that holds a sheet's names.
+    """
+    rows = write_out(workbook_rows(spark, path))
+    names = [r["sheet"] for r in rows.groupBy("sheet").agg(F.min("place").alias("p")).orderBy("p").collect()]
     out = {}
-    for name in chosen(book.sheetnames, include, exclude):
-        rows = [[None if v is None else str(v) for v in r] for r in book[name].iter_rows(values_only=True)]
+    for name in chosen(names, include, exclude):
         at = header.get(name, 0) if isinstance(header, dict) else header
-        if len(rows) > at + 1:
-            names = [str(c or f"column_{i}") for i, c in enumerate(rows[at])]
-            out[name] = spark.createDataFrame(rows[at + 1 :], ", ".join(f"`{n}` string" for n in names))
+        own = rows.where(F.col("sheet") == name)
+        head = own.where(F.col("row_no") == at + 1).select("cells").first()
+        body = own.where(F.col("row_no") > at + 1)
+        if head is None or not body.limit(1).count():
+            continue
+        titles = [str(c or f"column_{i}") for i, c in enumerate(head["cells"])]
+        out[name] = body.orderBy("row_no").select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(titles)])
     return out
 
 

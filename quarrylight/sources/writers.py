@@ -15,31 +15,36 @@ def limited(df: DataFrame, limit: int | None, key: str) -> DataFrame:
 
 
 def write_pages(df: DataFrame, folder: str, name: str = "file_name", html: str = "html") -> None:
-    """One file per row, written by the tasks into a shared folder; a file of the same name is replaced, so a task may run again."""
+    """One file per row, written by the tasks below an address that pyarrow can open (file, hdfs, s3 and others).
+
+    A file of the same name is replaced, so a task may run again.
+    """
 
     def run(rows):
-        from pathlib import Path
+        from pyarrow import fs
 
-        to = Path(folder.removeprefix("file://"))
-        to.mkdir(parents=True, exist_ok=True)
+        store, to = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(to, recursive=True)
         for r in rows:
-            (to / r[name].replace("/", "_")).write_text(r[html] or "", encoding="utf-8")
+            with store.open_output_stream(f"{to}/{r[name].replace('/', '_')}") as f:
+                f.write((r[html] or "").encode())
 
     df.select(name, html).foreachPartition(run)
 
 
 def copy_assets(df: DataFrame, source: str = "source", target: str = "target") -> None:
-    """Copy files that are not there yet, each pair once."""
+    """Copy files that are not there yet, each pair once; both are addresses that pyarrow can open, or paths."""
 
     def run(rows):
-        import shutil
-        from pathlib import Path
+        from pyarrow import fs
 
         for r in rows:
-            to = Path(r[target])
-            if not to.exists() and Path(r[source]).exists():
-                to.parent.mkdir(parents=True, exist_ok=True)
-                shutil.copyfile(r[source], to)
+            (a, path), (b, to) = (fs.FileSystem.from_uri(x if "://" in x else f"file://{x}") for x in (r[source], r[target]))
+            if b.get_file_info(to).type == fs.FileType.NotFound and a.get_file_info(path).type == fs.FileType.File:
+                b.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                with a.open_input_stream(path) as src, b.open_output_stream(to) as out:
+                    while part := src.read(1 << 20):
+                        out.write(part)
 
     df.select(source, target).dropDuplicates().foreachPartition(run)
 

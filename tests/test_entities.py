@@ -1,4 +1,6 @@
+import json
 import sqlite3
+import zipfile
 from datetime import datetime as D
 
 import pytest
@@ -60,14 +62,75 @@ def test_sources(spark, tmp_path):
     assert readers.read_json_documents(spark, str(tmp_path / "d.json")).count() == 1
     (tmp_path / "h").mkdir()
     (tmp_path / "h/p.html").write_text("<p>é</p>")
-    assert readers.read_html(spark, str(tmp_path / "h")).first()["content"] == "<p>é</p>"
-    assert readers.list_files(spark, str(tmp_path / "h")).first()["name"] == "p.html"
+    (tmp_path / "h/q.html").write_text('<title>T &rarr;</title><meta name="author" content="A &amp; B &#8211; C"><meta name="title" content="other"><p>1 &lt; 2 &euro; &#x3c;b&#62;</p>')
+    (tmp_path / "h/r.html").write_bytes(b"<p>\xff\xfe</p>")
+    p, q, r = readers.read_html(spark, str(tmp_path / "h")).orderBy("path").collect()
+    assert p["text"] == "é" and p["error"] is None and p["metadata"]["file_name"] == "p.html" and p["metadata"]["format"] == "html"
+    assert q["text"] == "T → 1 < 2 € <b>" and q["metadata"]["author"] == "A & B – C" and q["metadata"]["title"] == "T &rarr;"
+    assert r["error"] and r["text"] == "Error processing file: r.html" and r["metadata"] == {"file_name": "r.html"}
+    assert {x["name"] for x in readers.list_files(spark, str(tmp_path / "h")).collect()} == {"p.html", "q.html", "r.html"}
     with pytest.raises(ValueError):
         spark.range(1).write.parquet(str(tmp_path / "q"))
         readers.read_columns(spark, str(tmp_path / "q"), required=("link",))
     assert [readers.kind_of(s) for s in ("a.xlsx", "b.csv", "c.db", "jdbc:x")] == ["excel", "csv", "sqlite", "sql"]
 
 
+def workbook(path, sheets):
+    """A small workbook: sheets of rows of text, numbers and nothing."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shared, files = [], {}
+    for k, rows in enumerate(sheets.values(), 1):
+        out = []
+        for n, row in enumerate(rows, 1):
+            cells = []
+            for c, v in enumerate(row):
+                ref = f"{chr(65 + c)}{n}"
+                if isinstance(v, str):
+                    cells.append(f'<c r="{ref}" t="s"><v>{len(shared)}</v></c>')
+                    shared.append(v)
+                elif v is not None:
+                    cells.append(f'<c r="{ref}"><v>{v}</v></c>')
+            out.append(f'<row r="{n}">{"".join(cells)}</row>')
+        files[f"xl/worksheets/sheet{k}.xml"] = f'<worksheet xmlns="{main}"><sheetData>{"".join(out)}</sheetData></worksheet>'
+    files["xl/workbook.xml"] = f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>"
+    files["xl/_rels/workbook.xml.rels"] = "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>"
+    files["xl/sharedStrings.xml"] = f'<sst xmlns="{main}">' + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+
+
+def test_workbooks(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", {"guide": [["Id", "Name"], [1, "x"], [2, None], [None, "z"]], "note": [["top"], ["Id", None, "T"], [7, "b", "c"]], "empty": [["Id"]]})
+    got = readers.read_excel(spark, str(tmp_path / "a.xlsx"), header={"note": 1})
+    assert list(got) == ["guide", "note"]
+    assert [tuple(r) for r in got["guide"].collect()] == [("1", "x"), ("2", None), (None, "z")]
+    assert [r.asDict() for r in got["note"].collect()] == [{"Id": "7", "column_1": "b", "T": "c"}]
+    assert list(readers.read_excel(spark, str(tmp_path / "a.xlsx"), exclude=["guide"])) == ["note"]
+    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
+    assert {r["path"].rsplit("/")[-1] for r in readers.workbook_rows(spark, str(tmp_path / "*.xlsx")).collect()} == {"a.xlsx"}
+
+
+def test_all_files_below_a_folder(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id long, x string").write.parquet(str(tmp_path / "p/one"))
+    spark.createDataFrame([(2, True)], "id long, y boolean").write.parquet(str(tmp_path / "p/deep/two"))
+    got = readers.with_source(readers.read_all(spark, str(tmp_path / "p")))
+    assert {(r["id"], r["x"], r["y"]) for r in got.collect()} == {(1, "a", None), (2, None, True)}
+    assert all("/one/" in r["source_path"] or "/two/" in r["source_path"] for r in got.collect())
+
+
+def test_assembled_entities(spark):
+    parents = spark.createDataFrame([(1, "a", "f.png"), (2, None, None), (None, "n", None)], "id long, name string, file string")
+    kids = spark.createDataFrame([(10, 1, "x"), (11, 1, "y"), (11, 2, "y"), (12, None, "z"), (13, 9, "w")], "kid long, up long, v string")
+    made = R.assemble("guide", "book", parents, "id", F.col("name"), {"step": (kids, R.Relationship("guide", "step", "id", "up"), "kid"), "none": (kids.limit(0), R.Relationship("guide", "none", "id", "up"), "kid")}, ("name",), R.assets(["file"]))
+    got = {json.loads(r["structured"])["entity"].get("id"): r for r in made.collect()}
+    one, two, none = (json.loads(got[k]["structured"])["relationships"] for k in (1, 2, None))
+    assert [(x["id"], x["data"]["v"]) for x in one["step"]["data"]] == [(10, "x"), (11, "y")] and one["step"]["type"] == "one_to_many" and one["none"]["data"] == []
+    assert two["step"]["data"] == [] and none == {}
+    assert got[1]["metadata"] == {"source": "book", "source_type": "relational_data", "entity_name": "guide", "entity_id": "1", "name": "a"} and "name" not in got[2]["metadata"]
+    assert got[1]["assets"] == ["f.png"] and got[2]["assets"] == [] and got[1]["id"] == "relational_book_guide_1"
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "x.db")
     with sqlite3.connect(path) as db:
