@@ -18,8 +18,8 @@ def heavy_keys(df: DataFrame, key: str, weight: str | None = None, most: int = H
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("n")).where(F.col("n") >= least)
-    rows = [(r[0],) for r in counts.orderBy(F.desc("n"), key).limit(most).collect()]
-    return df.sparkSession.createDataFrame(rows, df.select(key).schema) if rows else None
+    found = counts.orderBy(F.desc("n"), key).limit(most).select(key).toArrow()
+    return df.sparkSession.createDataFrame(found, df.select(key).schema) if found.num_rows else None
 
 
 def split_join(
