@@ -56,6 +56,19 @@ def typed_chunks(df: DataFrame, column: str = "text", size: int = SIZE, overlap:
     return word_chunks(df.withColumn("chunk_type", T.content_type(F.col(column))), column, size, overlap)
 
 
+def html_sections(df: DataFrame, column: str = "content", out: str = "chunk") -> DataFrame:
+    """HTML cut before headings of rank 1 to 3 and around figures: chunk_index, chunk_type (figure, section or lead), heading, and the part as it stands.
+
+    Parts of white space alone are left out.
+    """
+    marked = F.regexp_replace(F.regexp_replace(F.col(column), r"(?i)(<h[1-3]\b)", "\u0001$1"), r"(?is)(<figure\b.*?</figure\s*>)", "\u0001$1\u0001")
+    parts = F.filter(F.split(marked, "\u0001"), lambda p: T.strip(p) != "")
+    rows = df.select(*_others(df, "chunk_index", "chunk_type", "heading", out), F.posexplode(parts).alias("chunk_index", out))
+    kind = F.when(F.col(out).rlike(r"(?i)^<figure\b"), "figure").when(F.col(out).rlike(r"(?i)^<h[1-3]\b"), "section").otherwise("lead")
+    heading = F.when(kind == "section", F.nullif(F.regexp_extract(out, r"(?is)^<h[1-3]\b[^>]*>([^<]*)", 1), F.lit("")))
+    return rows.select(*_others(df, "chunk_index", "chunk_type", "heading", out), "chunk_index", kind.alias("chunk_type"), heading.alias("heading"), out)
+
+
 STRATEGIES = {"none": word_chunks, "header": header_chunks}
 
 

@@ -92,3 +92,71 @@ def as_text(title: Column, kind: Column, purpose: Column, source: Column, author
     date = F.coalesce(F.concat(F.lit("Created: "), created.cast("string")), F.concat(F.lit("Updated: "), updated.cast("string")))
     lines = [F.concat(F.lit("Title: "), title), label(kind, TYPE_LABELS), label(purpose, PURPOSE_LABELS), F.concat(F.lit("Source: "), source), F.concat(F.lit("Author: "), F.nullif(F.array_join(authors, ", "), F.lit(""))), date]
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
+
+
+@dataclass(frozen=True)
+class MapField:
+    """A field under another name too."""
+
+    source: str
+    target: str
+
+
+@dataclass(frozen=True)
+class CombineFields:
+    """Fields that have a value, joined."""
+
+    sources: tuple[str, ...]
+    target: str
+    separator: str = " "
+
+
+@dataclass(frozen=True)
+class ExtractJson:
+    """What a field of JSON text holds at a path of names and dots."""
+
+    source: str
+    target: str
+    path: str
+
+
+def _without(values: Column, name: str) -> Column:
+    return F.map_filter(values, lambda k, _: k != name)
+
+
+def apply_rules(values: Column, rules: list[MapField | CombineFields | ExtractJson]) -> Column:
+    """A map of strings after the rules, one after the other; a rule without a result changes nothing, a null map stays null."""
+
+    def held(name: str) -> Column:
+        return F.nullif(F.try_element_at(values, F.lit(name)), F.lit(""))
+
+    for r in rules:
+        if isinstance(r, MapField):
+            found = F.try_element_at(values, F.lit(r.source))
+        elif isinstance(r, CombineFields):
+            found = F.nullif(F.concat_ws(r.separator, *[held(s) for s in r.sources]), F.lit(""))
+        else:
+            found = F.try_variant_get(F.try_parse_json(held(r.source)), f"$.{r.path}", "string")
+        values = F.when(found.isNotNull(), F.map_concat(_without(values, r.target), F.create_map(F.lit(r.target), found))).otherwise(values)
+    return values
+
+
+def extract_schemas(schemas: list[dict[str, list[Column]]]) -> dict[str, Column]:
+    """One column per field of schemas in their order (core, content, then special ones): the first rule of the first schema that gives something."""
+    rules: dict[str, list[Column]] = {}
+    for schema in schemas:
+        for name, own in schema.items():
+            rules.setdefault(name, []).extend(own)
+    return {name: F.coalesce(*own) for name, own in rules.items()}
+
+
+def table_text(df: DataFrame, sheet: str | None = None, most_rows: int = 100, most_columns: int = 20) -> str:
+    """A table as text for people: its columns and number of rows, then the first rows; a notice for an empty one."""
+    n = df.count()
+    if not n:
+        return f"Sheet '{sheet or 'Unknown'}' is empty."
+    head = [f"Sheet: {sheet}"] if sheet else []
+    head += [f"Columns: {', '.join(df.columns)}", f"Rows: {n}"]
+    shown = df.limit(most_rows).toPandas().to_string(index=False, max_rows=most_rows, max_cols=most_columns)
+    note = f"\n\n[Note: Showing first {most_rows} rows out of {n} total rows]" if n > most_rows else ""
+    return "\n".join(head) + "\n\n" + shown + note

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.functions import text as T
+from quarrylight.operators import chunking
 from quarrylight.operators import classify as C
 from quarrylight.operators import conversation as V
+from quarrylight.operators import metadata as M
 from quarrylight.operators import orphans as O
 from quarrylight.operators import prompts as P
 from quarrylight.operators import relational as R
@@ -14,7 +17,8 @@ from quarrylight.operators import vectors as X
 from quarrylight.operators.skew import valid_version
 from quarrylight.plans.relations import table
 from quarrylight.plans.retrieval import DOMAINS, PURPOSES, SUBDOMAINS, TERMS
-from quarrylight.sources import readers
+from quarrylight.scratch import scratch_dir
+from quarrylight.sources import readers, writers
 
 CATEGORIES = {"events": [("auction", 1.0), ("round", 0.5)], "documents": [("contract", 1.0), ("guide", 0.4)]}
 DICTIONARIES = C.Dictionaries(DOMAINS, SUBDOMAINS, PURPOSES, CATEGORIES, TERMS)
@@ -123,7 +127,74 @@ def page_metadata(spark, sf):
     return rows.select("path", F.length("text").alias("n_chars"), meta.alias("metadata"), "error")
 
 
-QUERIES = {f.__name__: f for f in (retrieved_documents, rag_answers, question_domains, question_classes, semantic_domains, title_tags, enriched_documents, enriched_tags, appended_messages, row_json, assembled_sections, source_paths, page_metadata)}
+def html_sections(spark, sf):
+    rows = chunking.html_sections(table(spark, sf, "page_export").select(F.col("id").alias("page_id"), "content"), "content")
+    return rows.select("page_id", "chunk_index", "chunk_type", "heading", "chunk")
+
+
+def metadata_rules(spark, sf):
+    rows = table(spark, sf, "pipeline_row").select("row_id", F.create_map(F.lit("dataset"), "dataset", F.lit("metadata"), "metadata", F.lit("id"), "row_id").alias("m"))
+    rules = [M.MapField("dataset", "name"), M.ExtractJson("metadata", "title", "title"), M.CombineFields(("name", "title"), "label", " / ")]
+    made = M.apply_rules(F.map_filter("m", lambda _, v: v.isNotNull()), rules)
+    both = M.normalized(F.array("row_id", F.col("m")["dataset"]))
+    return rows.select("row_id", *[F.try_element_at(made, F.lit(k)).alias(k) for k in ("name", "title", "label")], both.alias("both"))
+
+
+def metadata_schemas(spark, sf):
+    d = table(spark, sf, "documents")
+    core = {"title": [F.nullif("title", F.lit(""))], "language": [F.when(F.col("lang").rlike(M.LANGUAGE), F.col("lang"))]}
+    content = {"title": [T.first_heading(F.col("text")), T.field_line(F.col("text"), "title")], "author": [T.field_line(F.col("text"), "author")]}
+    special = {"language": [F.lit("en")], "author": [F.col("customer_id")]}
+    return d.select("doc_id", *[c.alias(k) for k, c in M.extract_schemas([core, content, special]).items()])
+
+
+def csv_documents(spark, sf):
+    """Documents through a CSV file and back."""
+    out = scratch_dir(spark)
+    table(spark, sf, "documents").select("doc_id", "title", "text").write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(out)
+    return readers.read_csv(spark, out, "doc_id bigint, title string, text string", multiLine="true", escape='"')
+
+
+def jsonl_pages(spark, sf):
+    """Pages through lines of JSON and back; broken lines and empty contents are left out."""
+    out = scratch_dir(spark)
+    pages = table(spark, sf, "page_export").select(F.to_json(F.struct("link", "content")).alias("value"))
+    pages.unionByName(pages.select(F.concat(F.lit("{"), F.left("value", F.lit(9))).alias("value"))).write.text(out)
+    return readers.read_jsonl(spark, out)
+
+
+def logged_events(spark, sf):
+    """Events as a log by kind and day, read back."""
+    out = scratch_dir(spark)
+    writers.write_log(table(spark, sf, "events").select("event_id", "ts", "event_type", "value"), out)
+    log = spark.read.schema("event_id bigint, value double, event_type string, day string").json(out)
+    return log.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+def stored_index(spark, sf):
+    """Chunks of documents with their embedding added to an index in two batches, the second without what is there."""
+    out = scratch_dir(spark)
+    e = table(spark, sf, "embeddings")
+    writers.append_index(e.where("vec_id % 3 = 0"), out)
+    writers.append_index(X.unseen(e, spark.read.schema(e.schema).parquet(out), "vec_id"), out)
+    return spark.read.schema(e.schema).parquet(out).select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
+def discovered_rows(spark, sf):
+    """Documents in files of several folders, found and put below each other."""
+    out = scratch_dir(spark)
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    d.where("doc_id % 2 = 0").write.parquet(f"{out}/a")
+    d.where("doc_id % 2 = 1").drop("source").write.parquet(f"{out}/deep/b")
+    return readers.read_all(spark, out).select("doc_id", "source")
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        retrieved_documents, rag_answers, question_domains, question_classes, semantic_domains, title_tags, enriched_documents, enriched_tags, appended_messages, row_json, assembled_sections,
+        source_paths, page_metadata, html_sections, metadata_rules, metadata_schemas, csv_documents, jsonl_pages, logged_events, stored_index, discovered_rows,
+    )
+}
 
 _KEYWORDS = {
     "d": [("sourcing", "auction", 1.5), ("sourcing", "supplier", 1.0), ("sourcing", "bid", 1.0), ("contracts", "contract", 1.0), ("contracts", "clause", 0.8), ("contracts", "licence", 1.0), ("logistics", "warehouse", 1.2), ("logistics", "freight", 1.0), ("logistics", "pallet", 0.5), ("sourcing_events", "scenario", 0.7), ("sourcing_events", "round", 0.3)],
@@ -197,4 +268,15 @@ SQL = {
         coalesce(CASE WHEN json_valid(content) THEN json_extract_string(content, '$.image.name') END, '') AS assets, 'one_to_many' AS section_type, 'many_to_one' AS doc_type, coalesce(sections, '') AS sections, coalesce(docs, '') AS docs
         FROM s LEFT JOIN k ON k.id = s.id LEFT JOIN n ON n.id = s.id""",
     "source_paths": "SELECT doc_id, 'documents.parquet' AS source_file FROM documents",
+    "html_sections": r"""WITH p AS (SELECT id AS page_id, list_filter(string_split(regexp_replace(regexp_replace(content, '(?i)(<h[1-3]\b)', chr(1) || '\1', 'g'), '(?is)(<figure\b.*?</figure\s*>)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \t\n\r\f\x0B') <> '') AS c FROM page_export)
+        SELECT page_id, i - 1 AS chunk_index, CASE WHEN regexp_matches(c[i], '(?i)^<figure\b') THEN 'figure' WHEN regexp_matches(c[i], '(?i)^<h[1-3]\b') THEN 'section' ELSE 'lead' END AS chunk_type, nullif(regexp_extract(c[i], '(?is)^<h[1-3]\b[^>]*>([^<]*)', 1), '') AS heading, c[i] AS chunk FROM p, unnest(range(1, len(c) + 1)) AS u(i)""",
+    "metadata_rules": """WITH r AS (SELECT *, CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.title') END AS title FROM pipeline_row)
+        SELECT row_id, dataset AS name, title, nullif(concat_ws(' / ', nullif(dataset, ''), nullif(title, '')), '') AS label, to_json([row_id, dataset]) AS both FROM r""",
+    "metadata_schemas": r"""SELECT doc_id, coalesce(nullif(title, ''), nullif(regexp_extract(text, '(?m)^#\s+(.+)$', 1), ''), nullif(regexp_extract(text, '(?:Title|TITLE):\s*(.+)(?:\n|$)', 1), '')) AS title,
+        coalesce(CASE WHEN regexp_matches(lang, '^[a-z]{2}(-[A-Z]{2})?$') THEN lang END, 'en') AS language, coalesce(nullif(regexp_extract(text, '(?:Author|AUTHOR):\s*(.+)(?:\n|$)', 1), ''), customer_id) AS author FROM documents""",
+    "csv_documents": "SELECT doc_id, title, text FROM documents",
+    "jsonl_pages": "SELECT link, content FROM page_export WHERE content IS NOT NULL AND trim(content) <> ''",
+    "logged_events": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2",
+    "stored_index": "SELECT vec_id, label, len(embedding)::INT AS dim FROM embeddings",
+    "discovered_rows": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents",
 }

@@ -123,7 +123,7 @@ def sqlite_tables(path: str) -> list[str]:
 
 
 class _Rows(InputPartition):
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -133,7 +133,10 @@ class _SqliteReader(DataSourceReader):
 
     def partitions(self):
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            try:
+                low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            except sqlite3.OperationalError:  # a table without row numbers is read in one piece
+                return [_Rows(None, None)]
         if low is None:
             return [_Rows(0, -1)]
         step = max(1, -(-(high - low + 1) // self.parts))
@@ -141,6 +144,9 @@ class _SqliteReader(DataSourceReader):
 
     def read(self, partition):
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+            if partition.low is None:
+                yield from db.execute(f'SELECT * FROM "{self.table}"')
+                return
             yield from db.execute(f'SELECT * FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high))
 
 
@@ -280,6 +286,16 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return f.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"), "length", F.col("modificationTime").alias("modified"))
 
 
+def find_file(files: DataFrame, part: str) -> DataFrame:
+    """Of ``list_files`` the first by path whose name contains ``part``; no row if there is none."""
+    return files.where(F.col("name").contains(part)).orderBy("path").limit(1)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Text files whole: path and text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def sample(df: DataFrame, n: int = 5) -> dict:
     """Columns, types and the first rows of a table, for people."""
     return {"columns": df.columns, "types": dict(df.dtypes), "rows": [r.asDict() for r in df.limit(n).collect()]}

@@ -131,6 +131,42 @@ def test_assembled_entities(spark):
     assert got[1]["assets"] == ["f.png"] and got[2]["assets"] == [] and got[1]["id"] == "relational_book_guide_1"
 
 
+def test_metadata_rules(spark):
+    from quarrylight.operators import metadata as M
+
+    rules = [M.MapField("a", "b"), M.CombineFields(("a", "none", "b"), "ab", "-"), M.ExtractJson("j", "x", "p.q"), M.MapField("none", "a")]
+    df = spark.createDataFrame([(1, {"a": "1", "b": "old", "j": '{"p": {"q": "deep"}}'}), (2, {"a": "", "j": "{broken"}), (3, None)], "id long, m map<string,string>")
+    got = {r["id"]: r["m"] for r in df.select("id", M.apply_rules(F.col("m"), rules).alias("m")).collect()}
+    assert got[1] == {"a": "1", "b": "1", "j": '{"p": {"q": "deep"}}', "ab": "1-1", "x": "deep"} and got[2] == {"a": "", "b": "", "j": "{broken"} and got[3] is None
+    both = M.extract_schemas([{"t": [F.lit(None).cast("string")]}, {"t": [F.lit("x")], "u": [F.lit("y")]}])
+    assert tuple(spark.range(1).select(*both.values()).first()) == ("x", "y") and list(both) == ["t", "u"]
+
+
+def test_tables_as_text(spark):
+    from quarrylight.operators import metadata as M
+
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "id long, v string")
+    text = M.table_text(df.orderBy("id"), "s", most_rows=2)
+    assert text.startswith("Sheet: s\nColumns: id, v\nRows: 5\n\n") and text.endswith("[Note: Showing first 2 rows out of 5 total rows]") and "v1" in text and "v2" not in text
+    assert M.table_text(df.limit(0)) == "Sheet 'Unknown' is empty."
+
+
+def test_files(spark, tmp_path):
+    for name in ("b-77.txt", "a-77.txt", "c.txt"):
+        (tmp_path / name).write_text(f"in {name}\nmore")
+    files = readers.list_files(spark, str(tmp_path))
+    assert [r["name"] for r in readers.find_file(files, "77").collect()] == ["a-77.txt"] and readers.find_file(files, "99").count() == 0
+    assert {r["text"] for r in readers.read_texts(spark, str(tmp_path)).collect()} == {f"in {n}\nmore" for n in ("a-77.txt", "b-77.txt", "c.txt")}
+
+
+def test_sqlite_without_row_numbers(spark, tmp_path):
+    path = str(tmp_path / "w.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a TEXT PRIMARY KEY, b REAL) WITHOUT ROWID")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(f"k{i}", i / 2) for i in range(9)])
+    assert readers.read_sqlite(spark, path)["t"].agg(F.sum("b")).first()[0] == 18.0
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "x.db")
     with sqlite3.connect(path) as db:

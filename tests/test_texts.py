@@ -62,3 +62,14 @@ def test_chunks(spark):
     assert chunks(K.token_windows(df, size=9, overlap=1)) == ["a b c d e"]
     with pytest.raises(ValueError):
         K.chunk(df, "other")
+
+
+def test_sections_of_html(spark):
+    df = spark.createDataFrame([("<p>x</p>\n<h2 class='a'>One</h2><p>y</p><figure><img></figure> z<H1>Two</H1>", "keep"), (None, "k"), ("  ", "k")], "content string, heading string")
+    got = [(r["chunk_type"], r["heading"], r["chunk"].strip()) for r in K.html_sections(df).orderBy("chunk_index").collect()]
+    assert got == [("lead", None, "<p>x</p>"), ("section", "One", "<h2 class='a'>One</h2><p>y</p>"), ("figure", None, "<figure><img></figure>"), ("lead", None, "z"), ("section", "Two", "<H1>Two</H1>")]
+
+
+def test_entities_of_any_name(spark):
+    assert one(spark, H.html_text, "<p>&euro; &#8364; &#x20AC; &lt;b&gt; &amp;lt; &nope; &eacute;t&eacute;</p>")[0] == "€ € € <b> &lt; &nope; été"
+    assert one(spark, H.html_strings, "<p>a &#60;i&#62;</p> <p>b</p>")[0] == "a <i> b"
