@@ -12,6 +12,10 @@ from pyspark.sql.types import StringType
 
 from quarrylight.functions.text import SPACE, strip
 
+# fixed values: patterns of elements
+TITLE, IMAGE = r"(?i)<title>([^<]+)</title>", r"(?i)<img\s+[^>]*src=[\"']([^\"']+)[\"']"
+HEADING, ANCHOR = r"(?i)<h([1-6])[^>]*>([^<]+)</h\1>", r"(?di)<a\s+[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
+META = r"(?i)<meta\s+name=\"([^\"]+)\"\s+content=\"([^\"]*)\""
 # fixed values: common entities, the ampersand last
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -65,28 +69,28 @@ def html_strings(c: Column, remove_tags: tuple[str, ...] = ("script", "style", "
 
 
 def title(c: Column, default: str | None = None) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(c, r"(?i)<title>([^<]+)</title>", 1), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.regexp_extract(c, TITLE, 1), F.lit("")), F.lit(default))
 
 
 def headings(c: Column) -> Column:
     """Headings without inner tags, in order: level and text."""
-    pattern = r"(?i)<h([1-6])[^>]*>([^<]+)</h\1>"
+    pattern = HEADING
     return F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), 1).cast("array<int>").alias("level"), F.regexp_extract_all(c, F.lit(pattern), 2).alias("text"))
 
 
 def links(c: Column) -> Column:
     """Anchors within a line, in order: href and inner HTML."""
-    pattern = r"(?di)<a\s+[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
+    pattern = ANCHOR
     return F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), 1).alias("href"), F.regexp_extract_all(c, F.lit(pattern), 2).alias("anchor"))
 
 
 def images(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?i)<img\s+[^>]*src=[\"']([^\"']+)[\"']"), 1)
+    return F.regexp_extract_all(c, F.lit(IMAGE), 1)
 
 
 def meta(c: Column) -> Column:
     """Named meta tags as a map; of a name given twice the first counts."""
-    pattern = r"(?i)<meta\s+name=\"([^\"]+)\"\s+content=\"([^\"]*)\""
+    pattern = META
     names, values = (F.regexp_extract_all(c, F.lit(pattern), k) for k in (1, 2))
     values = F.split(common_entities(F.array_join(values, "\x1f")), "\x1f")
     pairs = F.arrays_zip(names.alias("k"), F.transform(values, decode).alias("v"))

@@ -15,7 +15,18 @@ MD_LIST = r"(?m)^\s*[-*+]\s+\w+"
 MD_CODE = r"(?m)^```\w*$"
 PDF_MARKER = r"(?i)\bpage\s+\d+\s+of\s+\d+\b"
 VIDEO = r"(?i)https?://(?:(?:www\.)?(?:youtube\.com/watch\?v=|youtu\.be/)|(?:www\.)?vimeo\.com/|(?:www\.)?loom\.com/share/|(?:www\.)?wistia\.com/|(?:player\.)?vimeo\.com/video/|(?:www\.)?dailymotion\.com/video/)[a-zA-Z0-9_\-]+"
-FIELD_LINES = {"title": "Title|TITLE", "author": "Author|AUTHOR", "date": "Date|DATE", "subject": "Subject|SUBJECT"}
+FIELDS = {
+    "title": r"(?d)(?:Title|TITLE):\s*(.+)(?:\n|$)",
+    "author": r"(?d)(?:Author|AUTHOR):\s*(.+)(?:\n|$)",
+    "date": r"(?d)(?:Date|DATE):\s*(.+)(?:\n|$)",
+    "subject": r"(?d)(?:Subject|SUBJECT):\s*(.+)(?:\n|$)",
+}
+FENCED, INLINE_CODE, EMPHASIS, HEADING_MARK = r"(?s)```.*?```", r"`([^`]+)`", r"[*_]{1,2}([^*_]+)[*_]{1,2}", r"(?dm)^#{1,6}\s+"
+FIRST_HEADING, HEADING = r"(?dm)^#\s+(.+)$", r"(?dm)^(#{1,6})\s+(.+)$"
+FRONT_MATTER = r"(?s)^---\s*\n(.*?)\n\s*---\s*\n"
+LIST_ITEM, CODE_LANGUAGE, CODE_BLOCK = r"(?dm)^(?:[*\-+]|\d+\.)\s+(.+)$", r"```(\w+)", r"(?s)```(?:\w+)?\n(.*?)```"
+MD_IMAGE, MD_LINK = r"!\[[^\]]*\]\(([^)]+)\)", r"\[([^\]]+)\]\(([^)]+)\)"
+TOKEN, UNSAFE_IN_NAMES = r"(?U)(\w+|[^\w\s\x1c-\x1f])", r"(?U)[^\w\s.-]"
 
 
 def strip(c: Column) -> Column:
@@ -52,14 +63,14 @@ def as_string(c: Column) -> Column:
 
 def clean_markdown(c: Column) -> Column:
     """Without fenced code blocks; inline code without its marks."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```", ""), r"`([^`]+)`", "$1")
+    return F.regexp_replace(F.regexp_replace(c, FENCED, ""), INLINE_CODE, "$1")
 
 
 def strip_markdown(c: Column) -> Column:
     """Without the marks of headings, emphasis and inline code."""
-    c = F.regexp_replace(c, r"(?dm)^#{1,6}\s+", "")
-    c = F.regexp_replace(c, r"[*_]{1,2}([^*_]+)[*_]{1,2}", "$1")
-    return F.regexp_replace(c, r"`([^`]+)`", "$1")
+    c = F.regexp_replace(c, HEADING_MARK, "")
+    c = F.regexp_replace(c, EMPHASIS, "$1")
+    return F.regexp_replace(c, INLINE_CODE, "$1")
 
 
 def content_type(c: Column) -> Column:
@@ -75,7 +86,7 @@ def words(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words and single punctuation marks."""
-    return F.regexp_extract_all(c, F.lit(r"(?U)(\w+|[^\w\s\x1c-\x1f])"), 1)
+    return F.regexp_extract_all(c, F.lit(TOKEN), 1)
 
 
 def count_tokens(c: Column, mode: str = "word") -> Column:
@@ -92,23 +103,22 @@ def sentences(c: Column) -> Column:
 
 def field_line(c: Column, name: str) -> Column:
     """The rest of the first line that starts a named field (title, author, date, subject); null if there is none."""
-    return F.nullif(F.regexp_extract(c, rf"(?d)(?:{FIELD_LINES[name]}):\s*(.+)(?:\n|$)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, FIELDS[name], 1), F.lit(""))
 
 
 def first_heading(c: Column) -> Column:
     """Text of the first heading of rank 1 in markdown; null if there is none."""
-    return F.nullif(F.regexp_extract(c, r"(?dm)^#\s+(.+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, FIRST_HEADING, 1), F.lit(""))
 
 
 def outline(c: Column) -> Column:
     """Headings of markdown in order: level and text."""
-    pattern = r"(?dm)^(#{1,6})\s+(.+)$"
-    return F.arrays_zip(F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), F.length).alias("level"), F.regexp_extract_all(c, F.lit(pattern), 2).alias("text"))
+    return F.arrays_zip(F.transform(F.regexp_extract_all(c, F.lit(HEADING), 1), F.length).alias("level"), F.regexp_extract_all(c, F.lit(HEADING), 2).alias("text"))
 
 
 def front_matter(c: Column) -> Column:
     """Keys and values of the leading block between dashes; null if there is none."""
-    block = F.nullif(F.regexp_extract(c, r"(?s)^---\s*\n(.*?)\n\s*---\s*\n", 1), F.lit(""))
+    block = F.nullif(F.regexp_extract(c, FRONT_MATTER, 1), F.lit(""))
     pairs = F.filter(F.split(block, r"\n"), lambda x: x.contains(":"))
     key = F.transform(pairs, lambda x: F.trim(F.substring_index(x, ":", 1)))
     value = F.transform(pairs, lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", "")))
@@ -116,25 +126,24 @@ def front_matter(c: Column) -> Column:
 
 
 def list_items(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?dm)^(?:[*\-+]|\d+\.)\s+(.+)$"), 1)
+    return F.regexp_extract_all(c, F.lit(LIST_ITEM), 1)
 
 
 def code_languages(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"```(\w+)"), 1)
+    return F.regexp_extract_all(c, F.lit(CODE_LANGUAGE), 1)
 
 
 def code_blocks(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?s)```(?:\w+)?\n(.*?)```"), 1)
+    return F.regexp_extract_all(c, F.lit(CODE_BLOCK), 1)
 
 
 def markdown_images(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), 1)
+    return F.regexp_extract_all(c, F.lit(MD_IMAGE), 1)
 
 
 def markdown_links(c: Column) -> Column:
     """Links of markdown: text and target."""
-    pattern = r"\[([^\]]+)\]\(([^)]+)\)"
-    return F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), 1).alias("text"), F.regexp_extract_all(c, F.lit(pattern), 2).alias("target"))
+    return F.arrays_zip(F.regexp_extract_all(c, F.lit(MD_LINK), 1).alias("text"), F.regexp_extract_all(c, F.lit(MD_LINK), 2).alias("target"))
 
 
 def contains_word(c: Column, keyword: str) -> Column:
@@ -144,4 +153,4 @@ def contains_word(c: Column, keyword: str) -> Column:
 
 def safe_name(c: Column) -> Column:
     """A file name without characters that file systems mind."""
-    return F.regexp_replace(c, r"(?U)[^\w\s.-]", "")
+    return F.regexp_replace(c, UNSAFE_IN_NAMES, "")

@@ -66,7 +66,7 @@ def text_flags(spark, sf):
     return documents(spark, sf).select(
         "doc_id", c.rlike(T.PDF_MARKER).alias("page_marker"), c.rlike(T.VIDEO).alias("video"), F.size(T.list_items(c)).cast("bigint").alias("n_list_items"),
         c.rlike(r"(?dm)^(#+|\*\*?|\d+\.)\s+").alias("headed"), F.size(T.markdown_images(c)).cast("bigint").alias("n_images"), F.size(T.markdown_links(c)).cast("bigint").alias("n_links"),
-        *[T.field_line(c, n).alias(n) for n in T.FIELD_LINES], T.contains_word(F.lower(c), "supplier").alias("says_supplier"),
+        *[T.field_line(c, n).alias(n) for n in T.FIELDS], T.contains_word(F.lower(c), "supplier").alias("says_supplier"),
     )
 
 
@@ -167,7 +167,7 @@ SQL = {
     "text_flags": rf"""SELECT doc_id, regexp_matches(text, '{T.PDF_MARKER}') AS page_marker, regexp_matches(text, '{T.VIDEO}') AS video,
         len(regexp_extract_all(text, '(?m)^(?:[*\-+]|\d+\.)\s+(.+)$', 1)) AS n_list_items, regexp_matches(text, '(?m)^(#+|\*\*?|\d+\.)\s+') AS headed,
         len(regexp_extract_all(text, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS n_images, len(regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+)\)', 1)) AS n_links,
-        {", ".join(rf"nullif(regexp_extract(text, '(?:{v}):\s*(.+)(?:\n|$)', 1), '') AS {k}" for k, v in T.FIELD_LINES.items())},
+        {", ".join(rf"nullif(regexp_extract(text, '(?:{v}):\s*(.+)(?:\n|$)', 1), '') AS {k}" for k, v in (("title", "Title|TITLE"), ("author", "Author|AUTHOR"), ("date", "Date|DATE"), ("subject", "Subject|SUBJECT")))},
         regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}\p{{M}}_])supplier($|[^\p{{L}}\p{{N}}\p{{M}}_])') AS says_supplier FROM documents""",
     "word_chunks": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents)
         SELECT doc_id, (s // 80)::INT AS chunk_index, array_to_string(w[s + 1:s + 100], ' ') AS chunk, least(100, len(w) - s)::INT AS token_count, s::INT AS start_word_idx, least(s + 100, len(w))::INT AS end_word_idx
