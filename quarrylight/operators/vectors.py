@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from quarrylight.scratch import write_out
 
@@ -113,15 +114,22 @@ def hashing_provider(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def embed(df: DataFrame, key: str, text: str, provider=hashing_provider) -> DataFrame:
-    """vec_id and embedding of each row's text, batch by batch; ``provider`` turns texts into rows of a matrix inside the tasks. Null texts count as empty."""
+def with_embedding(df: DataFrame, text: str, provider=hashing_provider) -> DataFrame:
+    """Rows with the embedding of their text, batch by batch; ``provider`` turns texts into rows of a matrix inside the tasks. Null texts count as empty."""
+    kept = df.drop("embedding")
 
     def run(batches):
         for b in batches:
-            got = provider([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(np.asarray(got, np.float32)), pa.list_(pa.float32()))], ["vec_id", "embedding"])
+            got = pa.array(list(np.asarray(provider([t or "" for t in b.column(text).to_pylist()]), np.float32)), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, "embedding"])
+
+    schema = StructType([*kept.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    return kept.mapInArrow(run, schema)
 
-    return df.select(F.col(key).cast("bigint").alias("vec_id"), text).mapInArrow(run, "vec_id bigint, embedding array<float>")
+
+def embed(df: DataFrame, key: str, text: str, provider=hashing_provider) -> DataFrame:
+    """vec_id and embedding of each row's text."""
+    return with_embedding(df.select(F.col(key).cast("bigint").alias("vec_id"), F.col(text).alias("_t")), "_t", provider).drop("_t")
 
 
 def identity(id_col: Column, meta_id: Column, source: Column, text: Column) -> Column:

@@ -180,6 +180,15 @@ def stored_index(spark, sf):
     return spark.read.schema(e.schema).parquet(out).select("vec_id", "label", F.size("embedding").alias("dim"))
 
 
+def built_index(spark, sf):
+    """Documents chunked, embedded and stored in two runs, the second over all of them; each chunk's text is there once."""
+    out = scratch_dir(spark)
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    writers.build_index(d.where("doc_id % 2 = 0"), out, size=100, overlap=20)
+    writers.build_index(d, out, size=100, overlap=20)
+    return spark.read.parquet(out).select("sha", "token_count", F.size("embedding").alias("dim"))
+
+
 def discovered_rows(spark, sf):
     """Documents in files of several folders, found and put below each other."""
     out = scratch_dir(spark)
@@ -192,7 +201,7 @@ def discovered_rows(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         retrieved_documents, rag_answers, question_domains, question_classes, semantic_domains, title_tags, enriched_documents, enriched_tags, appended_messages, row_json, assembled_sections,
-        source_paths, page_metadata, html_sections, metadata_rules, metadata_schemas, csv_documents, jsonl_pages, logged_events, stored_index, discovered_rows,
+        source_paths, page_metadata, html_sections, metadata_rules, metadata_schemas, csv_documents, jsonl_pages, logged_events, stored_index, built_index, discovered_rows,
     )
 }
 
@@ -278,5 +287,8 @@ SQL = {
     "jsonl_pages": "SELECT link, content FROM page_export WHERE content IS NOT NULL AND trim(content) <> ''",
     "logged_events": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2",
     "stored_index": "SELECT vec_id, label, len(embedding)::INT AS dim FROM embeddings",
+    "built_index": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda x: x <> '') AS w FROM documents),
+        c AS (SELECT w[i:i + 99] AS part FROM w, unnest(range(1, len(w) + 1, 80)) AS u(i))
+        SELECT DISTINCT sha256(array_to_string(part, ' ')) AS sha, len(part)::INT AS token_count, 64 AS dim FROM c""",
     "discovered_rows": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents",
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.operators import vectors
+from quarrylight.operators.chunking import word_chunks
+
 # fixed values: extensions of common kinds of content
 EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "application/pdf": ".pdf", "text/html": ".html", "text/plain": ".txt"}
 
@@ -61,6 +65,19 @@ def append_index(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "append").parquet(path)
 
 
+def build_index(df: DataFrame, path: str, text: str = "text", size: int = 800, overlap: int = 100, provider=vectors.hashing_provider) -> None:
+    """Chunks of documents with their embeddings added to the index at ``path``: those of a text that is not there yet, each once.
+
+    The hash of a chunk's text is its key, so a run that is repeated or goes on after a failure adds nothing twice.
+    """
+    chunks = word_chunks(df, text, size, overlap).drop(text).withColumn("sha", F.sha2("chunk", 256))
+    try:
+        known = df.sparkSession.read.parquet(path).select("sha")
+    except AnalysisException:  # no index yet
+        known = chunks.select("sha").limit(0)
+    append_index(vectors.with_embedding(vectors.unseen(chunks, known, "sha"), "chunk", provider), path)
+
+
 def write_log(df: DataFrame, path: str, at: str = "ts", kind: str = "event_type") -> None:
     """Events as JSON lines by kind and day."""
     df.withColumn("day", F.date_format(at, "yyyy-MM-dd")).write.mode("append").partitionBy(kind, "day").json(path)
