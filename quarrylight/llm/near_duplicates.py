@@ -26,6 +26,8 @@ WIDTH, MISS = 5, 0.001
 RUN = 64
 #: Positions of a segment at each turn. What still shares all but one of the last ones is compared pair by pair, in blocks.
 WIDTHS = (WIDTH, 8, 12)
+#: Variants are sorted in parts of about so many (some 100 MB), however many there are.
+PART = 8_000_000
 #: Copies of one text, letter by letter, are listed in all pairs up to this number; more of them by their first one.
 LISTED = 32
 _GRAM_BYTES = 5
@@ -209,8 +211,10 @@ def _blocked(hot: DataFrame, size: int) -> DataFrame:
 
 def _met(sets: DataFrame, threshold: float, width: int, miss: float) -> DataFrame:
     """Pairs (a, b) of refs that share a variant of segments of ``width``; of long runs single rows (hot, a)."""
-    keys = sets.mapInArrow(_variants(segments(threshold, width, miss), width), "ref bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "ref")
-    return write_out(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(RUN), "hot bigint, a bigint, b bigint"))
+    n = segments(threshold, width, miss)
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * n * width // PART))
+    keys = sets.mapInArrow(_variants(n, width), "ref bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "ref")
+    return write_out(keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(RUN), "hot bigint, a bigint, b bigint"))
 
 
 def text_sets(df: DataFrame, space: Column, id_col: Column, text: Column, words: int = 5, least: int = 5) -> DataFrame:
