@@ -53,7 +53,7 @@ _SENTENCE = re.compile(r"[.!?:;。！？…][\"'”»)\]]*$")
 _TRAIL = re.compile(r" (?:/|>|»|›|→|\|) ")
 _BAR = re.compile(r"[^\W\d_][^\d|·>/•]{0,30}(?: ([|·>/•]) [^\W\d_][^\d|·>/•]{0,30}(?= \1|$)){3,}")
 _APART = re.compile(r"[\W_]+")
-_DIGITS, _NAME = re.compile(r"\d+"), re.compile(r"(?<=[^\W\d_] )[A-ZÀ-Þ]\w*")
+_DIGITS, _NAME, _DOTTED = re.compile(r"\d+"), re.compile(r" (?<=[^\W\d_] )[A-ZÀ-Þ]\w*"), re.compile(r"\.[a-z]", re.I)
 _MARK, _CODE = re.compile(r"\s{0,3}#{1,6}\s+|\s*[-*•]\s+"), re.compile(r"(?: {4}|\t)\S")
 _WORD = re.compile(r"\w")
 _DOMAIN = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}\b", re.I)
@@ -95,10 +95,11 @@ def _h(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def parse(content: str, title: str | None = None) -> tuple[list[tuple[int, str, str]], list[Line], str]:
+def parse(content: str, title: str | None = None, known: dict | None = None) -> tuple[list[tuple[int, str, str]], list[Line], str]:
     """Containers of a page (parent's number, tag, class; the first is the page), its visible lines in order, and its title.
 
-    Only elements that stay open at the end of their line hold lines; parsing keeps a stack, so any depth will do.
+    Only elements that stay open at the end of their line hold lines; parsing keeps a stack, so any depth will do. ``known``
+    keeps keys of lines from page to page.
     """
     holders: list[tuple[int, str, str]] = [(-1, "page", "")]
     stack: list[tuple[str, int]] = [("page", 0)]
@@ -181,12 +182,12 @@ def parse(content: str, title: str | None = None) -> tuple[list[tuple[int, str,
         free = linked < 0.9 * max(1, shown)
         prose = free and (tabs or tag in _TABULAR or len(plain) >= 100 or bool(_SENTENCE.search(plain)))
         lines.append(Line(no, plain, prose, max(holder, 0)))
-    _keys(lines, title, head)
+    _keys(lines, title, head, {} if known is None else known)
     return holders, lines, title or head
 
 
-def _keys(lines: list[Line], title: str | None, head: str) -> None:
-    """Keys of lines: ``own`` of the text, ``key`` without what differs between sites that use the same phrase."""
+def _keys(lines: list[Line], title: str | None, head: str, known: dict[tuple[str, str], tuple[int, int]]) -> None:
+    """Keys of lines, ``known`` ones looked up: ``own`` of the text, ``key`` without what differs between sites that use the same phrase."""
     brand = re.split(r"\s[|–—-]\s", head)[-1] if re.search(r"\s[|–—-]\s", head) else ""
     for line in reversed(lines):
         m = line.text[0] == "©" and re.match(r"©\s*(?:\d{4}\s*[-–]?\s*)+(.+?)(?:[.,|]|$)", line.text)
@@ -207,16 +208,19 @@ def _keys(lines: list[Line], title: str | None, head: str) -> None:
         elif _BAR.fullmatch(line.text):
             line.own, line.key = _h(line.text), _h("\x03bar")  # a row of names: the same thing whatever they are
         else:
-            line.own, line.key = _h(line.text), _h(masked(line.text, named))
+            keys = known.get((brand, line.text))
+            if keys is None:
+                keys = known[brand, line.text] = _h(line.text), _h(masked(line.text, named))
+            line.own, line.key = keys
 
 
 def masked(text: str, brand: re.Pattern | None = None) -> str:
     """A text without what differs between sites that use the same phrase: their names, numbers, names within a sentence."""
     if brand:
         text = brand.sub("\x01", text)
-    if "." in text:
+    if _DOTTED.search(text):
         text = _DOMAIN.sub("\x02", text)
-    return _NAME.sub("X", _DIGITS.sub("9", text))
+    return _NAME.sub(" X", _DIGITS.sub("9", text))
 
 
 def frame_key(text: str) -> int | None:
@@ -391,11 +395,14 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # align recurses in
 def _parsed(batches):
     """What later steps need of a page: no text, but its containers, and of its lines number, container, keys and flags."""
     names = [c.split()[0] for c in _PARSED.split(", ")]
+    known: dict[tuple[str, str], tuple[int, int]] = {}
     for b in batches:
+        if len(known) > 200_000:
+            known.clear()
         cols: list[list] = [[] for _ in names]
         for key, link, title, content in zip(*(b.column(c).to_pylist() for c in ("id", "link", "title", "content")), strict=True):
             host = host_of(link)
-            holders, lines, name = parse(content, title)
+            holders, lines, name = parse(content, title, known)
             small, number = _needed(holders, lines)
             row = (
                 key, host, _h(_fold(name) or str(key)), json.dumps(small), [x.no for x in lines], [number[x.holder] for x in lines], [x.own for x in lines], [x.key for x in lines],
@@ -408,19 +415,20 @@ def _parsed(batches):
 
 
 def _leaves(own, holder, flags, among=None) -> list[tuple[int, int, int]]:
-    return [(int(k), int(c), i) for i, (k, c, f) in enumerate(zip(own, holder, flags, strict=True)) if not f & _TITLE_FLAG and (among is None or k in among)]
+    return [(k, c, i) for i, (k, c, f) in enumerate(zip(own, holder, flags, strict=True)) if not f & _TITLE_FLAG and (among is None or k in among)]
 
 
 def _wrapped(pdf: pd.DataFrame) -> pd.DataFrame:
     """The wrapper of one group of pages of a host: every title counts once, leaves that no other page of the group has are left out."""
     pdf = pdf.sort_values("id").drop_duplicates("page")
+    holder_lists, own_lists, flag_lists = ([x.tolist() for x in pdf[c]] for c in ("holder", "own", "flags"))
     seen: dict[int, int] = {}
-    for own, flags in zip(pdf["own"], pdf["flags"], strict=True):
-        for k in {int(k) for k, f in zip(own, flags, strict=True) if not f & _TITLE_FLAG}:
+    for own, flags in zip(own_lists, flag_lists, strict=True):
+        for k in {k for k, f in zip(own, flags, strict=True) if not f & _TITLE_FLAG}:
             seen[k] = seen.get(k, 0) + 1
     several = {k for k, n in seen.items() if n > 1} if len(pdf) > 1 else set(seen)
     wrapper = None
-    for holders, holder, own, flags in zip(pdf["holders"], pdf["holder"], pdf["own"], pdf["flags"], strict=True):
+    for holders, holder, own, flags in zip(pdf["holders"], holder_lists, own_lists, flag_lists, strict=True):
         page = tree(json.loads(holders), _leaves(own, holder, flags, several))
         if wrapper is None:
             wrapper = page
@@ -447,8 +455,8 @@ def wrappers(parsed: DataFrame) -> DataFrame:
     placed = split_join(pages, sizes, "host", "inner").withColumn("part", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / GROUP)))
     done = write_out(placed.groupBy("host", "part").applyInPandas(_wrapped, "host string, part bigint, wrapper string"))
     while (done.agg(F.max("part")).first()[0] or 0) > 0:
-        merged = done.withColumn("into", F.floor(F.col("part") / MERGED)).groupBy("host", "into").applyInPandas(_remerged, "host string, part bigint, wrapper string")
-        done = write_out(merged)
+        merged = done.withColumn("into", F.floor(F.col("part") / MERGED)).groupBy("host", "into")
+        done = write_out(merged.applyInPandas(_remerged, "host string, part bigint, wrapper string"))
     return done.select("host", "wrapper")
 
 
@@ -477,44 +485,63 @@ def template_phrases(parsed: DataFrame) -> DataFrame:
     return common.select("key", "share", (F.col("titled").isNull() & (F.col("share") >= PHRASE)).alias("phrase"))
 
 
+class _Wrapper:
+    """A wrapper as pages are aligned with it: its tree without leaves that recur too seldom, and the names of its containers."""
+
+    def __init__(self, text: str):
+        self.root = kept_leaves(_loads(text))
+        self.keys = {k for k, _ in _keys_of(self.root)}
+        self.names = _names(self.root)
+
+
+def kept_leaves(root: Node) -> Node:
+    """A wrapper with all its containers, but only the leaves that recur."""
+    todo = [root]
+    while todo:
+        k = todo.pop()
+        k.kids = [c for c in k.kids if not c.key or c.n > 1 and c.n >= RECURS * root.n]
+        todo += k.kids
+    return root
+
+
 def _slots(batches):
-    """Per visible line: its container in the wrapper (``region``), the recurring line it follows there (``slot``), and what it is."""
-    loaded: tuple[str | None, Node | None] = (None, None)
+    """Per visible line that does not recur: its container in the wrapper (``region``), the recurring line it follows there (``slot``), and what it is."""
+    lately: dict[str, _Wrapper] = {}
+    columns = ["id", "host", "wrapper", "holders", "nos", "holder", "own", "key", "frame", "flags", "known", "shares", "told"]
     for b in batches:
-        cols: list[list] = [[] for _ in range(8)]
-        for row in b.to_pylist():
-            if row["wrapper"] != loaded[0]:
-                loaded = (row["wrapper"], _loads(row["wrapper"]) if row["wrapper"] else None)
-            wrapper, holders = loaded[1], json.loads(row["holders"])
-            shares = {x["key"]: x["share"] for x in row["phrases"] or ()}
-            phrases = {x["key"] for x in row["phrases"] or () if x["phrase"]}
+        cols: list[list] = [[] for _ in range(7)]
+        for page, host, wrapper, containers, nos, holder, own, key, frame, flags, known, shares, told in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            holders = json.loads(containers)
+            share = dict(zip(known or (), shares or (), strict=True))
+            phrases = {k for k, t in zip(known or (), told or (), strict=True) if t}
             constant: set[int] = set()
             names = {0: "page"}
-            if wrapper is not None:
-                known = {k for k, n in _keys_of(wrapper) if n >= RECURS * wrapper.n and n > 1}
-                page = tree(holders, _leaves(row["own"], row["holder"], row["flags"], known))
-                number = _names(wrapper)
-                for w, p in align(wrapper, page)[1]:
+            if wrapper:
+                if (w := lately.get(wrapper)) is None:
+                    if len(lately) >= 256:  # pages come in the order of their hosts or nearly so
+                        lately.clear()
+                    w = lately[wrapper] = _Wrapper(wrapper)
+                for a, p in align(w.root, tree(holders, _leaves(own, holder, flags, w.keys)))[1]:
                     if not p.key:
-                        names[p.at] = number[id(w)]
-                    elif w.n > 1 and _recurs(w.n, wrapper.n, shares.get(row["key"][p.at])):
+                        names[p.at] = w.names[id(a)]
+                    elif _recurs(a.n, w.root.n, share.get(key[p.at])):
                         constant.add(p.at)
             for k, (up, tag, cls) in enumerate(holders):
                 if k and tag in _INLINE_LIST:
                     names[k] = names[up]  # a list is part of what it stands in
                 elif k not in names:
                     names[k] = f"{names[up]}/{tag}.{cls}~{k}"
-            last: dict[int, int] = {}
-            for i, (no, holder, own, key, frame, flags) in enumerate(zip(row["nos"], row["holder"], row["own"], row["key"], row["frame"], row["flags"], strict=True)):
-                told = key in phrases or frame in phrases
-                fixed = not flags & _TITLE_FLAG and (told or i in constant)
-                region = names[holder]
+            last: dict[str, int] = {}
+            for i, flag in enumerate(flags):
+                region = names[holder[i]]
+                fixed = not flag & _TITLE_FLAG and (key[i] in phrases or frame[i] in phrases or i in constant)
                 if fixed:
-                    last[region] = key
-                for c, v in zip(cols, (row["id"], no, row["host"], region, last.get(region, 0), fixed, bool(flags & _PROSE_FLAG), bool(flags & _TITLE_FLAG)), strict=True):
+                    last[region] = key[i]
+                    continue
+                for c, v in zip(cols, (page, nos[i], host, region, last.get(region, 0), bool(flag & _PROSE_FLAG), bool(flag & _TITLE_FLAG)), strict=True):
                     c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "line_no", "host", "region", "slot", "fixed", "prose", "title"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "line_no", "host", "region", "slot", "prose", "title"])
 
 
 def _recurs(n: int, of: int, share: float | None) -> bool:
@@ -555,11 +582,12 @@ def main_content(df: DataFrame, id_col: Column, link: Column, title: Column, con
     told = parsed.select("id", F.explode(F.array_distinct(F.concat("key", "frame"))).alias("key"))
     marked = split_join(told, phrases, "key", "inner").groupBy("id").agg(F.collect_set(F.struct("key", "share", "phrase")).alias("phrases"))
     work = split_join(parsed.drop("name", "page"), wrappers(parsed), "host").join(write_out(marked), "id", "left")
-    found = "id bigint, line_no bigint, host string, region string, slot bigint, fixed boolean, prose boolean, title boolean"
+    work = work.select("*", F.col("phrases.key").alias("known"), F.col("phrases.share").alias("shares"), F.col("phrases.phrase").alias("told")).drop("phrases")
+    found = "id bigint, line_no bigint, host string, region string, slot bigint, prose boolean, title boolean"
     lines = write_out(work.mapInArrow(_slots, found))
 
     site = F.when(F.col("host") == "", F.concat(F.lit("\x01"), F.col("id").cast("string"))).otherwise(F.col("host"))
-    vary = lines.where("NOT fixed").withColumn("region_key", F.concat_ws("\x02", site, "region"))
+    vary = lines.withColumn("region_key", F.concat_ws("\x02", site, "region"))
     vary = vary.withColumn("slot_key", F.concat_ws("\x02", "region_key", F.col("slot").cast("string")))
     counted = [F.count_if(~F.col("title")).alias("lines"), F.count_if(F.col("prose") & ~F.col("title")).alias("prose"), F.count_if("title").alias("titles")]
     by_slot = write_out(vary.groupBy("region_key", "slot_key", "slot").agg(*counted))

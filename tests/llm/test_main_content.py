@@ -108,3 +108,4 @@ def test_large_hosts_are_merged_in_rounds(spark, monkeypatch):
     assert len(found) == 1 and whole.n == 40 and dict(M._keys_of(whole))[home] == 40
     got = {tuple(r) for r in M.main_content(df, F.col("id"), F.col("link"), F.col("title"), F.col("content")).collect()}
     assert got == {(i, n) for i, (_, lines) in enumerate(pages) for n in lines}
+
