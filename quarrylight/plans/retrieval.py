@@ -54,9 +54,8 @@ def keyword_density(spark, sf):
 
 
 def tag_fusion(spark, sf):
-    lists = C.phrase_lists(docs(spark, sf), {"p": (F.col("text"), F.col("title"), 10)}, ["doc_id", "text", "title"])
-    first, more = C.tag_candidates(F.col("text"), F.col("title"), DOMAINS, SUBDOMAINS, TERMS, F.col("p"))
-    return lists.select("doc_id", F.posexplode(C.fuse_tags(first, more)).alias("idx", "x")).select("doc_id", "idx", "x.tag", F.round("x.score", 6).alias("score"))
+    rows = C.enrich(docs(spark, sf).select("doc_id", "text", "title"), "text", "title", C.Dictionaries(DOMAINS, SUBDOMAINS, PURPOSES, terms=TERMS), scores=True)
+    return rows.select("doc_id", F.posexplode("tags").alias("idx", "x")).select("doc_id", "idx", "x.tag", F.round("x.score", 6).alias("score"))
 
 
 def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
