@@ -14,7 +14,7 @@ from quarrylight.operators import orphans as O
 from quarrylight.operators import prompts as P
 from quarrylight.operators import relational as R
 from quarrylight.operators import vectors as X
-from quarrylight.operators.skew import valid_version
+from quarrylight.operators.skew import spread, valid_version
 from quarrylight.plans.relations import table
 from quarrylight.plans.retrieval import DOMAINS, PURPOSES, SUBDOMAINS, TERMS
 from quarrylight.scratch import scratch_dir
@@ -67,14 +67,14 @@ def title_tags(spark, sf):
 
 
 def enriched_documents(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "title", "text", F.col("source").alias("tags"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "title", "text", F.col("source").alias("tags")))
     rows = C.clean_and_enrich(d, "text", "title", DICTIONARIES, tags=False)
     joined = [F.array_join(c, ",").alias(c) for c in ("domains", "categories", "subdomains")]
     return rows.select("doc_id", "text", "tags", *joined, "content_purpose")
 
 
 def enriched_tags(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "title", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "title", "text"))
     rows = C.clean_and_enrich(d, "text", "title", DICTIONARIES)
     return rows.select("doc_id", F.posexplode("tags").alias("idx", "tag"))
 

@@ -9,6 +9,7 @@ from quarrylight.operators import classify as C
 from quarrylight.operators import conversation as V
 from quarrylight.operators import prompts as P
 from quarrylight.operators import vectors as X
+from quarrylight.operators.skew import spread
 from quarrylight.plans.relations import table
 
 DOMAINS = {"sourcing": [("auction", 1.5), ("supplier", 1.0), ("bid", 1.0)], "contracts": [("contract", 1.0), ("clause", 0.8), "licence"], "logistics": [("warehouse", 1.2), ("freight", 1.0), ("pallet", 0.5)], "sourcing_events": [("scenario", 0.7), ("round", 0.3)]}
@@ -18,7 +19,7 @@ PURPOSES = {"how_to": [("how to", 2.0), ("open the", 0.5)], "explanation": [("wh
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "title", "text", "source", "guide_key")
+    return spread(table(spark, sf, "documents").select("doc_id", "title", "text", "source", "guide_key"))
 
 
 def keyphrases(spark, sf):
