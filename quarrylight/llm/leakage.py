@@ -223,6 +223,9 @@ def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine:
         width = BLOCKS * run_length
         passages = [(i, w[k : k + width]) for i, w in enumerate(words) if len(w) >= run_length for k in sorted({*range(0, max(1, len(w) - width), run_length), max(0, len(w) - width)})]
         owner = np.array([i for i, _ in passages], np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        every = np.concatenate([*words, np.zeros(1, np.uint32)])  # one more, so that an empty item at the end has a place
+        item_first = np.cumsum(sizes) - sizes
         query = _unit(np.array([projection[(w % terms).astype(np.int64)].sum(0) for _, w in passages], np.float32).reshape(len(passages), projection.shape[1])).T.copy()
 
     def common_runs(w, doc_end):
@@ -247,7 +250,15 @@ def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine:
     def alike(w, lengths):
         """Document, item and first word of each passage of a document that is near a passage of an item."""
         starts, block_doc = _starts(lengths, run_length)
-        first = (np.cumsum(lengths) - lengths)[block_doc]
+        doc_first = np.cumsum(lengths) - lengths
+        first = doc_first[block_doc]
+        # how many of an item's words a document has at all: no common subsequence is longer
+        may = np.zeros((len(lengths), len(sizes)), bool)
+        for d, (lo, n) in enumerate(zip(doc_first, lengths, strict=True)):
+            own = np.unique(w[lo : lo + n])
+            here = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            total = np.r_[0, np.cumsum(here)]
+            may[d] = total[item_first + sizes] - total[item_first] >= COMMON * sizes
         blocks = segment_sums(padded, (w % terms).astype(np.int32), starts, run_length)
         sums = blocks.copy()
         for k in range(1, BLOCKS):
@@ -259,6 +270,8 @@ def _search(items: list[tuple], projection: np.ndarray, run_length: int, cosine:
             near = sums[lo : lo + step] @ query
             row, col = np.nonzero(near >= cosine)
             row += lo
+            fits = may[block_doc[row], owner[col]]
+            row, col = row[fits], col[fits]
             yield from zip(block_doc[row].tolist(), owner[col].tolist(), (starts[row] - first[row]).tolist(), strict=True)
 
     def common_share(i, doc, spots):
